@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.scores import left_closed_bin
 from tidemark.operators.metrics import add_time_gap, uniform_edges, validate_scores
@@ -38,7 +38,7 @@ def _assign_bins(pred, by, n_bins, strategy):
         pred = pred.withColumn("bin_id", left_closed_bin(score, values[1:-1]))
         return pred.withColumn("edges", F.array(*map(F.lit, values)))
     rows = [(*key, values) for key, values in edges.items()]
-    schema = pred.select(*by).schema.add("edges", "array<double>")
+    schema = pred.select(*by).schema.add("edges", T.ArrayType(T.DoubleType()))
     pred = pred.join(pred.sparkSession.createDataFrame(rows, schema), list(by))
     bin_id = F.lit(0)
     for i in range(1, n_bins):

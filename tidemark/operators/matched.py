@@ -19,6 +19,7 @@ def to_prediction_frame(
     year: str = "year",
     probability: str = "llm_default_probability",
     model: str | None = None,
+    id_column: str = "id",
 ) -> DataFrame:
     """Externally scored rows in the long form of the other models' predictions.
 
@@ -28,7 +29,7 @@ def to_prediction_frame(
     if model is None:
         model = rows.agg(F.min("llm_model")).first()[0] or "llm"
     return rows.select(
-        "id", "llm_row_id", "llm_batch", "split", year, target,
+        id_column, "llm_row_id", "llm_batch", "split", year, target,
         F.lit(model).alias("model"),
         F.col(target).cast("int").alias("y_true"),
         F.col(probability).cast("double").alias("y_prob"),

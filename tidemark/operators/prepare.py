@@ -140,20 +140,20 @@ def preparation_stages(
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(added)} FROM __THIS__")]
     inputs = [f"num__{c}" for c in numeric]
     if categorical:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [learnt.levels[c] for c in categorical],
-            inputCols=[f"text__{c}" for c in categorical],
-            outputCols=[f"index__{c}" for c in categorical],
-            handleInvalid="keep",
-        )
+        stages += [
+            StringIndexerModel.from_labels(
+                learnt.levels[c], inputCol=f"text__{c}", outputCol=f"index__{c}",
+                handleInvalid="keep",
+            )
+            for c in categorical
+        ]
         # the last index stands for unseen values; dropping it leaves them all zero
         encoder = OneHotEncoder(
             inputCols=[f"index__{c}" for c in categorical],
             outputCols=[f"cat__{c}" for c in categorical],
             dropLast=True,
         )
-        prepared = indexer.transform(stages[0].transform(train.limit(1)))
-        stages += [indexer, encoder.fit(prepared)]
+        stages.append(encoder.fit(PipelineModel(stages).transform(train)))
         inputs += [f"cat__{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return PipelineModel(stages=stages)

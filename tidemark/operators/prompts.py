@@ -135,8 +135,9 @@ def parse_reply(
     """
     reply = F.col(raw)
     p = F.get_json_object(reply, probability_path).try_cast("double") / F.lit(scale)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(p, F.lit(None))))
+    p = F.nanvl(p, F.lit(None))
     readable = p.isNotNull()
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
     label = F.lit(None).cast("int")
     if label_path is not None:
         label = F.get_json_object(reply, label_path).try_cast("double").cast("int")

@@ -12,7 +12,7 @@ import math
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.scores import INF, add_cells
 
@@ -139,7 +139,7 @@ def _read_ranks(df, columns, by, edges, open_ranks):
     group = [*by, "column", "bracket"]
     rows = _long(df, columns, by, edges)
     wanted = [(*key, sorted(r[0] for r in ranks)) for key, ranks in open_ranks.items()]
-    schema = rows.select(*group).schema.add("ranks", "array<bigint>")
+    schema = rows.select(*group).schema.add("ranks", T.ArrayType(T.LongType()))
     # one row per open bracket, so at most two per group, column and quantile
     wanted = F.broadcast(df.sparkSession.createDataFrame(wanted, schema))
     within = Window.partitionBy(*group).orderBy("value")

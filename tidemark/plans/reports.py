@@ -150,7 +150,9 @@ def matched_comparison(
     ]
     rows = join_sample_to_source(scored.select(*keys), source, roles.id, year)
     keep = [roles.id, "llm_row_id", "llm_batch", "split", year, roles.target]
-    external = matched.to_prediction_frame(scored, roles.target, year, model=name)
+    external = matched.to_prediction_frame(
+        scored, roles.target, year, model=name, id_column=roles.id
+    )
     external = external.withColumn(roles.id, F.col(roles.id).cast("string"))
     pred = external
     if models:
