@@ -69,8 +69,7 @@ def impute_median(spark, folder):
 @query("impute_mode", "SELECT id, n_name FROM filled")
 def impute_mode(spark, folder):
     df = gappy(spark, folder)
-    fill = {r["feature"]: r["mode"] for r in prepare.modes(past(df), ["n_name"]).collect()}
-    return prepare.impute_mode(df, fill).select("id", "n_name")
+    return prepare.impute_mode(df, prepare.modes(past(df), ["n_name"])).select("id", "n_name")
 
 
 @query("standardize", "SELECT id, round(o_totalprice, 6) AS o_totalprice, "

@@ -257,7 +257,7 @@ def temporal_split_tvt(spark, folder):
 @query("validate_split_input", "SELECT year, count(*) AS n_rows FROM loans_keyed GROUP BY year")
 def validate_split_input(spark, folder):
     df = t.loans_keyed(spark, folder).withColumn("year", F.col("year").cast("string"))
-    checked = split.validate_split_input(df, t.LOANS)
+    checked, _ = split.validate_split_input(df, t.LOANS)
     return checked.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

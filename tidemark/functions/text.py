@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-BLANK = r"[\s\x1c-\x1f]"
+# All characters that count as blank at the ends of a text.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
-    """Remove every kind of blank at both ends (``trim`` removes spaces only)."""
-    return rstrip(F.regexp_replace(col, rf"(?U)\A{BLANK}+", ""))
+    """Remove every kind of blank at both ends (a plain ``trim`` removes spaces only)."""
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def rstrip(col: Column) -> Column:
-    # the lookbehind lets a run of blanks be tried once, from its first character
-    return F.regexp_replace(col, rf"(?U)(?<!{BLANK}){BLANK}+\z", "")
+    return F.rtrim(col, F.lit(BLANKS))
 
 
 def clean(col: Column) -> Column:

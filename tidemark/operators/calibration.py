@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.scores import left_closed_bin
-from tidemark.operators.metrics import add_time_gap, uniform_edges, validate_scores
+from tidemark.operators.metrics import (
+    add_time_gap,
+    calibration_error,
+    uniform_edges,
+    validate_scores,
+)
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import local_table
 
 
 def bin_edges(
@@ -39,7 +45,7 @@ def _assign_bins(pred, by, n_bins, strategy):
         return pred.withColumn("edges", F.array(*map(F.lit, values)))
     rows = [(*key, values) for key, values in edges.items()]
     schema = pred.select(*by).schema.add("edges", T.ArrayType(T.DoubleType()))
-    pred = pred.join(pred.sparkSession.createDataFrame(rows, schema), list(by))
+    pred = pred.join(local_table(pred.sparkSession, rows, schema), list(by))
     bin_id = F.lit(0)
     for i in range(1, n_bins):
         inner = F.when(F.size("edges") > i + 1, F.get("edges", F.lit(i)))
@@ -47,24 +53,30 @@ def _assign_bins(pred, by, n_bins, strategy):
     return pred.withColumn("bin_id", bin_id)
 
 
-def reliability_table(
+def bin_sums(
     pred: DataFrame, by: Sequence[str] = (), n_bins: int = 10, strategy: str = "uniform"
 ) -> DataFrame:
-    """One row per group and bin, bins without rows included.
+    """Rows, positives, score sum and squared errors per group and bin, with the group's edges.
 
-    Rows are summed per bin where they are read; what follows has one row per bin.
+    Fails on unusable scores. Rows are summed where they are read, before any shuffle.
     """
     by = list(by)
     validate_scores(pred)
     pred = _assign_bins(pred.select(*by, "y_true", "y_prob"), by, n_bins, strategy)
-    filled = pred.groupBy(*by, "bin_id").agg(
+    gap = F.col("y_prob") - F.col("y_true")
+    return pred.groupBy(*by, "bin_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("y_true").cast("bigint")).alias("pos"),
         F.sum("y_prob").alias("score"),
+        F.sum(gap * gap).alias("squares"),
         F.first("edges").alias("edges"),
     )
+
+
+def bins_from(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group and bin, bins without rows included."""
     # at most n_bins entries per group
-    grouped = filled.groupBy(*by).agg(
+    grouped = sums.where(F.col("bin_id").isNotNull()).groupBy(*by).agg(
         F.sum("n").alias("total"),
         F.first("edges").alias("edges"),
         F.map_from_entries(
@@ -91,24 +103,44 @@ def reliability_table(
     )
 
 
+def calibration_from(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Calibration metrics per group."""
+    total = F.sum("n")
+    rate, mean = F.sum("pos") / total, F.sum("score") / total
+    return sums.groupBy(*by).agg(
+        total.alias("n_rows"),
+        rate.alias("default_rate"),
+        mean.alias("mean_pred"),
+        (F.sum("squares") / total).alias("brier_score"),
+        calibration_error().alias("ece"),
+        F.abs(mean - rate).alias("abs_mean_prob_minus_default_rate"),
+    )
+
+
+def reliability_table(
+    pred: DataFrame, by: Sequence[str] = (), n_bins: int = 10, strategy: str = "uniform"
+) -> DataFrame:
+    return bins_from(bin_sums(pred, by, n_bins, strategy), by)
+
+
 def ece(pred: DataFrame, by: Sequence[str] = (), n_bins: int = 10, strategy: str = "uniform"):
     """Expected calibration error: the weighted gaps of the reliability bins."""
-    table = reliability_table(pred, by, n_bins, strategy)
-    return table.groupBy(*by).agg(F.sum("weighted_gap").alias("ece"))
+    return bin_sums(pred, by, n_bins, strategy).groupBy(*by).agg(calibration_error().alias("ece"))
 
 
 def plain_ece(pred: DataFrame, by: Sequence[str] = (), n_bins: int = 10) -> DataFrame:
     """The same on even bins without checks: a score outside [0, 1] counts in no bin but in N."""
     score = F.col("y_prob")
     inside = (score >= 0) & (score <= 1)
-    edges = uniform_edges(n_bins)
-    bins = (
-        pred.withColumn("bin_id", F.when(inside, left_closed_bin(score, edges[1:-1])))
+    inner = uniform_edges(n_bins)[1:-1]
+    sums = (
+        pred.withColumn("bin_id", F.when(inside, left_closed_bin(score, inner)))
         .groupBy(*by, "bin_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true") - score).alias("gap"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("pos"), F.sum("y_prob").alias("score")
+        )
     )
-    gap = F.sum(F.when(F.col("bin_id").isNotNull(), F.abs("gap")))
-    return bins.groupBy(*by).agg((F.coalesce(gap, F.lit(0.0)) / F.sum("n")).alias("ece"))
+    return sums.groupBy(*by).agg(calibration_error().alias("ece"))
 
 
 def calibration_by(
@@ -118,27 +150,11 @@ def calibration_by(
     strategy: str = "uniform",
     reference_year: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Metrics per group, and the reliability bins behind them."""
-    by = list(by)
-    bins = reliability_table(pred, by, n_bins, strategy)
-    gap = F.col("y_prob") - F.col("y_true")
-    totals = pred.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg("y_true").alias("default_rate"),
-        F.avg("y_prob").alias("mean_pred"),
-        F.avg(gap * gap).alias("brier_score"),
-    )
-    errors = bins.groupBy(*by).agg(F.sum("weighted_gap").alias("ece"))
-    if by:
-        metrics = totals.join(errors, by)
-    else:
-        metrics = totals.withColumn("ece", errors.scalar())
-    metrics = metrics.withColumn(
-        "abs_mean_prob_minus_default_rate", F.abs(F.col("mean_pred") - F.col("default_rate"))
-    )
+    """Metrics per group, and the reliability bins behind them, from the same sums."""
+    sums = bin_sums(pred, by, n_bins, strategy)
+    metrics, bins = calibration_from(sums, by), bins_from(sums, by)
     if reference_year is not None:
-        metrics = add_time_gap(metrics, reference_year)
-        bins = add_time_gap(bins, reference_year)
+        metrics, bins = add_time_gap(metrics, reference_year), add_time_gap(bins, reference_year)
     return metrics, bins
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions import text
 from tidemark.roles import Roles
@@ -18,13 +19,41 @@ TIME_FORMATS = (
 STATUS_LABELS = {"Fully Paid": 0, "Default": 1, "Charged Off": 1}
 
 
+# What the letters of a date format stand for.
+LETTERS = {
+    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}",
+    "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T",
+}
+
+
+def date_shape(fmt: str) -> str | None:
+    """A pattern that every text of a date format has; None for letters not known here."""
+    shape = []
+    for match in re.finditer(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", fmt):
+        token = match.group()
+        if token in LETTERS:
+            shape.append(LETTERS[token])
+        elif token[0].isalpha():
+            return None
+        else:
+            shape.append(re.escape(token.strip("'")))
+    return f"^{''.join(shape)}$"
+
+
+def parse_text(value: Column, formats: Sequence[str]) -> Column:
+    """The first format that fits. Formats of another shape are skipped, as a failed parse is slow."""
+    tries = []
+    for fmt in formats:
+        shape, parsed = date_shape(fmt), F.try_to_timestamp(value, F.lit(fmt))
+        tries.append(parsed if shape is None else F.when(value.rlike(shape), parsed))
+    return F.coalesce(*tries)
+
+
 def parse_time(df: DataFrame, column: str, formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
     """Text to timestamp; rows whose date is missing or unreadable are dropped."""
     dtype = df.schema[column].dataType
     if isinstance(dtype, T.StringType):
-        value = F.trim(F.col(column))
-        parsed = [F.try_to_timestamp(value, F.lit(f)) for f in formats]
-        df = df.withColumn(column, F.coalesce(*parsed))
+        df = df.withColumn(column, parse_text(text.strip(F.col(column)), formats))
     elif isinstance(dtype, T.DateType):
         df = df.withColumn(column, F.col(column).cast("timestamp_ntz"))
     elif not isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

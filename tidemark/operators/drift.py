@@ -13,6 +13,7 @@ from tidemark.operators.features import categorical_columns, is_numeric, melt, n
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.split import years_present
 from tidemark.roles import EPS, MISSING, OTHER
+from tidemark.session import local_table
 
 
 @dataclass(frozen=True)
@@ -239,9 +240,8 @@ def feature_psi(
 ) -> DataFrame:
     """One row ``(feature, feature_type, psi)``; the type is ``missing`` if a side lacks it."""
     if feature not in train.columns or feature not in actual.columns:
-        return train.sparkSession.createDataFrame(
-            [(feature, "missing", None)], "feature string, feature_type string, psi double"
-        )
+        schema = "feature string, feature_type string, psi double"
+        return local_table(train.sparkSession, [(feature, "missing", None)], schema)
     one_year = actual.select(feature, F.lit(0).alias("year"))
     table = psi_by_feature_year(
         train, one_year, [feature], "year", n_bins, max_categories, "approx", [0]

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.roles import FeatureGroups, Roles
+from tidemark.session import local_table
 
 
 def feature_columns(
@@ -103,4 +104,4 @@ def summarize_feature_groups(df: DataFrame, groups: FeatureGroups) -> DataFrame:
         ("categorical", len(groups.categorical)),
         ("text", len(groups.text)),
     ]
-    return df.sparkSession.createDataFrame(rows, "group string, count int")
+    return local_table(df.sparkSession, rows, "`group` string, count int")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.session import materialize
+
 # A list of keys up to this many rows is sent to every executor; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,7 +71,8 @@ def join_sample_to_source(
     clash = [c for c in sample.columns if c in source.columns and c != id_column]
     ids = broadcast_if_small(sample.select(id_column).distinct())
     reduced = source.drop(*clash).withColumn("in_source", F.lit(True))
-    reduced = reduced.join(ids, id_column, "left_semi")
+    # read the source once; what is left has a row per sampled id
+    reduced = materialize(reduced.join(ids, id_column, "left_semi"))
     assert_unique(reduced, [id_column], "source")
     joined = sample.join(reduced, id_column, "left")
     missed = joined.where(F.col("in_source").isNull()).count()

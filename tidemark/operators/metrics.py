@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scores import add_cells, f1, left_closed_bin, predicted, ratio
+from tidemark.session import local_table
 
 MAX_CELLS = 2000
 UNIFORM_BINS = 10
@@ -105,9 +106,8 @@ def with_threshold(pred: DataFrame, threshold: float | dict, column: str = "mode
     if not isinstance(threshold, dict):
         return pred.withColumn("threshold", F.lit(float(threshold)))
     rows = [(k, float(v)) for k, v in threshold.items()]
-    table = pred.sparkSession.createDataFrame(
-        rows, pred.select(column).schema.add("threshold", "double")
-    )
+    schema = pred.select(column).schema.add("threshold", "double")
+    table = local_table(pred.sparkSession, rows, schema)
     return pred.join(table, column)
 
 
@@ -135,16 +135,16 @@ def brier(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pred.groupBy(*by).agg(F.avg(gap * gap).alias("brier_score"))
 
 
-def metric_table(
+def score_profile(
     pred: DataFrame,
     by: Sequence[str],
     threshold: float | dict,
     n_bins: int = UNIFORM_BINS,
     cells: int | None = None,
 ) -> DataFrame:
-    """All metrics of every group from one pass over the distinct scores.
+    """Sums per group and calibration bin, from one pass over the distinct scores.
 
-    Scores outside [0, 1] count in every metric but fall in no calibration bin.
+    All metrics of a group follow from its few rows here. Scores outside [0, 1] are in a bin NULL.
     """
     pred = pred.select(*by, "y_true", F.col("y_prob").cast("double").alias("y_prob"))
     edges = uniform_edges(n_bins)
@@ -152,11 +152,10 @@ def metric_table(
     n, pos, p = F.col("n"), F.col("pos"), F.col("y_prob")
     inside = (p >= 0) & (p <= 1)
     positive = p >= F.col("threshold")
-    ranked = (
-        ranked_cells(counts, by, score_cells(pred, cells))
-        .withColumn("bin", F.when(inside, left_closed_bin(p, edges[1:-1])))
+    ranked = ranked_cells(counts, by, score_cells(pred, cells)).withColumn(
+        "bin_id", F.when(inside, left_closed_bin(p, edges[1:-1]))
     )
-    cell_rows = ranked.groupBy(*by, "cell", "bin").agg(
+    cell_rows = ranked.groupBy(*by, "cell", "bin_id").agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("pos"),
         F.sum("area").alias("area"),
@@ -167,27 +166,45 @@ def metric_table(
         F.max("threshold").alias("threshold"),
     )
     sums = ("n", "pos", "area", "score", "squares", "predicted", "hits")
-    bins = add_cell_offsets(cell_rows, by).groupBy(*by, "bin").agg(
+    return add_cell_offsets(cell_rows, by).groupBy(*by, "bin_id").agg(
         *[F.sum(c).alias(c) for c in sums], F.max("threshold").alias("threshold")
     )
+
+
+def calibration_error() -> Column:
+    """A bin contributes its share of rows times the gap of mean label and mean score."""
+    gap = F.when(F.col("bin_id").isNotNull(), F.abs(F.col("pos") - F.col("score")))
+    return F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")
+
+
+def metrics_from(profile: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All metrics of every group, from a score profile."""
     total = F.sum("n")
-    # a bin contributes n / N * |mean label - mean score|
-    gap = F.sum(F.when(F.col("bin").isNotNull(), F.abs(F.col("pos") - F.col("score"))))
     right = F.sum("hits") + (total - F.sum("pos") - F.sum("predicted") + F.sum("hits"))
-    return bins.groupBy(*by).agg(
+    return profile.groupBy(*by).agg(
         total.alias("n_rows"),
         F.max("threshold").alias("threshold"),
         auc_value().alias("auc"),
         f1(F.sum("hits"), F.sum("predicted"), F.sum("pos")).alias("f1"),
         (right / total).alias("accuracy"),
         (F.sum("squares") / total).alias("brier_score"),
-        (F.coalesce(gap, F.lit(0.0)) / total).alias("ece"),
+        calibration_error().alias("ece"),
         (F.sum("pos") / total).alias("default_rate"),
         (F.sum("score") / total).alias("mean_pred"),
         (F.sum("predicted") / total).alias("pred_positive_rate"),
     )
 
 
+def metric_table(
+    pred: DataFrame,
+    by: Sequence[str],
+    threshold: float | dict,
+    n_bins: int = UNIFORM_BINS,
+    cells: int | None = None,
+) -> DataFrame:
+    return metrics_from(score_profile(pred, by, threshold, n_bins, cells), by)
+
+
 def evaluate(pred: DataFrame, by: Sequence[str], threshold: float | dict = 0.5) -> DataFrame:
     """Rows, label rate, share of predicted positives, AUC and F1 of each group."""
     if pred.isEmpty():

@@ -26,22 +26,27 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Most frequent value per feature; the smallest of equally frequent ones."""
+def value_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per feature, the number of values and the mode: the smallest of the most frequent ones."""
     return value_counts(df, columns).groupBy("feature").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")
+        F.count(F.lit(1)).alias("n_values"),
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
     )
 
 
-def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted values per feature."""
-    counts = value_counts(df, columns)
-    sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    large = [r["feature"] for r in sizes.where(F.col("n") > MAX_CATEGORIES).collect()]
+def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Most frequent value per feature; refuses features with too many values to encode."""
+    rows = value_profile(df, columns).collect()
+    large = [r["feature"] for r in rows if r["n_values"] > MAX_CATEGORIES]
     if large:
         raise ValueError(f"too many categories to encode: {large}")
+    return {r["feature"]: r["mode"] for r in rows}
+
+
+def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted values per feature, for features that passed ``modes``."""
     found = {c: [] for c in columns}
-    for row in counts.select("feature", "value").collect():
+    for row in value_counts(df, columns).select("feature", "value").collect():
         found[row["feature"]].append(row["value"])
     return {c: sorted(values) for c, values in found.items()}
 
@@ -109,7 +114,7 @@ def fit_preparation(
         stats = scale_stats(impute_median(train.select(*numeric), fill), numeric)
     common, levels = {}, {}
     if categorical:
-        common = {r["feature"]: r["mode"] for r in modes(train, categorical).collect()}
+        common = modes(train, categorical)
         unknown = [c for c in categorical if c not in common]
         if unknown:
             raise ValueError(f"columns without any value: {unknown}")

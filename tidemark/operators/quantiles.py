@@ -12,12 +12,13 @@ import math
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.scores import INF, add_cells
+from tidemark.session import local_table
 
 # Most rows of one bracket that are sorted in one task.
-BRACKET_ROWS = 1_000_000
+BRACKET_ROWS = 500_000
 # Cuts per bracket and pass.
 PIECES = 256
 
@@ -138,33 +139,25 @@ def _read_ranks(df, columns, by, edges, open_ranks):
     """Sort the values of the small brackets and pick the wanted ranks."""
     group = [*by, "column", "bracket"]
     rows = _long(df, columns, by, edges)
-    wanted = [(*key, sorted(r[0] for r in ranks)) for key, ranks in open_ranks.items()]
     schema = rows.select(*group).schema.add("ranks", T.ArrayType(T.LongType()))
-    # one row per open bracket, so at most two per group, column and quantile
-    wanted = F.broadcast(df.sparkSession.createDataFrame(wanted, schema))
-    within = Window.partitionBy(*group).orderBy("value")
+    ranks = [(*key, sorted(inside for inside, _ in wanted)) for key, wanted in open_ranks.items()]
+    wanted = local_table(df.sparkSession, ranks, schema)
+    # no bracket holds more than the allowed number of rows
     picked = (
         rows.join(wanted.select(*group), group, "left_semi")
-        .groupBy(*group, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(within))
-        .withColumn("from", F.col("upto") - F.col("n"))
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list("value")).alias("values"))
         .join(wanted, group)
         .select(
             *group,
-            "value",
-            F.filter("ranks", lambda r: (r >= F.col("from")) & (r < F.col("upto"))).alias("hits"),
+            F.transform("ranks", lambda r: F.get("values", r.cast("int"))).alias("values"),
         )
-        .where(F.size("hits") > 0)
     )
-    value = {}
-    for row in picked.collect():
-        for hit in row["hits"]:
-            value[(*(row[k] for k in group), hit)] = row["value"]
     found = {}
-    for key, ranks in open_ranks.items():
-        for inside, rank in ranks:
-            found[key[:-1], rank] = value[(*key, inside)]
+    for row in picked.collect():
+        key = tuple(row[k] for k in group)
+        for (_, rank), value in zip(sorted(open_ranks[key]), row["values"]):
+            found[key[:-1], rank] = value
     return found
 
 

@@ -14,6 +14,7 @@ from tidemark.functions.scores import add_cells
 from tidemark.operators.joins import BROADCAST_ROWS, exclude_ids
 from tidemark.operators.metrics import score_cells
 from tidemark.roles import Roles
+from tidemark.session import local_table
 
 log = logging.getLogger(__name__)
 
@@ -90,7 +91,7 @@ def sample_excluding(
 
 def shortfall(sample: DataFrame, years: Sequence[int], n: int, year: str = "year") -> DataFrame:
     """Years that gave fewer than ``n`` rows."""
-    wanted = sample.sparkSession.createDataFrame([(y,) for y in years], f"{year} int")
+    wanted = local_table(sample.sparkSession, [(y,) for y in years], f"`{year}` int")
     counts = sample.groupBy(F.col(year).cast("int").alias(year)).agg(F.count(F.lit(1)).alias("n"))
     return (
         wanted.join(counts, year, "left")

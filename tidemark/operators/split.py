@@ -60,20 +60,27 @@ class Split:
         return self.table.withColumn(column, tag).where(F.col(column).isNotNull())
 
 
-def validate_split_input(df: DataFrame, roles: Roles = Roles(), year: str = "year") -> DataFrame:
-    """Target, time and a whole-numbered year without gaps must exist. Runs one small job."""
+def validate_split_input(
+    df: DataFrame, roles: Roles = Roles(), year: str = "year"
+) -> tuple[DataFrame, list[int]]:
+    """Check that target, time and a whole-numbered year without gaps exist.
+
+    Returns the table with an integer year, and the years present. Runs one job, whose result
+    has a row per year.
+    """
     missing = [c for c in (roles.target, roles.time, year) if c not in df.columns]
     if missing:
         raise ValueError(f"the table lacks columns needed for splitting: {missing}")
-    if isinstance(df.schema[year].dataType, T.IntegralType):
-        whole = df
-    else:
+    whole = df
+    if not isinstance(df.schema[year].dataType, T.IntegralType):
         whole = df.withColumn(year, F.col(year).try_cast("int"))
-    if not df.where(F.col(year).isNull()).isEmpty():
+    found = df.select(F.col(year).alias("given")).distinct()
+    rows = found.withColumn("whole", F.col("given").try_cast("int")).collect()
+    if any(r["given"] is None for r in rows):
         raise ValueError(f"column '{year}' contains missing values")
-    if whole is not df and not whole.where(F.col(year).isNull()).isEmpty():
+    if any(r["whole"] is None for r in rows):
         raise ValueError(f"column '{year}' must be a whole number")
-    return whole
+    return whole, sorted({r["whole"] for r in rows})
 
 
 def years_present(df: DataFrame, year: str = "year") -> list[int]:
@@ -90,8 +97,7 @@ def temporal_split(
     year: str = "year",
 ) -> Split:
     """Train up to ``train_end``; test on the given years, else on all later unused ones."""
-    df = validate_split_input(df, roles, year)
-    present = years_present(df, year)
+    df, present = validate_split_input(df, roles, year)
     val = tuple(sorted(set(val_years)))
     if test_years is None:
         test = tuple(y for y in present if y > train_end and y not in val)
@@ -113,8 +119,7 @@ def temporal_split_tvt(
     year: str = "year",
 ) -> Split:
     """Train, one validation year, explicit test years; none may be empty."""
-    df = validate_split_input(df, roles, year)
-    present = years_present(df, year)
+    df, present = validate_split_input(df, roles, year)
     parts = {
         "training": any(y <= train_end for y in present),
         "validation": val_year in present,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scores import add_cells, f1, ratio
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import local_table
 
 # The even part of the default grid, and the coarse grid of matched comparisons.
 GRID_LOW, GRID_HIGH, GRID_FIXED, GRID_QUANTILES = 0.001, 0.50, 250, 250
@@ -43,7 +44,7 @@ def fixed_grid(
 def grid_table(val: DataFrame, grids: dict[tuple, list[float]], by: Sequence[str]) -> DataFrame:
     rows = [(*key, t) for key, grid in grids.items() for t in grid]
     schema = val.select(*by).schema.add("threshold", "double")
-    return val.sparkSession.createDataFrame(rows, schema)
+    return local_table(val.sparkSession, rows, schema)
 
 
 def threshold_sweep(

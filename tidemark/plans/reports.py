@@ -86,22 +86,26 @@ def tuned_results(
     ``pred`` is long (model, split, year, y_true, y_prob) with splits ``val`` and ``test``.
     """
     val, test = pred.where(F.col("split") == "val"), pred.where(F.col("split") == "test")
-    sweep = thresholds.threshold_sweep(val, thresholds.threshold_grid(val))
+    by = ["model", year]
+    metrics.validate_scores(test)
+    sweep = materialize(thresholds.threshold_sweep(val, thresholds.threshold_grid(val)))
     best = thresholds.best_thresholds(sweep)
     tuned = {r["model"]: r["threshold"] for r in best.collect()}
-    by = ["model", year]
-    table = metrics.metric_table(test, by, tuned, n_bins)
-    performance = metrics.add_time_gap(
-        table.select(*by, "n_rows", "default_rate", "pred_positive_rate", "auc", "f1", "threshold"),
-        val_year, year,
+    # performance, calibration and bins all come from these few rows per model and year
+    profile = materialize(metrics.score_profile(test, by, tuned, n_bins))
+    edges = F.array(*map(F.lit, metrics.uniform_edges(n_bins)))
+    sums = profile.withColumn("edges", edges)
+    performance = metrics.metrics_from(profile, by).select(
+        *by, "n_rows", "default_rate", "pred_positive_rate", "auc", "f1", "threshold"
     )
-    calibrated, bins = calibration.calibration_by(test, by, n_bins, reference_year=val_year)
+    calibrated = metrics.with_threshold(calibration.calibration_from(sums, by), tuned)
+    bins = metrics.with_threshold(calibration.bins_from(sums, by), tuned)
     return {
         "validation_threshold_search": sweep,
         "best_thresholds": best,
-        "temporal_metrics": performance,
-        "temporal_calibration": metrics.with_threshold(calibrated, tuned),
-        "reliability_bins": metrics.with_threshold(bins, tuned),
+        "temporal_metrics": metrics.add_time_gap(performance, val_year, year),
+        "temporal_calibration": metrics.add_time_gap(calibrated, val_year, year),
+        "reliability_bins": metrics.add_time_gap(bins, val_year, year),
     }
 
 

@@ -1,11 +1,14 @@
-"""The shared folder that jobs write intermediate tables to."""
+"""The shared folder for intermediate tables, and small tables held by the driver."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +34,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared folder, so later passes neither recompute nor depend on executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def local_table(
+    spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str
+) -> DataFrame:
+    """A table from rows known to the driver.
+
+    Arrow data becomes a local relation whose size the optimizer knows, so that a join with it is
+    broadcast if it is small and shuffled if it is not.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = schema.names
+    table = pa.Table.from_pylist(
+        [dict(zip(names, row)) for row in rows], schema=to_arrow_schema(schema)
+    )
+    return spark.createDataFrame(table, schema)
