@@ -48,6 +48,6 @@ def as_text(col: Column, dtype: T.DataType) -> Column:
     return (
         F.when(F.isnan(col), F.lit(None))
         .when((size >= 1e16) | ((size < 1e-4) & (size > 0)), power)
-        .when((size >= 1e7) | (size < 1e-3), F.coalesce(plain, text))
+        .when((size >= 1e7) | ((size < 1e-3) & (size > 0)), F.coalesce(plain, text))
         .otherwise(text)
     )
