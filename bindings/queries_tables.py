@@ -238,7 +238,8 @@ def split_xy(spark, folder):
 @query("temporal_split", """SELECT id, CASE WHEN year <= 1997 THEN 'train' WHEN year = 1998 THEN 'val'
     ELSE 'test' END AS split FROM loans_keyed""")
 def temporal_split(spark, folder):
-    parts = split.temporal_split(t.loans_keyed(spark, folder), 1997, [1998], roles=t.LOANS)
+    df = t.loans_keyed(spark, folder)
+    parts = split.temporal_split(df, 1997, [1998], roles=t.LOANS, year_of_time=True)
     return parts.tagged().select("id", "split")
 
 

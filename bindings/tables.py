@@ -41,6 +41,7 @@ def loans_wide(spark, folder):
     year = F.year("l_shipdate")
     hidden = (year >= 2000) & (F.col("l_linenumber") == 2)
     return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_shipdate").alias("issue_d"),
         year.alias("year"),
         (F.col("l_returnflag") == "R").cast("int").alias("target"),
         (F.col("l_quantity") + (year - 1995)).alias("qty_shifted"),
@@ -53,12 +54,13 @@ def loans_wide(spark, folder):
 
 
 def wide_split(spark, folder):
-    df = loans_wide(spark, folder).withColumn("issue_d", F.make_date("year", F.lit(1), F.lit(1)))
-    return temporal_split_tvt(df, TRAIN_END, VAL_YEAR, TEST_YEARS, LOANS)
+    df = loans_wide(spark, folder)
+    return temporal_split_tvt(df, TRAIN_END, VAL_YEAR, TEST_YEARS, LOANS, year_of_time=True)
 
 
 def keyed_split(spark, folder):
-    return temporal_split_tvt(loans_keyed(spark, folder), TRAIN_END, VAL_YEAR, TEST_YEARS, LOANS)
+    df = loans_keyed(spark, folder)
+    return temporal_split_tvt(df, TRAIN_END, VAL_YEAR, TEST_YEARS, LOANS, year_of_time=True)
 
 
 def pred(spark, folder):

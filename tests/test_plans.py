@@ -53,6 +53,12 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in plan(df)
 
 
+def test_years_skip_files_by_date(parts):
+    assert "LessThan(l_shipdate,1998-01-01T00:00)" in plan(parts.train)
+    assert "GreaterThanOrEqual(l_shipdate,1999-01-01T00:00)" in plan(parts.test)
+    assert "Or(" in plan(parts.tagged())
+
+
 def test_small_tables_with_known_size_are_broadcast(spark):
     tuned = metrics.with_threshold(t.pred(spark, FOLDER), {"a": 0.1, "b": 0.2, "c": 0.3})
     text = plan(tuned)

@@ -210,6 +210,15 @@ def test_default_test_years(loans):
     assert counts == {"train": 80, "val": 40, "test": 80}
 
 
+def test_dates_go_along_with_known_years(loans):
+    plain = split.temporal_split(loans, 2011, [2013])
+    dated = split.temporal_split(loans, 2011, [2013], year_of_time=True)
+    for part in split.SPLITS:
+        assert rows_of(dated.view(part)) == rows_of(plain.view(part))
+    assert rows_of(dated.tagged()) == rows_of(plain.tagged())
+    assert rows_of(split.describe_split(dated)) == rows_of(split.describe_split(plain))
+
+
 def test_overlapping_years(loans):
     parts = split.temporal_split_tvt(loans, 2012, 2012, (2012, 2014))
     assert not parts.disjoint()

@@ -9,6 +9,7 @@ shuffles counts. The sketch only chooses where to cut, so its error cannot reach
 from __future__ import annotations
 
 import math
+import sys
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -21,6 +22,7 @@ from tidemark.session import local_table
 BRACKET_ROWS = 500_000
 # Cuts per bracket and pass.
 PIECES = 256
+LARGEST = sys.float_info.max
 
 
 def interpolate(low: float, high: float, share: float) -> float:
@@ -43,18 +45,41 @@ def _long(df: DataFrame, columns, by, edges):
             )
         )
     rows = df.select(*by, F.inline(F.array(*cells)))
-    return rows.where(F.col("value").between(-1.7976931348623157e308, 1.7976931348623157e308))
-
-
-def _counts(df, columns, by, edges, sketch):
-    """Size, ends and, if wanted, estimated cuts of every bracket: group -> list by position."""
-    aggregates = [
-        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    ]
-    if sketch:
-        points = F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)])
-        aggregates.append(F.percentile_approx("value", points, 20 * PIECES).alias("cuts"))
-    rows = _long(df, columns, by, edges).groupBy(*by, "column", "bracket").agg(*aggregates)
+    return rows.where(F.col("value").between(-LARGEST, LARGEST))
+
+
+def _whole_columns(df, columns, by):
+    """Size and ends of every column, as a single bracket per group."""
+    aggregates = []
+    for i, column in enumerate(columns):
+        value = F.col(column).cast("double")
+        finite = F.when(value.between(-LARGEST, LARGEST), value)
+        aggregates.append(
+            F.struct(
+                F.lit(0).alias("bracket"),
+                F.count(finite).alias("n"),
+                F.min(finite).alias("low"),
+                F.max(finite).alias("high"),
+            ).alias(f"__c{i}")
+        )
+    groups = {}
+    # a global aggregate has a row even for an empty table
+    for row in df.groupBy(*by).agg(*aggregates).collect():
+        for i, column in enumerate(columns):
+            if row[f"__c{i}"]["n"]:
+                groups[(*(row[k] for k in by), column)] = [row[f"__c{i}"]]
+    return groups
+
+
+def _brackets(df, columns, by, edges):
+    """Size, ends and estimated cuts of every bracket: group -> list by position."""
+    points = F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)])
+    rows = _long(df, columns, by, edges).groupBy(*by, "column", "bracket").agg(
+        F.count("value").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.percentile_approx("value", points, 20 * PIECES).alias("cuts"),
+    )
     groups = defaultdict(list)
     for row in rows.orderBy(*by, "column", "bracket").collect():
         groups[tuple(row[k] for k in (*by, "column"))].append(row)
@@ -93,7 +118,7 @@ def exact_quantiles(
     by = list(by)
     df = df.select(*by, *columns)
     edges = {c: set() for c in columns}
-    groups = _counts(df, columns, by, edges, sketch=False)
+    groups = _whole_columns(df, columns, by)
     total = {key: sum(b["n"] for b in brackets) for key, brackets in groups.items()}
     ranks = {key: _ranks(n, probs) for key, n in total.items()}
     has_cuts = False
@@ -118,7 +143,7 @@ def exact_quantiles(
                 middle = bracket["low"] / 2 + bracket["high"] / 2
                 # halve the value range as well, so that every pass makes progress
                 edges[key[-1]] |= {low, math.nextafter(high, INF), middle, bracket["high"]}
-        groups = _counts(df, columns, by, edges, sketch=True)
+        groups = _brackets(df, columns, by, edges)
         has_cuts = True
     if open_ranks:
         found.update(_read_ranks(df, columns, by, edges, open_ranks))

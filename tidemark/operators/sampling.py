@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scores import add_cells
-from tidemark.operators.joins import BROADCAST_ROWS, exclude_ids
+from tidemark.operators.joins import BROADCAST_ROWS, broadcast_if_small, exclude_ids
 from tidemark.operators.metrics import score_cells
 from tidemark.roles import Roles
-from tidemark.session import local_table
+from tidemark.session import local_table, materialize
 
 log = logging.getLogger(__name__)
 
@@ -62,6 +62,9 @@ def sample_per_year(
     chosen = _lead(narrow, [year], n).select(year, "draw_id").distinct()
     if years is not None and n * len(years) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
+    elif years is None:
+        # the number of years is unknown: draw once, count, then decide
+        chosen = broadcast_if_small(materialize(chosen))
     rows = drawn.join(chosen, [year, "draw_id"], "left_semi")
     # an id that occurs twice is drawn with all its rows; keep to n
     return _lead(rows, [year], n).drop("draw", "draw_id").select(*df.columns)

@@ -15,20 +15,40 @@ SPLITS = ("train", "val", "test")
 
 @dataclass(frozen=True)
 class Split:
-    """The years of each part. Parts may overlap if the years say so."""
+    """The years of each part. Parts may overlap if the years say so.
+
+    ``time`` names the date column whose calendar year ``year`` is, if that is known. Ranges of
+    that column then go along with the years, and files of other years are not read.
+    """
 
     table: DataFrame
     train_end: int
     val_years: tuple[int, ...]
     test_years: tuple[int, ...]
     year: str = "year"
+    time: str | None = None
+
+    def _start_of(self, year: int) -> Column:
+        return F.lit(f"{year:04d}-01-01").cast(self.table.schema[self.time].dataType)
+
+    def span(self, part: str) -> Column:
+        """The dates between the first and last year of a part."""
+        time = F.col(self.time)
+        if part == "train":
+            return time < self._start_of(self.train_end + 1)
+        years = self.val_years if part == "val" else self.test_years
+        if not years:
+            return F.lit(False)
+        return (time >= self._start_of(min(years))) & (time < self._start_of(max(years) + 1))
 
     def member(self, part: str) -> Column:
         year = F.col(self.year)
         if part == "train":
-            return year <= self.train_end
-        years = self.val_years if part == "val" else self.test_years
-        return year.isin(*years) if years else F.lit(False)
+            inside = year <= self.train_end
+        else:
+            years = self.val_years if part == "val" else self.test_years
+            inside = year.isin(*years) if years else F.lit(False)
+        return inside if self.time is None else inside & self.span(part)
 
     def view(self, part: str) -> DataFrame:
         return self.table.where(self.member(part))
@@ -57,7 +77,10 @@ class Split:
             lambda tag, part: tag.when(self.member(part), part), SPLITS[1:],
             F.when(self.member("train"), "train"),
         )
-        return self.table.withColumn(column, tag).where(F.col(column).isNotNull())
+        table = self.table
+        if self.time is not None:
+            table = table.where(reduce(Column.__or__, map(self.span, SPLITS)))
+        return table.withColumn(column, tag).where(F.col(column).isNotNull())
 
 
 def validate_split_input(
@@ -95,6 +118,7 @@ def temporal_split(
     test_years: Sequence[int] | None = None,
     roles: Roles = Roles(),
     year: str = "year",
+    year_of_time: bool = False,
 ) -> Split:
     """Train up to ``train_end``; test on the given years, else on all later unused ones."""
     df, present = validate_split_input(df, roles, year)
@@ -107,7 +131,7 @@ def temporal_split(
         raise ValueError("the split leaves no training rows")
     if not set(test) & set(present):
         raise ValueError("the split leaves no test rows")
-    return Split(df, train_end, val, test, year)
+    return Split(df, train_end, val, test, year, roles.time if year_of_time else None)
 
 
 def temporal_split_tvt(
@@ -117,8 +141,12 @@ def temporal_split_tvt(
     test_years: Sequence[int],
     roles: Roles = Roles(),
     year: str = "year",
+    year_of_time: bool = False,
 ) -> Split:
-    """Train, one validation year, explicit test years; none may be empty."""
+    """Train, one validation year, explicit test years; none may be empty.
+
+    ``year_of_time`` says that the year column is the calendar year of the time column.
+    """
     df, present = validate_split_input(df, roles, year)
     parts = {
         "training": any(y <= train_end for y in present),
@@ -128,7 +156,8 @@ def temporal_split_tvt(
     for part, found in parts.items():
         if not found:
             raise ValueError(f"the split leaves no {part} rows")
-    return Split(df, train_end, (val_year,), tuple(sorted(set(test_years))), year)
+    time = roles.time if year_of_time else None
+    return Split(df, train_end, (val_year,), tuple(sorted(set(test_years))), year, time)
 
 
 def period_subsets(test: DataFrame, year: str = "year") -> dict[int, DataFrame]:
