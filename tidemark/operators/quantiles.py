@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import sys
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -31,23 +32,6 @@ def interpolate(low: float, high: float, share: float) -> float:
     return high - step * (1 - share) if share >= 0.5 else low + step * share
 
 
-def _long(df: DataFrame, columns, by, edges):
-    """Rows (by, column, bracket, value) without missing or infinite values."""
-    cells = []
-    for i, column in enumerate(columns):
-        df = df.withColumn(f"__v{i}", F.col(column).cast("double"))
-        df = add_cells(df, f"__v{i}", edges[column], f"__b{i}")
-        cells.append(
-            F.struct(
-                F.lit(column).alias("column"),
-                F.col(f"__b{i}").alias("bracket"),
-                F.col(f"__v{i}").alias("value"),
-            )
-        )
-    rows = df.select(*by, F.inline(F.array(*cells)))
-    return rows.where(F.col("value").between(-LARGEST, LARGEST))
-
-
 def _whole_columns(df, columns, by):
     """Size and ends of every column, as a single bracket per group."""
     aggregates = []
@@ -60,6 +44,7 @@ def _whole_columns(df, columns, by):
                 F.count(finite).alias("n"),
                 F.min(finite).alias("low"),
                 F.max(finite).alias("high"),
+                F.lit(None).alias("cuts"),
             ).alias(f"__c{i}")
         )
     groups = {}
@@ -71,17 +56,48 @@ def _whole_columns(df, columns, by):
     return groups
 
 
-def _brackets(df, columns, by, edges):
-    """Size, ends and estimated cuts of every bracket: group -> list by position."""
+def _long(df, columns, by, edges):
+    """Rows (by, column, bracket, value) without missing or infinite values."""
+    cells = []
+    for i, column in enumerate(columns):
+        df = df.withColumn(f"__v{i}", F.col(column).cast("double"))
+        df = add_cells(df, f"__v{i}", edges[column], f"__b{i}")
+        cells.append(
+            F.struct(
+                F.lit(column).alias("column"),
+                F.col(f"__b{i}").alias("bracket"),
+                F.col(f"__v{i}").alias("value"),
+            )
+        )
+    rows = df.select(*by, F.inline(F.array(*cells)))
+    return rows.where(F.col("value").between(-LARGEST, LARGEST))
+
+
+def _brackets(df, columns, by, edges, spans):
+    """Size and ends of every bracket, and estimated cuts of those inside the given spans."""
+    group = [*by, "column", "bracket"]
+    rows = _long(df, columns, by, edges)
+    inside = set()
+    for key, ends in spans.items():
+        inner = sorted(edges[key[-1]])
+        for low, high in ends:
+            places = range(bisect_right(inner, low), bisect_right(inner, high) + 1)
+            inside.update((*key, place, True) for place in places)
+    schema = rows.select(*group).schema.add("wanted", "boolean")
     points = F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)])
-    rows = _long(df, columns, by, edges).groupBy(*by, "column", "bracket").agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.percentile_approx("value", points, 20 * PIECES).alias("cuts"),
+    sketched = F.when(F.col("wanted"), F.col("value"))
+    counted = (
+        rows.join(local_table(df.sparkSession, inside, schema), group, "left")
+        .groupBy(*group)
+        .agg(
+            F.count("value").alias("n"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.percentile_approx(sketched, points, 20 * PIECES).alias("cuts"),
+        )
     )
     groups = defaultdict(list)
-    for row in rows.orderBy(*by, "column", "bracket").collect():
+    for row in sorted(counted.collect(), key=lambda r: r["bracket"]):
         groups[tuple(row[k] for k in (*by, "column"))].append(row)
     return groups
 
@@ -121,32 +137,27 @@ def exact_quantiles(
     groups = _whole_columns(df, columns, by)
     total = {key: sum(b["n"] for b in brackets) for key, brackets in groups.items()}
     ranks = {key: _ranks(n, probs) for key, n in total.items()}
-    has_cuts = False
     while True:
-        found, open_ranks, large = {}, defaultdict(list), []
+        found, open_ranks, spans = {}, defaultdict(list), defaultdict(list)
         for key, wanted in ranks.items():
             for rank in wanted:
                 bracket, inside = _locate(groups[key], rank)
                 if bracket["low"] == bracket["high"]:
                     found[key, rank] = bracket["low"]
-                elif bracket["n"] > bracket_rows:
-                    large.append((key, bracket, inside))
-                else:
+                elif bracket["n"] <= bracket_rows:
                     open_ranks[(*key, bracket["bracket"])].append((inside, rank))
-        if not large:
+                else:
+                    spans[key].append(_narrower(bracket, inside))
+                    low, high = spans[key][-1]
+                    middle = bracket["low"] / 2 + bracket["high"] / 2
+                    # halve the range and part off its end, so that every pass makes progress
+                    edges[key[-1]] |= {low, math.nextafter(high, INF), middle, bracket["high"]}
+        if not spans:
             break
-        if has_cuts:
-            for key, bracket, inside in large:
-                cuts, at = bracket["cuts"], inside / bracket["n"] * PIECES
-                low = cuts[max(math.floor(at) - 1, 0)]
-                high = cuts[min(math.ceil(at) + 1, PIECES)]
-                middle = bracket["low"] / 2 + bracket["high"] / 2
-                # halve the value range as well, so that every pass makes progress
-                edges[key[-1]] |= {low, math.nextafter(high, INF), middle, bracket["high"]}
-        groups = _brackets(df, columns, by, edges)
-        has_cuts = True
+        unsettled = sorted({key[-1] for key in spans})
+        groups.update(_brackets(df, unsettled, by, edges, spans))
     if open_ranks:
-        found.update(_read_ranks(df, columns, by, edges, open_ranks))
+        found.update(_read_ranks(df, by, edges, open_ranks))
 
     quantiles = {}
     for key, n in total.items():
@@ -160,10 +171,19 @@ def exact_quantiles(
     return quantiles
 
 
-def _read_ranks(df, columns, by, edges, open_ranks):
+def _narrower(bracket, inside):
+    """Ends of the part of a bracket that probably holds the rank."""
+    cuts = bracket["cuts"]
+    if not cuts:
+        return bracket["low"], bracket["high"]
+    at = inside / bracket["n"] * PIECES
+    return cuts[max(math.floor(at) - 1, 0)], cuts[min(math.ceil(at) + 1, PIECES)]
+
+
+def _read_ranks(df, by, edges, open_ranks):
     """Sort the values of the small brackets and pick the wanted ranks."""
     group = [*by, "column", "bracket"]
-    rows = _long(df, columns, by, edges)
+    rows = _long(df, sorted({key[-2] for key in open_ranks}), by, edges)
     schema = rows.select(*group).schema.add("ranks", T.ArrayType(T.LongType()))
     ranks = [(*key, sorted(inside for inside, _ in wanted)) for key, wanted in open_ranks.items()]
     wanted = local_table(df.sparkSession, ranks, schema)

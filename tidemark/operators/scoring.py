@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -56,7 +57,6 @@ class FittedModel:
     groups: FeatureGroups
     pipeline: PipelineModel
     slots: list[str]
-    reduce: Transformer | None = field(default=None)
 
     @property
     def estimator(self):
@@ -85,8 +85,6 @@ class Projection(Transformer):
 
         @F.pandas_udf("array<double>")
         def project(rows: pd.Series) -> pd.Series:
-            import numpy as np
-
             return pd.Series(list(np.stack(rows.to_numpy()) @ components)) if len(rows) else rows
 
         projected = project(vector_to_array("features"))
@@ -193,7 +191,7 @@ def fit_mlp(
         seed=config.seed,
     ).fit(scaler.transform(reduced).select("scaled", "label"))
     pipeline = PipelineModel([*stages.stages, reduce, scaler, model])
-    return FittedModel(name, groups, pipeline, slots, reduce)
+    return FittedModel(name, groups, pipeline, slots)
 
 
 def predict_label(model: FittedModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
