@@ -182,12 +182,16 @@ def test_replies(spark):
         json.dumps({"predicted_label": 1}),
         json.dumps({"default_probability": 0.5}),
         "{not json", None,
+        '{"default_probability": 0.5, "predicted_label": 1',
+        '{"default_probability": 0.5, "predicted_label": 1} and more',
+        '{"default_probability": 0.5, "predicted_label": 1}, {}',
+        "{'default_probability': 0.5, 'predicted_label': 1}",
     ]
     df = local_table(spark, list(enumerate(replies)), "i int, raw string")
     found = {r["i"]: r for r in prompts.parse_reply(df, "raw").collect()}
     assert [found[i]["llm_default_probability"] for i in range(3)] == [1.0, 0.0, 0.25]
     assert [found[i]["llm_predicted_label_raw"] for i in range(3)] == [1, 0, 1]
-    for i in range(3, 7):
+    for i in range(3, len(replies)):
         assert found[i]["llm_error"] is not None
         assert found[i]["llm_default_probability"] is None
     unlabelled = prompts.parse_reply(df, "raw", label_path=None).where("i = 5").first()

@@ -11,7 +11,7 @@ from tidemark.functions import text
 from tidemark.operators.sampling import sample_per_year
 from tidemark.roles import Roles
 
-# The wording of the prompt, and the shape of a reply.
+# The wording of the prompt, and the usual context columns.
 PROMPT_HEAD = """You are evaluating the risk that a consumer loan will default.
 
 Use the borrower-provided text and optional structured loan context below.
@@ -31,7 +31,6 @@ Respond in JSON with keys:
 - rationale"""
 NO_CONTEXT = "(none provided)"
 NO_TEXT = "(no text provided)"
-REPLY_SCHEMA = "default_probability double, predicted_label int"
 CONTEXT_COLUMNS = (
     "loan_amnt", "term", "int_rate", "annual_inc", "dti", "fico_range_low", "fico_range_high",
     "purpose", "home_ownership", "emp_length",
@@ -57,7 +56,7 @@ def text_block(df: DataFrame, columns: Sequence[str], max_chars: int) -> Column:
     """A line ``column: text`` for every text that is not empty."""
     lines = []
     for c in columns:
-        value = text.clean(F.col(c))
+        value = text.clean(text.as_text(F.col(c), df.schema[c].dataType))
         cut = text.truncate(value, max_chars)
         lines.append(F.when(value != "", F.concat(F.lit(f"{c}: "), cut)))
     return text.strip(F.concat_ws("\n", *lines)) if lines else F.lit("")
@@ -133,14 +132,19 @@ def parse_reply(
 
     A reply without a readable probability and label is an error row, to be tried again.
     """
-    reply = F.col(raw)
-    p = F.get_json_object(reply, probability_path).try_cast("double") / F.lit(scale)
-    p = F.nanvl(p, F.lit(None))
-    readable = p.isNotNull()
+    # inside a list, text after the object is an error rather than ignored
+    reply = F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]")))
+
+    def field(path):
+        return F.try_variant_get(reply, f"$[0]{path.removeprefix('$')}", "double")
+
+    alone = F.try_variant_get(reply, "$[1]", "variant").isNull()
+    p = F.nanvl(field(probability_path) / F.lit(scale), F.lit(None))
+    readable = p.isNotNull() & alone
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
     label = F.lit(None).cast("int")
     if label_path is not None:
-        label = F.get_json_object(reply, label_path).try_cast("double").cast("int")
+        label = field(label_path).try_cast("int")
         readable = readable & label.isNotNull()
     failed = F.when(~readable, F.lit("unreadable reply"))
     if error is not None:
