@@ -52,7 +52,7 @@ def score_cells(pred: DataFrame, cells: int | None = None, score: str = "y_prob"
     They only decide how ranking work is spread, so estimated quantiles will do.
     """
     if cells is None:
-        cells = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = 8 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = max(1, min(cells, MAX_CELLS))
     if cells == 1:
         return []

@@ -21,8 +21,9 @@ from tidemark.session import local_table
 
 # Most rows of one bracket that are sorted in one task.
 BRACKET_ROWS = 500_000
-# Cuts per bracket and pass.
+# Cuts per bracket and pass, and about how many of its rows the estimate of the cuts is based on.
 PIECES = 256
+SKETCH_ROWS = 500_000
 LARGEST = sys.float_info.max
 
 
@@ -77,23 +78,26 @@ def _brackets(df, columns, by, edges, spans):
     """Size and ends of every bracket, and estimated cuts of those inside the given spans."""
     group = [*by, "column", "bracket"]
     rows = _long(df, columns, by, edges)
-    inside = set()
+    inside = {}
     for key, ends in spans.items():
         inner = sorted(edges[key[-1]])
-        for low, high in ends:
+        for low, high, n in ends:
             places = range(bisect_right(inner, low), bisect_right(inner, high) + 1)
-            inside.update((*key, place, True) for place in places)
-    schema = rows.select(*group).schema.add("wanted", "boolean")
+            for place in places:
+                share = min(1.0, SKETCH_ROWS / n)
+                inside[(*key, place)] = max(share, inside.get((*key, place), 0.0))
+    schema = rows.select(*group).schema.add("share", "double")
+    inside = [(*place, share) for place, share in inside.items()]
     points = F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)])
-    sketched = F.when(F.col("wanted"), F.col("value"))
     counted = (
         rows.join(local_table(df.sparkSession, inside, schema), group, "left")
+        .withColumn("sketched", F.when(F.rand(0) < F.col("share"), F.col("value")))
         .groupBy(*group)
         .agg(
             F.count("value").alias("n"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
-            F.percentile_approx(sketched, points, 20 * PIECES).alias("cuts"),
+            F.percentile_approx("sketched", points, 20 * PIECES).alias("cuts"),
         )
     )
     groups = defaultdict(list)
@@ -148,7 +152,7 @@ def exact_quantiles(
                     open_ranks[(*key, bracket["bracket"])].append((inside, rank))
                 else:
                     spans[key].append(_narrower(bracket, inside))
-                    low, high = spans[key][-1]
+                    low, high, _ = spans[key][-1]
                     middle = bracket["low"] / 2 + bracket["high"] / 2
                     # halve the range and part off its end, so that every pass makes progress
                     edges[key[-1]] |= {low, math.nextafter(high, INF), middle, bracket["high"]}
@@ -172,12 +176,13 @@ def exact_quantiles(
 
 
 def _narrower(bracket, inside):
-    """Ends of the part of a bracket that probably holds the rank."""
-    cuts = bracket["cuts"]
+    """Ends and rough size of the part of a bracket that probably holds the rank."""
+    cuts, n = bracket["cuts"], bracket["n"]
     if not cuts:
-        return bracket["low"], bracket["high"]
-    at = inside / bracket["n"] * PIECES
-    return cuts[max(math.floor(at) - 1, 0)], cuts[min(math.ceil(at) + 1, PIECES)]
+        return bracket["low"], bracket["high"], n
+    at = inside / n * PIECES
+    low, high = max(math.floor(at) - 1, 0), min(math.ceil(at) + 1, PIECES)
+    return cuts[low], cuts[high], n * (high - low) / PIECES
 
 
 def _read_ranks(df, by, edges, open_ranks):

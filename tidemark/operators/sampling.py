@@ -19,9 +19,10 @@ from tidemark.session import local_table, materialize
 log = logging.getLogger(__name__)
 
 # Up to this many rows per group Spark keeps only the leading rows of each task before the
-# shuffle; beyond it a first round over salted groups does the same.
+# shuffle. Beyond it, rows far down the order are left out after counting that enough remain.
 LEADING_ROWS = 1000
 SALTS = 64
+HEX_DIGITS = 16
 
 
 def draw_order(seed: Column | int, id_column: str) -> Column:
@@ -33,6 +34,30 @@ def _lead(df: DataFrame, groups: Sequence, n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
+def _near_the_top(narrow: DataFrame, year: str, n: int) -> DataFrame:
+    """Rows whose hash starts with so many zeros that each year still has ``n`` distinct ids, or all.
+
+    Runs one job that counts ids per year and number of leading zeros.
+    """
+    zeros = F.length("draw") - F.length(F.ltrim("draw", F.lit("0")))
+    counts = narrow.groupBy(year, F.least(zeros, F.lit(HEX_DIGITS)).alias("zeros")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    by_year = {}
+    for row in counts.collect():
+        by_year.setdefault(row[year], {})[row["zeros"]] = row["n"]
+    wanted = F.lit(0)
+    for value, sizes in by_year.items():
+        left, least = 0, 0
+        for count in range(HEX_DIGITS, -1, -1):
+            left += sizes.get(count, 0)
+            if left >= n:
+                least = count
+                break
+        wanted = F.when(F.col(year).eqNullSafe(F.lit(value)), F.lit(least)).otherwise(wanted)
+    return narrow.where(zeros >= wanted)
+
+
 def sample_per_year(
     df: DataFrame,
     n: int,
@@ -57,8 +82,8 @@ def sample_per_year(
     })
     narrow = drawn.select(year, "draw", "draw_id")
     if n > LEADING_ROWS:
-        salt = F.pmod(F.xxhash64("draw_id"), F.lit(SALTS))
-        narrow = _lead(narrow.withColumn("salt", salt), [year, "salt"], n).drop("salt")
+        # an id that occurs very often counts once
+        narrow = _near_the_top(narrow, year, n).distinct()
     chosen = _lead(narrow, [year], n).select(year, "draw_id").distinct()
     if years is not None and n * len(years) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
@@ -66,6 +91,9 @@ def sample_per_year(
         # the number of years is unknown: draw once, count, then decide
         chosen = broadcast_if_small(materialize(chosen))
     rows = drawn.join(chosen, [year, "draw_id"], "left_semi")
+    if n > LEADING_ROWS:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        rows = _lead(rows.withColumn("__salt", salt), [year, "__salt"], n).drop("__salt")
     # an id that occurs twice is drawn with all its rows; keep to n
     return _lead(rows, [year], n).drop("draw", "draw_id").select(*df.columns)
 
