@@ -37,6 +37,77 @@ IMPORTANCE_B = {
     "fico_n": 0.08444049, "loan_amnt": 0.04273146, "revenue": 0.04184435,
     "dti_n": 0.02756755, "experience_c": 0.007003162,
 }
+# Published slot coefficients of a logistic model.
+COEFFICIENTS = {
+    "cat__purpose_small_business": 0.625392536007007,
+    "cat__purpose_credit_card": -0.5901317415613053,
+    "cat__home_ownership_n_MORTGAGE": -0.409477970873444,
+    "num__fico_n": -0.38648177576854076,
+    "num__revenue": -0.3629888097907095,
+    "cat__home_ownership_n_OWN": -0.3537663638683015,
+    "cat__purpose_wedding": -0.33148231137970524,
+    "num__loan_amnt": 0.32615051546570356,
+    "cat__purpose_debt_consolidation": -0.3234876307604235,
+    "cat__purpose_major_purchase": -0.2701224475391197,
+    "cat__purpose_car": -0.2644392962396375,
+    "cat__home_ownership_n_RENT": -0.26291745112907633,
+    "cat__emp_length_NI": 0.161499558371054,
+    "cat__emp_length_1 year": -0.14780235934760486,
+    "cat__emp_length_2 years": -0.14374479878027663,
+    "cat__purpose_home_improvement": -0.13608052591762784,
+    "cat__emp_length_4 years": -0.13282691666749502,
+    "cat__emp_length_3 years": -0.13097475428924066,
+    "cat__emp_length_5 years": -0.1258965932373027,
+    "num__dti_n": 0.11642684769382701,
+    "cat__emp_length_10+ years": -0.1148691119855317,
+    "cat__purpose_other": 0.10587270043566892,
+    "cat__purpose_educational": 0.10151386921982236,
+    "cat__emp_length_< 1 year": -0.08621841874851653,
+    "cat__emp_length_8 years": -0.08561923204169537,
+    "cat__emp_length_7 years": -0.07830412111448458,
+    "cat__emp_length_9 years": -0.07491715619520913,
+    "cat__purpose_medical": 0.0701390968614288,
+    "cat__emp_length_6 years": -0.06920323566437664,
+    "cat__purpose_house": -0.061491152120664784,
+    "cat__purpose_renewable_energy": 0.033581916707931335,
+    "cat__purpose_moving": 0.008155246013220343,
+    "cat__purpose_vacation": 0.0037026005722331063,
+    "cat__home_ownership_n_OTHER": -0.0027153538305372325,
+    "num__experience_c": 0.0013105888686772075,
+}
+# Published AUC, F1 and accuracy of four models on 500 matched rows per year.
+MATCHED = {
+    "outside": (
+        (0.5467940907706366, 0.3277591973244147, 0.196),
+        (0.544010033136966, 0.3660130718954248, 0.224),
+        (0.5078742588932806, 0.4177215189873418, 0.264),
+        (0.5977411764705882, 0.2608695652173913, 0.15),
+    ),
+    "logreg": (
+        (0.6167377398720683, 0.32, 0.66),
+        (0.6631995581737851, 0.4142857142857143, 0.672),
+        (0.6345932147562583, 0.3435114503816794, 0.656),
+        (0.7103058823529411, 0.35294117647058826, 0.758),
+    ),
+    "mlp": (
+        (0.5615544725352828, 0.3209169054441261, 0.526),
+        (0.6409701767304861, 0.42565597667638483, 0.606),
+        (0.6226737483530962, 0.41643835616438357, 0.574),
+        (0.6328470588235294, 0.3082706766917293, 0.632),
+    ),
+    "trees": (
+        (0.62960706670728, 0.3371647509578544, 0.654),
+        (0.6553065169366716, 0.3970037453183521, 0.678),
+        (0.626461627140975, 0.34782608695652173, 0.67),
+        (0.699764705882353, 0.3314917127071823, 0.758),
+    ),
+}
+MATCHED_MEANS = {
+    "logreg": (0.6562090987887632, 0.3576845852844955, 0.6865),
+    "trees": (0.6527849791668199, 0.35337157398497765, 0.69),
+    "mlp": (0.6145113641105986, 0.36782047874415597, 0.5845),
+    "outside": (0.5491048898178679, 0.3430908383561432, 0.2085),
+}
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +146,40 @@ def test_published_overlap(spark):
     assert rows[0]["overlapping_features"] == "emp_length, fico_n, home_ownership_n, purpose"
 
 
+def test_published_coefficients(spark):
+    slots = local_table(
+        spark, [("logreg", name, w) for name, w in COEFFICIENTS.items()],
+        "model string, transformed_feature string, weight double",
+    )
+    numeric = ["dti_n", "experience_c", "fico_n", "loan_amnt", "revenue"]
+    categorical = ["emp_length", "home_ownership_n", "purpose"]
+    based = reliance.add_base_features(slots, numeric, categorical)
+    rows = reliance.coefficient_importance(based).collect()
+    found = {r["base_feature"]: r["importance_abs"] for r in rows}
+    assert found == pytest.approx(IMPORTANCE_A, abs=1e-12)
+    sizes = {r["base_feature"]: r["n_transformed_features"] for r in rows}
+    assert (sizes["purpose"], sizes["emp_length"], sizes["home_ownership_n"]) == (14, 12, 4)
+
+
+def test_published_model_summary(spark):
+    rows = [
+        (model, year, 500, auc, f1, accuracy, 0.0, 0.0, 0.0)
+        for model, values in MATCHED.items()
+        for year, (auc, f1, accuracy) in zip(YEARS, values)
+    ]
+    table = local_table(
+        spark, rows,
+        "model string, year int, n_rows bigint, auc double, f1 double, accuracy double, "
+        "brier_score double, ece double, pred_positive_rate double",
+    )
+    summary = metrics.model_summary(table).collect()
+    assert [r["model"] for r in summary] == list(MATCHED_MEANS)
+    for row in summary:
+        means = (row["mean_auc"], row["mean_f1"], row["mean_accuracy"])
+        assert means == pytest.approx(MATCHED_MEANS[row["model"]], abs=1e-12)
+        assert (row["n_years"], row["total_rows"]) == (4, 2000)
+
+
 def test_published_changes(spark):
     rows = [("m", y, a, f, e, b) for y, a, f, e, b in (
         (2015, 0.6556791189432426, 0.39026000280548884, 0.032468362243949174, 0.1547501772910569),

@@ -45,6 +45,11 @@ def test_groups(spark, bracket_rows):
         assert found[g, "v"] == expected(value[group == g], probs)
 
 
+def test_groups_without_a_name_are_left_out(spark):
+    df = numbers(spark, [["x", None], [1.0, 2.0]], "g string, v double")
+    assert exact_quantiles(df, ["v"], [0.5], ["g"]) == {("x", "v"): [1.0]}
+
+
 def test_missing_and_infinite_values_are_left_out(spark):
     inf, nan = float("inf"), float("nan")
     df = numbers(spark, [[1.0, None, nan, inf, -inf, 2.0, 4.0]], "v double")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.scores import right_closed_bin
-from tidemark.operators.features import categorical_columns, is_numeric, melt, numeric_columns
+from tidemark.operators.features import categorical_columns, melt, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.split import years_present
 from tidemark.roles import EPS, MISSING, OTHER

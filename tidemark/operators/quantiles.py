@@ -132,11 +132,13 @@ def exact_quantiles(
 ) -> dict[tuple, list[float]]:
     """Linearly interpolated quantiles per group and column: ``{(*group, column): [...]}``.
 
-    Missing and infinite values are left out; a group without values is absent. The result has
+    Missing and infinite values are left out; a group without values or name is absent. The result has
     one list per group, so ``by`` should name models and periods rather than ids.
     """
     by = list(by)
     df = df.select(*by, *columns)
+    if by:
+        df = df.dropna(subset=by)
     edges = {c: set() for c in columns}
     groups = _whole_columns(df, columns, by)
     total = {key: sum(b["n"] for b in brackets) for key, brackets in groups.items()}

@@ -115,6 +115,8 @@ def sample_excluding(
         df = exclude_ids(df, used, id_column)
     rows = sample_per_year(df, n, seed, years, id_column, year, seed_plus_year=True)
     if warn:
+        # n rows per year at most, read once
+        rows = materialize(rows)
         for row in shortfall(rows, years, n, year).collect():
             log.warning("asked for %d rows of %s, found %d", n, row[year], row["n_rows"])
     return rows
