@@ -69,7 +69,8 @@ def impute_median(spark, folder):
 @query("impute_mode", "SELECT id, n_name FROM filled")
 def impute_mode(spark, folder):
     df = gappy(spark, folder)
-    return prepare.impute_mode(df, prepare.modes(past(df), ["n_name"])).select("id", "n_name")
+    common = prepare.modes(prepare.level_counts(past(df), ["n_name"]))
+    return prepare.impute_mode(df, common).select("id", "n_name")
 
 
 @query("standardize", "SELECT id, round(o_totalprice, 6) AS o_totalprice, "
@@ -88,7 +89,7 @@ def standardize(spark, folder):
 def one_hot(spark, folder):
     df = t.loans_keyed(spark, folder)
     known = df.where(F.col("c_mktsegment") != "BUILDING")
-    return prepare.one_hot(df, prepare.categories(known, ["c_mktsegment"]), ["id"])
+    return prepare.one_hot(df, prepare.categories(prepare.level_counts(known, ["c_mktsegment"])), ["id"])
 
 
 @query("tabular_preprocessor", """SELECT id, CAST(32 AS INTEGER) AS n_slots,

@@ -82,7 +82,8 @@ def validate_schema(spark, folder):
 def load_clean(spark, folder):
     path = scratch_path(spark, "raw-loans") + ".csv"
     sink.write_metrics(raw_loans(spark, folder), path)
-    df = clean.load_clean(spark, path, RAW)
+    schema = "id bigint, issue_d string, `Default` string, title string, o_totalprice double"
+    df = clean.load_clean(spark, path, RAW, schema=schema)
     return df.select("id", day("issue_d"), "Default", "title", "year", "month")
 
 

@@ -239,7 +239,7 @@ def test_preparation(spark, parts):
                          "amount double, gap double, grade string")
     codes = [r["v"][2:] for r in stages.transform(unseen).select(
         vector_to_array("features").alias("v")).collect()]
-    common = prepare.modes(parts.train, ["grade"])["grade"]
+    common = prepare.modes(prepare.level_counts(parts.train, ["grade"]))["grade"]
     assert codes == [[0, 0, 0], [float(common == g) for g in "ABC"]]
 
 
@@ -261,7 +261,7 @@ def test_preparation_edges(spark):
 def test_too_many_categories(loans, monkeypatch):
     monkeypatch.setattr(prepare, "MAX_CATEGORIES", 2)
     with pytest.raises(ValueError, match="too many"):
-        prepare.modes(loans, ["grade"])
+        prepare.level_counts(loans, ["grade"])
 
 
 @pytest.fixture(scope="module")

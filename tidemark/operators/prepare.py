@@ -26,29 +26,32 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per feature, the number of values and the mode: the smallest of the most frequent ones."""
-    return value_counts(df, columns).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-    )
-
-
-def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per feature; refuses features with too many values to encode."""
-    rows = value_profile(df, columns).collect()
-    large = [r["feature"] for r in rows if r["n_values"] > MAX_CATEGORIES]
+def level_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Rows per value of each feature, read to the driver.
+
+    Refuses features with too many values to encode, so the result is bounded.
+    """
+    most = MAX_CATEGORIES * len(columns)
+    found = {c: {} for c in columns}
+    for row in value_counts(df, columns).limit(most + 1).collect():
+        found[row["feature"]][row["value"]] = row["n"]
+    large = [c for c, values in found.items() if len(values) > MAX_CATEGORIES]
     if large:
         raise ValueError(f"too many categories to encode: {large}")
-    return {r["feature"]: r["mode"] for r in rows}
+    empty = [c for c, values in found.items() if not values]
+    if empty:
+        raise ValueError(f"columns without any value: {empty}")
+    return found
+
 
+def modes(counts: dict[str, dict[str, int]]) -> dict[str, str]:
+    """Most frequent value per feature; the smallest of equally frequent ones."""
+    return {c: min(values, key=lambda v: (-values[v], v)) for c, values in counts.items()}
 
-def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted values per feature, for features that passed ``modes``."""
-    found = {c: [] for c in columns}
-    for row in value_counts(df, columns).select("feature", "value").collect():
-        found[row["feature"]].append(row["value"])
-    return {c: sorted(values) for c, values in found.items()}
+
+def categories(counts: dict[str, dict[str, int]]) -> dict[str, list[str]]:
+    """Sorted values per feature."""
+    return {c: sorted(values) for c, values in counts.items()}
 
 
 def impute_median(df: DataFrame, fill: dict[str, float]) -> DataFrame:
@@ -112,14 +115,8 @@ def fit_preparation(
     stats = {}
     if scale and numeric:
         stats = scale_stats(impute_median(train.select(*numeric), fill), numeric)
-    common, levels = {}, {}
-    if categorical:
-        common = modes(train, categorical)
-        unknown = [c for c in categorical if c not in common]
-        if unknown:
-            raise ValueError(f"columns without any value: {unknown}")
-        levels = categories(train, categorical)
-    return Preparation(fill, stats, common, levels)
+    counts = level_counts(train, categorical) if categorical else {}
+    return Preparation(fill, stats, modes(counts), categories(counts))
 
 
 def _quoted(text: str) -> str:
