@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm import bpe, labelled, quality, toxicity
+from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring import remove_repeated_passages
 
@@ -87,3 +89,87 @@ def op10_minhash_near_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents")).select(
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
     )
+
+
+LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op4_decontaminate", rf"""
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all({LOWERED.format("text")},
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    items AS (
+        SELECT item_id, ws, CAST(least(10, len(ws)) AS BIGINT) AS n
+        FROM (SELECT item_id, regexp_extract_all({LOWERED.format("text")},
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS run
+        FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM items)),
+    spots AS (
+        SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS run
+        FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i
+              FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)),
+    found AS (SELECT doc_id, i, s.n, item_id FROM spots s JOIN windows w
+              ON s.run = w.run AND s.n = w.n),
+    hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit
+             FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot
+                   FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found
+                    WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           n_hit IS NOT NULL AS contaminated
+    FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id""")
+def op4_decontaminate(spark, folder):
+    """Words of documents that lie in windows of benchmark items, and the items."""
+    out = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op1_bpe")
+def op1_bpe(spark, folder, path: str | None = None):
+    """Every text's ids, and the text that decoding them gives."""
+    vocabulary = bpe.load_vocabulary(spark, path or default_vocabulary())
+    encoded = bpe.encode(table(spark, folder, "documents"), vocabulary)
+    encoded = encoded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
+    )
+    return bpe.decode(encoded, vocabulary).select(
+        "row.*", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    """Scores from a model that learns from labelled rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    rows = labelled.sample(docs, table(spark, folder, "labels"), "toxic")
+    scored = toxicity.score(docs, toxicity.fit(rows)).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id", labelled.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_quality")
+def op3_quality(spark, folder):
+    """Scores from a ranking learnt from labelled rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    rows = labelled.sample(docs, table(spark, folder, "labels"), "quality")
+    scored = quality.score(docs, quality.fit(rows)).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id", labelled.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )

@@ -24,4 +24,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def others(df: DataFrame, *names: str) -> list[str]:
     """The columns besides those an operator handles itself, for a struct that goes along whole."""
-    return [f"`{c}`" for c in df.columns if c not in names]
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns if c not in names]
