@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, labelled, quality, toxicity
+from tidemark.llm import bpe, labelled, language, quality, toxicity, urls, warc
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring import remove_repeated_passages
+from tidemark.session import local_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +174,73 @@ def op3_quality(spark, folder):
         "doc_id", labelled.held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op5_language_id")
+def op5_language_id(spark, folder):
+    """The language of each text, learnt from rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language.label(docs, language.fit(language.sample(docs)))
+    return found.select(
+        "row.doc_id", labelled.held_out("row.doc_id").alias("held_out"),
+        F.col("lang").alias("lang_pred"), "score",
+    )
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query("op6_url_cascade", rf"""
+    WITH parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                     THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+    rules(rule_host, rule_path, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    fits AS (
+        SELECT page_id, rule_host || rule_path AS rule, action,
+               row_number() OVER (PARTITION BY page_id
+                   ORDER BY length(rule_host || rule_path) DESC, rule_host || rule_path) AS n
+        FROM parts JOIN rules
+             ON (host = rule_host OR ends_with(host, '.' || rule_host))
+             AND starts_with(path, rule_path))
+    SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+    FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND n = 1""")
+def op6_url_cascade(spark, folder):
+    """The rule that fits each page's url, and whether it allows or blocks."""
+    rules = local_table(spark, URL_RULES, "host string, path string, action string")
+    return urls.judge(table(spark, folder, "pages"), rules).select(
+        "row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_warc_captures", """
+    WITH parts AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+               sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    firsts AS (
+        SELECT *, CASE WHEN payload_bytes >= 100
+                  THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+        FROM parts)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    FROM firsts""")
+def op9_warc_captures(spark, folder):
+    """Pages written to archives, read back and assembled from their records."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, folder, "pages")), path)
+    captures = warc.assemble(warc.read_archives(spark, path, payload=False))
+
+    def page(metadata):
+        return F.regexp_extract(F.col(metadata).getField("payload").cast("string"), "page-id: (-?[0-9]+)", 1) \
+            .try_cast("long")
+
+    return captures.select(
+        page("metadata").alias("page_id"), "payload_bytes",
+        F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", page("refers_to.metadata")).alias("refers_to"),
+    )
