@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, labelled, language, quality, toxicity, urls, warc
+from tidemark.llm import bpe, covertree, labelled, language, quality, toxicity, urls, warc
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring import remove_repeated_passages
@@ -244,3 +244,24 @@ def op9_warc_captures(spark, folder):
         F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"),
         F.when(F.col("type") == "revisit", page("refers_to.metadata")).alias("refers_to"),
     )
+
+
+@query("op8_cover_tree_top_k", """
+    WITH parts AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(
+            CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM parts q JOIN parts c ON q.vec_id % 100 = 0 AND q.vec_id != c.vec_id),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+            AS rank FROM scores)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op8_cover_tree_top_k(spark, folder):
+    """The ten rows with the largest inner product for every hundredth vector."""
+    vectors = covertree.usable(
+        table(spark, folder, "embeddings"), "vec_id", "embedding",
+        F.transform("x", lambda c: F.floor(1024 * c).cast("double")))
+    return covertree.top_k(vectors, vectors.where("pmod(id, 100) = 0"), 10)
