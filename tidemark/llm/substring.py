@@ -217,7 +217,9 @@ def repeated_marks(texts: DataFrame, length: int = 20) -> DataFrame:
         .mapInArrow(_stream_past_automata(length), "doc long, m int, mask long")
         .where("mask != 0")
     )
-    common = _count_equal_windows(contexts.where(F.col("kinds") > SHARD), length)
+    # contexts of one anchor lie together as they come from a join
+    common = contexts.where(F.col("kinds") > SHARD).repartition(shards, "doc", "m")
+    common = _count_equal_windows(common, length)
     return copies.unionByName(streamed).unionByName(common)
 
 
