@@ -64,15 +64,11 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its ids and their number, and whether they decode to the text."""
     vocabulary = bpe.load_vocabulary(spark, default_vocabulary())
-    encoded = bpe.encode(docs, vocabulary).withColumn("tokens", F.col("ids"))
-    decoded = bpe.decode(encoded, vocabulary)
-    inner = F.col("row").getField("row")
-    return decoded.select(
-        *(F.col("row.text").alias("text") if c == "text" else inner.getField(c).alias(c)
-          for c in docs.columns),
-        F.col("row.tokens").alias("ids"),
-        F.size("row.tokens").cast("long").alias("n_tokens"),
-        (F.coalesce("row.text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    found = bpe.encode(docs, vocabulary, decoded=True)
+    return found.select(
+        *("text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
+        "ids", F.size("ids").cast("long").alias("n_tokens"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
 
 
