@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings import tables as t
 from bindings.registry import define, query
-from tidemark.operators import clean, dedup, drift, features, joins, metrics, split
+from tidemark.operators import clean, dedup, drift, features, joins, metrics, split, tables
 from tidemark.operators.thresholds import best_thresholds, fixed_grid, threshold_sweep
 from tidemark.roles import Roles
 from tidemark.session import scratch_path
@@ -426,9 +426,8 @@ def top_categories(spark, folder):
 @query("distinct_labels", """SELECT model, year, min(y_true) <> max(y_true) AS both_classes
     FROM pred GROUP BY model, year""")
 def distinct_labels(spark, folder):
-    return t.pred(spark, folder).groupBy("model", "year").agg(
-        (F.min("y_true") != F.max("y_true")).alias("both_classes")
-    )
+    found = tables.classes(t.pred(spark, folder), "y_true", "model", "year")
+    return found.select("model", "year", (~F.col("one_class")).alias("both_classes"))
 
 
 @query("dedup_keep_last", """SELECT llm_row_id, max(attempt_id) AS attempt_id,
@@ -471,17 +470,17 @@ def best_first(spark, folder):
     return best_thresholds(threshold_sweep(val, fixed_grid(val))).select("model", "threshold")
 
 
-@query("sorted_output", """SELECT year, n_rows, default_rate FROM (
+@query("sorted_output", """SELECT year, n_rows, default_rate,
+        CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS position FROM (
     SELECT year, count(*) AS n_rows, round(avg(target), 6) AS default_rate
     FROM loans_keyed GROUP BY year) x ORDER BY year""")
 def sorted_output(spark, folder):
-    return split.describe_periods(t.loans_keyed(spark, folder), t.LOANS).orderBy("year")
+    return tables.in_order(split.describe_periods(t.loans_keyed(spark, folder), t.LOANS), ["year"])
 
 
 @query("union_all", """SELECT id, model, split FROM pred_val UNION ALL SELECT id, model, split
     FROM pred_test""")
 def union_all(spark, folder):
     columns = ["id", "model", "split"]
-    return t.pred_val(spark, folder).select(*columns).unionByName(
-        t.pred_test(spark, folder).select(*columns)
-    )
+    return tables.stack([
+        t.pred_val(spark, folder).select(*columns), t.pred_test(spark, folder).select(*columns)])

@@ -73,9 +73,12 @@ def test_ranking_is_spread_over_cells(spark):
     assert "cell" in first_window.split("],")[-2]
 
 
-def test_sampling_limits_rows_before_the_shuffle(spark):
+def test_sampling_counts_cells_before_the_shuffle(spark):
     text = plan(sampling.sample_per_year(t.loans_keyed(spark, FOLDER), 50))
-    assert "WindowGroupLimit" in text and "Partial" in text
+    assert "partial_count" in text and "__cell" in text
+    # rows are ranked only within the last cell of a year
+    ranked = [line for line in text.splitlines() if "row_number()" in line and "Window" in line]
+    assert len(ranked) == 1
 
 
 def test_values_are_counted_before_the_shuffle(parts):

@@ -56,10 +56,20 @@ def test_sample_is_reproducible_and_bounded(loans):
     assert sampling.sample_per_year(loans, 10_000).count() == 3000
 
 
-def test_large_samples_take_the_same_rows(loans, monkeypatch):
-    small = rows_of(sampling.sample_per_year(loans, 200))
-    monkeypatch.setattr(sampling, "LEADING_ROWS", 10)
-    assert rows_of(sampling.sample_per_year(loans, 200)) == small
+def test_larger_samples_contain_smaller_ones(loans):
+    drawn = [set(rows_of(sampling.sample_per_year(loans, n))) for n in (1, 30, 200, 499, 500, 501)]
+    assert all(a <= b for a, b in zip(drawn, drawn[1:]))
+    assert [len(d) for d in drawn] == [6, 180, 1200, 2994, 3000, 3000]
+
+
+@pytest.mark.parametrize("n", [1, 300, 1000, 1001, 4999])
+def test_rows_without_or_with_one_id_are_drawn_in_full(spark, n):
+    rows = [(None if i % 5 == 0 else 7 if i % 5 < 3 else i, 2010, i) for i in range(5000)]
+    rows += [(3, None, 1), (4, None, 2)]
+    df = local_table(spark, rows, "id int, year int, v int")
+    first = rows_of(sampling.sample_per_year(df.repartition(3), n))
+    again = rows_of(sampling.sample_per_year(df.repartition(7), n))
+    assert first == again and len(first) == n + min(n, 2)
 
 
 def test_repeated_ids_do_not_exceed_the_size(spark):
@@ -258,10 +268,9 @@ def test_preparation_edges(spark):
         prepare.fit_preparation(df, ["e"], [])
 
 
-def test_too_many_categories(loans, monkeypatch):
-    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="too many"):
-        prepare.level_counts(loans, ["grade"])
+def test_all_categories_are_counted(spark):
+    df = spark.range(12_000).selectExpr("concat('c', id) AS t")
+    assert len(prepare.level_counts(df, ["t"])["t"]) == 12_000
 
 
 @pytest.fixture(scope="module")

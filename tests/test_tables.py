@@ -313,10 +313,10 @@ def test_excluded_ids_compare_as_text(spark):
     assert rows_of(joins.exclude_ids(df, used, "id")) == [(1,), (None,)]
 
 
-def test_long_lists_are_not_broadcast(spark):
+def test_size_of_key_lists_is_left_to_the_optimizer(spark):
     keys = spark.range(50)
-    assert "hint" not in joins.broadcast_if_small(keys, 49)._jdf.queryExecution().toString().lower()
-    assert "broadcast" in joins.broadcast_if_small(keys, 50)._jdf.queryExecution().toString().lower()
+    plan = joins.keep_in_table(spark.range(9), keys, "id")._jdf.queryExecution().logical().toString()
+    assert "hint" not in plan.lower()
 
 
 def test_one_row_per_key(spark):

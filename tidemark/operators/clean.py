@@ -14,14 +14,17 @@ from tidemark.sources.scan import load_table, validate_schema
 # Date spellings tried in turn, and the status texts that stand for a label.
 TIME_FORMATS = (
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy",
-    "MMM-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM", "yyyyMMdd",
+    "MMM-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM", "yyyyMMdd", "MMMM yyyy", "MMM yyyy",
+    "MMMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm:ss",
 )
+# Dates and times in the usual order, with fractions of seconds or zones.
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ].+)?$"
 STATUS_LABELS = {"Fully Paid": 0, "Default": 1, "Charged Off": 1}
 
 
 # What the letters of a date format stand for.
 LETTERS = {
-    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}",
+    "yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}",
     "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T",
 }
 
@@ -41,12 +44,15 @@ def date_shape(fmt: str) -> str | None:
 
 
 def parse_text(value: Column, formats: Sequence[str]) -> Column:
-    """The first format that fits. Formats of another shape are skipped, as a failed parse is slow."""
+    """The first format that fits. Formats of another shape are skipped, as a failed parse is slow.
+
+    Texts in ISO order that no format fits are read by Spark's own rules; a zone is applied.
+    """
     tries = []
     for fmt in formats:
         shape, parsed = date_shape(fmt), F.try_to_timestamp(value, F.lit(fmt))
         tries.append(parsed if shape is None else F.when(value.rlike(shape), parsed))
-    return F.coalesce(*tries)
+    return F.coalesce(*tries, F.when(value.rlike(ISO), F.try_to_timestamp(value)))
 
 
 def parse_time(df: DataFrame, column: str, formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
@@ -82,7 +88,7 @@ def normalize_target(df: DataFrame, column: str) -> DataFrame:
 
 def assert_binary_target(df: DataFrame, column: str) -> DataFrame:
     """Fail if the label takes any value besides 0 and 1. Runs one job."""
-    bad = df.where(~F.col(column).isin(0, 1)).select(column).distinct().limit(20).collect()
+    bad = df.where(~F.col(column).isin(0, 1)).select(column).distinct().collect()
     if bad:
         raise ValueError(f"the target must be 0 or 1, found {sorted(r[0] for r in bad)}")
     return df

@@ -101,9 +101,18 @@ def fit_bins(
 
 
 def stack_periods(train: DataFrame, test: DataFrame, columns: Sequence[str], year: str) -> DataFrame:
-    """Training rows with a NULL period above the test rows with their year."""
+    """Training rows with a NULL period above the test rows with their year.
+
+    Test rows without a year belong to no period. The training column decides what is a number;
+    text in a number's place counts as missing.
+    """
     past = train.select(F.lit(None).cast("int").alias("period"), *columns)
-    return past.unionByName(test.select(F.col(year).cast("int").alias("period"), *columns))
+    numeric = set(numeric_columns(train, columns))
+    later = [F.col(c).try_cast("double").alias(c)
+             if c in numeric and isinstance(test.schema[c].dataType, T.StringType) else c
+             for c in columns]
+    test = test.where(F.col(year).isNotNull())
+    return past.unionByName(test.select(F.col(year).cast("int").alias("period"), *later))
 
 
 def bin_counts(stacked: DataFrame, bins: Sequence[Bins], nunique: str = "exact") -> DataFrame:

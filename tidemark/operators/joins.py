@@ -1,4 +1,4 @@
-"""Joins with checked cardinality."""
+"""Joins with checked cardinality. Which side is broadcast is left to the optimizer, by size."""
 
 from __future__ import annotations
 
@@ -8,15 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import materialize
 
-# A list of keys up to this many rows is sent to every executor; a longer one is shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast after counting that it is small enough. Runs one job."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
-
-
 def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.where(F.col("n_rows") > 1)
@@ -47,15 +38,13 @@ def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 
 def keep_in_table(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    return df.join(broadcast_if_small(keys.select(column).distinct()), column, "left_semi")
+    return df.join(keys.select(column).distinct(), column, "left_semi")
 
 
 def exclude_ids(df: DataFrame, used: DataFrame, column: str) -> DataFrame:
     """Rows whose id, compared as text, is not among the used ones."""
     ids = used.select(F.col(column).cast("string").alias("used_id")).distinct()
-    return df.join(
-        broadcast_if_small(ids), F.col(column).cast("string") == F.col("used_id"), "left_anti"
-    )
+    return df.join(ids, F.col(column).cast("string") == F.col("used_id"), "left_anti")
 
 
 def join_sample_to_source(
@@ -63,13 +52,14 @@ def join_sample_to_source(
 ) -> DataFrame:
     """Scored rows with the source columns behind their id.
 
-    The source is first reduced to the sampled ids, so a large source is scanned, not shuffled.
+    The source is first reduced to the sampled ids; the optimizer broadcasts these if their size
+    allows it.
     Fails if an id is twice in the source or not there at all.
     """
     sample = sample.withColumn(id_column, F.col(id_column).cast("string"))
     source = source.withColumn(id_column, F.col(id_column).cast("string"))
     clash = [c for c in sample.columns if c in source.columns and c != id_column]
-    ids = broadcast_if_small(sample.select(id_column).distinct())
+    ids = sample.select(id_column).distinct()
     reduced = source.drop(*clash).withColumn("in_source", F.lit(True))
     # read the source once; what is left has a row per sampled id
     reduced = materialize(reduced.join(ids, id_column, "left_semi"))

@@ -46,6 +46,13 @@ def validate_scores(pred: DataFrame, score: str = "y_prob", label: str = "y_true
     return pred
 
 
+def present(column: str) -> Column:
+    """The score, or an error in the same pass if a row has none."""
+    score = F.col(column).cast("double")
+    missing = score.isNull() | F.isnan(score)
+    return F.when(missing, F.raise_error(F.lit("missing scores")).cast("double")).otherwise(score)
+
+
 def score_cells(pred: DataFrame, cells: int | None = None, score: str = "y_prob") -> list[float]:
     """Scores that cut the table into parts of about equal size; ties stay in one part.
 
@@ -61,8 +68,8 @@ def score_cells(pred: DataFrame, cells: int | None = None, score: str = "y_prob"
 
 
 def score_counts(pred: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows and positives per distinct score."""
-    return pred.groupBy(*by, "y_prob").agg(
+    """Rows and positives per distinct score. A missing score is refused."""
+    return pred.withColumn("y_prob", present("y_prob")).groupBy(*by, "y_prob").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("pos")
     )
 
@@ -108,7 +115,10 @@ def with_threshold(pred: DataFrame, threshold: float | dict, column: str = "mode
     rows = [(k, float(v)) for k, v in threshold.items()]
     schema = pred.select(column).schema.add("threshold", "double")
     table = local_table(pred.sparkSession, rows, schema)
-    return pred.join(table, column)
+    unknown = F.raise_error(F.concat(F.lit("no threshold for "), F.col(column).cast("string")))
+    return pred.join(table, column, "left").withColumn(
+        "threshold", F.when(F.col("threshold").isNull(), unknown.cast("double")).otherwise(
+            F.col("threshold")))
 
 
 def apply_threshold(pred: DataFrame, threshold: float | dict) -> DataFrame:

@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators.features import melt
 from tidemark.operators.quantiles import medians
 
-# Most categories one column may have before encoding it is refused.
-MAX_CATEGORIES = 10_000
-
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per feature and value, without missing values."""
@@ -27,17 +24,13 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
-    """Rows per value of each feature, read to the driver.
+    """Rows per value of each feature, read to the driver: one number for each slot of the encoding.
 
-    Refuses features with too many values to encode, so the result is bounded.
+    ``drop_high_cardinality`` bounds the values of the features that are encoded.
     """
-    most = MAX_CATEGORIES * len(columns)
     found = {c: {} for c in columns}
-    for row in value_counts(df, columns).limit(most + 1).collect():
+    for row in value_counts(df, columns).collect():
         found[row["feature"]][row["value"]] = row["n"]
-    large = [c for c, values in found.items() if len(values) > MAX_CATEGORIES]
-    if large:
-        raise ValueError(f"too many categories to encode: {large}")
     empty = [c for c, values in found.items() if not values]
     if empty:
         raise ValueError(f"columns without any value: {empty}")

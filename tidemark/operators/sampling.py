@@ -1,6 +1,7 @@
 """Reproducible random rows per year.
 
-Rows are ordered by a hash of seed and id, so the same rows are drawn on any cluster.
+Rows are ordered by a hash of seed and id, then by a hash of the row, so the same rows are drawn on
+any cluster.
 """
 
 from __future__ import annotations
@@ -11,51 +12,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scores import add_cells
-from tidemark.operators.joins import BROADCAST_ROWS, broadcast_if_small, exclude_ids
+from tidemark.operators.joins import exclude_ids
 from tidemark.operators.metrics import score_cells
 from tidemark.roles import Roles
 from tidemark.session import local_table, materialize
 
 log = logging.getLogger(__name__)
 
-# Up to this many rows per group Spark keeps only the leading rows of each task before the
-# shuffle. Beyond it, rows far down the order are left out after counting that enough remain.
-LEADING_ROWS = 1000
-SALTS = 64
-HEX_DIGITS = 16
+# Hexadecimal digits that part a year's rows: first by their draw, then by the hash of the row.
+DRAW_DIGITS, ROW_DIGITS = 4, 3
 
 
 def draw_order(seed: Column | int, id_column: str) -> Column:
-    return F.md5(F.concat(F.lit(seed).cast("string"), F.lit(":"), F.col(id_column).cast("string")))
+    """Rows are drawn in the order of this text; a missing id counts as an empty one."""
+    own = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(seed).cast("string"), F.lit(":"), own))
 
 
-def _lead(df: DataFrame, groups: Sequence, n: int) -> DataFrame:
-    order = Window.partitionBy(*groups).orderBy("draw", "draw_id")
-    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+def _cut(rows: DataFrame, year: str, cell: str, wanted: Column) -> DataFrame:
+    """Rows up to the cell in which the ``wanted`` first rows of the year end.
 
-
-def _near_the_top(narrow: DataFrame, year: str, n: int) -> DataFrame:
-    """Rows whose hash starts with so many zeros that each year still has ``n`` distinct ids, or all.
-
-    Runs one job that counts ids per year and number of leading zeros.
+    ``left`` is how many rows of that last cell are wanted, and NULL in the cells before. Only
+    counts per cell are shuffled.
     """
-    zeros = F.length("draw") - F.length(F.ltrim("draw", F.lit("0")))
-    counts = narrow.groupBy(year, F.least(zeros, F.lit(HEX_DIGITS)).alias("zeros")).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = rows.groupBy(year, cell).agg(F.count(F.lit(1)).alias("__n"), F.max(wanted).alias("__want"))
+    lower = Window.partitionBy(year).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(lower), F.lit(0))
+    last = (
+        counts.withColumn("__before", before).where(F.col("__before") < F.col("__want"))
+        .groupBy(F.col(year).alias("__year"))
+        .agg(F.max_by(F.struct(cell, (F.col("__want") - F.col("__before")).alias("__left")), cell).alias("__last"))
+    )
+    cut = F.col(f"__last.{cell}")
+    return (
+        rows.drop("__left").join(last, F.col(year).eqNullSafe(F.col("__year")))
+        .where(F.col(cell) <= cut)
+        .withColumn("__left", F.when(F.col(cell) == cut, F.col("__last.__left")))
+        .drop("__year", "__last")
     )
-    by_year = {}
-    for row in counts.collect():
-        by_year.setdefault(row[year], {})[row["zeros"]] = row["n"]
-    wanted = F.lit(0)
-    for value, sizes in by_year.items():
-        left, least = 0, 0
-        for count in range(HEX_DIGITS, -1, -1):
-            left += sizes.get(count, 0)
-            if left >= n:
-                least = count
-                break
-        wanted = F.when(F.col(year).eqNullSafe(F.lit(value)), F.lit(least)).otherwise(wanted)
-    return narrow.where(zeros >= wanted)
 
 
 def sample_per_year(
@@ -69,7 +63,9 @@ def sample_per_year(
 ) -> DataFrame:
     """Up to ``n`` rows of each year, with their natural mix of labels.
 
-    Only ids and years take part in the draw; the full rows are fetched for the drawn ids.
+    Rows are drawn in the order of their hashed id; rows that share an id, or have none, follow a
+    hash of the whole row. The rows of a year are parted by the first digits of that order, and
+    only the part in which the sample ends is ranked. A very frequent id is parted further.
     """
     for column in (id_column, year):
         if column not in df.columns:
@@ -77,25 +73,20 @@ def sample_per_year(
     if years is not None:
         df = df.where(F.col(year).isin(*years))
     start = F.lit(seed) + F.col(year) if seed_plus_year else F.lit(seed)
-    drawn = df.withColumns({
-        "draw": draw_order(start, id_column), "draw_id": F.col(id_column).cast("string"),
-    })
-    narrow = drawn.select(year, "draw", "draw_id")
-    if n > LEADING_ROWS:
-        # an id that occurs very often counts once
-        narrow = _near_the_top(narrow, year, n).distinct()
-    chosen = _lead(narrow, [year], n).select(year, "draw_id").distinct()
-    if years is not None and n * len(years) <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    elif years is None:
-        # the number of years is unknown: draw once, count, then decide
-        chosen = broadcast_if_small(materialize(chosen))
-    rows = drawn.join(chosen, [year, "draw_id"], "left_semi")
-    if n > LEADING_ROWS:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        rows = _lead(rows.withColumn("__salt", salt), [year, "__salt"], n).drop("__salt")
-    # an id that occurs twice is drawn with all its rows; keep to n
-    return _lead(rows, [year], n).drop("draw", "draw_id").select(*df.columns)
+    tie = F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0")
+    rows = df.select(
+        "*", draw_order(start, id_column).alias("__draw"),
+        F.col(id_column).cast("string").alias("__draw_id"), tie.alias("__tie"),
+    ).withColumn("__cell", F.substring("__draw", 1, DRAW_DIGITS))
+    rows = _cut(rows, year, "__cell", F.lit(n))
+    inside = rows.where("__left IS NULL")
+    cell = F.concat("__draw", F.substring("__tie", 1, ROW_DIGITS))
+    rows = _cut(rows.where("__left IS NOT NULL").withColumn("__cell", cell), year, "__cell", F.col("__left"))
+    inside = inside.unionByName(rows.where("__left IS NULL"))
+    order = Window.partitionBy(year).orderBy("__draw", "__draw_id", "__tie")
+    last = rows.where("__left IS NOT NULL").withColumn("__place", F.row_number().over(order))
+    last = last.where(F.col("__place") <= F.col("__left")).drop("__place")
+    return inside.unionByName(last).select(*df.columns)
 
 
 def sample_excluding(
@@ -136,13 +127,16 @@ def shortfall(sample: DataFrame, years: Sequence[int], n: int, year: str = "year
 def row_ids(
     df: DataFrame, order: str, start: int = 0, name: str = "row_id", cells: int | None = None
 ) -> DataFrame:
-    """Running numbers in the order of a numeric column without ties.
+    """Running numbers in the order of a numeric column without ties; a missing value is refused.
 
     The column is cut into ranges of about equal size. Each range is numbered on its own, from
     the number of rows in the lower ranges.
     """
+    given = F.col(order).cast("double")
+    given = F.when(given.isNull(), F.raise_error(F.lit(f"rows without {order} have no place")).cast(
+        "double")).otherwise(given)
     ranges = add_cells(
-        df.withColumn("__at", F.col(order).cast("double")),
+        df.withColumn("__at", given),
         "__at",
         score_cells(df.select(F.col(order).cast("double").alias("y_prob")), cells),
     )

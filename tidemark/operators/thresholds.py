@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scores import add_cells, f1, ratio
+from tidemark.operators.metrics import present
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import local_table
 
@@ -53,14 +54,15 @@ def threshold_sweep(
     """F1 and predicted positives at every threshold of every group.
 
     Scores are counted between neighbouring thresholds in one pass; running sums from the top
-    over these counts give the result of evaluating each threshold on its own.
+    over these counts give the result of evaluating each threshold on its own. Missing scores are
+    refused in the same pass.
     """
     if not grids:
         raise ValueError("there are no validation rows to tune a threshold on")
     by = list(by)
     edges = sorted({t for grid in grids.values() for t in grid})
     counts = (
-        add_cells(val.select(*by, "y_true", "y_prob"), "y_prob", edges)
+        add_cells(val.select(*by, "y_true", present("y_prob").alias("y_prob")), "y_prob", edges)
         .groupBy(*by, "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("pos"))
         .withColumn("threshold", F.lit(None).cast("double"))

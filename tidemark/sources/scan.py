@@ -58,11 +58,20 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(typed) if typed else df
 
 
+def typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Text columns taken by name and cast; a column that the file lacks is NULL."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.select(*(
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns
+         else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema
+    ))
+
+
 def _read_delimited(spark, paths, schema, multi_line):
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
-    if schema is not None:
-        return tokens_to_null(reader.schema(schema).csv(paths))
-    return infer_types(tokens_to_null(reader.csv(paths)))
+    found = tokens_to_null(reader.csv(paths))
+    return infer_types(found) if schema is None else typed(found, schema)
 
 
 def load_table(
