@@ -6,11 +6,12 @@ of 32 bits (the first after hashing the shingle). 24 bands of 3 coordinates miss
 similarity 0.75 with probability 2e-6.
 
 Documents with equal shingle sets are one node from the start, so exact copies are never compared.
-A bucket of a band is not expanded into pairs. In each round one document of every bucket, its
-centre, is compared with the others; verified links merge documents, and a bucket goes on only while
-it holds documents of different components. So a bucket of thousands of near copies takes one
-comparison each, and stray documents are taken as centres first. Small buckets are finished at once
-by comparing what is not yet joined. No comparison is dropped.
+Buckets are not expanded into pairs. Every member is compared with two centres, the smallest document
+and the one with the smallest hash; verified links make components. Only where a bucket still holds
+several components, the documents outside its largest one are compared with all others of the bucket,
+in blocks of bounded size: a task takes one block of such documents and one of members, and gives back
+the links alone. So thousands of near copies take two comparisons each, and no comparison that could
+join two components is left out.
 
 Rows: null or empty texts, and texts without words, have no shingles and no links. Fewer words than
 a shingle's are one shingle. Rows without id are left out of groups and kept. Rows that share an id
@@ -29,7 +30,7 @@ from tidemark.llm.scratch import stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 3
-SMALL_BUCKET = 16
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 
 def shingle_sets(piece: words.Piece, k: int = SHINGLE) -> list[np.ndarray]:
@@ -137,17 +138,73 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     )
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets' members (key, doc) with the component that the links so far give them."""
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, doc, component, main) of the buckets that hold several components; ``main`` is
+    the bucket's largest one."""
     found = components(links)
-    return nodes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("component")
-    )
+    labelled = stored(
+        members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
+            "key", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main")
+    ).where("kinds > 1").drop("kinds")
+    return labelled.join(mixed, "key")
+
+
+def _compare_blocks(k: int, percent: int):
+    """Of one block of outsiders and one of members: the links between components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        batch = group.combine_chunks().to_batches()[0]
+        docs, of = batch.column("doc").to_numpy(), batch.column("component").to_numpy()
+        outside = batch.column("outside").to_numpy(zero_copy_only=False)
+        sets = [s for piece in words.pieces(batch) for s in shingle_sets(piece, k)]
+        sizes = np.array([len(s) for s in sets])
+        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        member = np.flatnonzero(~outside)
+        flat = np.concatenate([numbers[first[m] : first[m + 1]] for m in member] or [numbers[:0]])
+        starts = np.concatenate([[0], np.cumsum(sizes[member])])[:-1].astype(np.int64)
+        a, b, mark = [], [], np.zeros(len(known), bool)
+        for u in np.flatnonzero(outside) if len(member) else ():
+            mark[numbers[first[u] : first[u + 1]]] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[numbers[first[u] : first[u + 1]]] = False
+            close = 100 * shared >= percent * (sizes[u] + sizes[member] - shared)
+            for v in member[close & (of[member] != of[u])]:
+                a.append(min(docs[u], docs[v]))
+                b.append(max(docs[u], docs[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _links_apart(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between documents of a bucket that are still in different components."""
+    rows = stored(apart.join(texts, "doc").withColumn("outsider", F.expr("component != main")), "apart")
+    size = F.octet_length("text")
+
+    def blocks(which):
+        n, total = F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, size)), F.lit(0))
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(total / BLOCK_BYTES), F.lit(1))
+
+    counts = rows.groupBy("key").agg(
+        blocks(F.col("outsider")).cast("int").alias("n_out"), blocks(F.lit(True)).cast("int").alias("n_all"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(counts, "key").repartition(parts, "key", "doc").withColumn(
+        "place", F.explode(F.expr("""concat(
+            transform(sequence(0, n_out - 1),
+                      i -> struct(i AS i, pmod(hash(doc), n_all) AS j, false AS outside)),
+            if(outsider, transform(sequence(0, n_all - 1),
+                      j -> struct(pmod(hash(doc), n_out) AS i, j AS j, true AS outside)), array()))""")))
+    return dealt.select("key", "place.*", "doc", "component", "text").groupBy("key", "i", "j").applyInArrow(
+        _compare_blocks(k, percent), "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    shingle: int = SHINGLE, percent: int = 75, bands: int = BANDS, rows: int = ROWS,
+    shingle: int = SHINGLE, percent: int = 75,
 ) -> DataFrame:
     """Per distinct id: ``doc``, ``n_shingles``, ``component`` (its smallest id), ``kept``.
 
@@ -157,7 +214,7 @@ def near_duplicates(
         F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")
     )
     profiles = texts.mapInArrow(
-        _profiles(shingle, bands, rows),
+        _profiles(shingle, BANDS, ROWS),
         "doc long, n_shingles long, print_a long, print_b long, bands array<long>",
     )
     profiles = stored(profiles, "profiles")
@@ -168,46 +225,19 @@ def near_duplicates(
         "groups",
     )
     keyed = groups.select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("centre"))
-    shared = shared.where("n > 1").drop("n")
-    members = stored(keyed.join(shared, "key").select("key", "doc", "centre"), "members")
-    candidates = members.select("doc").distinct()
-    once = texts.where("doc IS NOT NULL").join(candidates, "doc")
+    centres = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"),
+        F.min_by("doc", F.xxhash64("doc")).alias("other"),
+    ).where("n > 1")
+    members = stored(keyed.join(centres, "key").drop("n"), "members")
+    once = texts.where("doc IS NOT NULL").join(members.select("doc").distinct(), "doc")
     once = stored(once.dropDuplicates(["doc"]), "candidates")
 
-    pairs = members.where("doc != centre").selectExpr("centre AS a", "doc AS b").distinct()
-    links = stored(_links(pairs, once, shingle, percent), "verified")
-    open_ = members.where("doc != centre").select("key", "doc")
-    centres = members.select("key", F.col("centre").alias("doc")).distinct()
-    tried = pairs
-    # The centre of a bucket has met all its members; what is left are pairs of other members.
-    while True:
-        labelled = stored(_labels(open_, links), "labelled")
-        mixed = labelled.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        ).where("low != high").select("key", "n")
-        left = stored(labelled.join(mixed, "key"), "open")
-        if left.isEmpty():
-            break
-        small = left.where(F.col("n") <= SMALL_BUCKET)
-        other = small.select("key", F.col("doc").alias("b"), F.col("component").alias("of_b"))
-        pairs = small.join(other, "key").where("doc < b AND component != of_b").select(
-            F.col("doc").alias("a"), "b")
-        large = left.where(F.col("n") > SMALL_BUCKET)
-        sizes = large.groupBy("key", "component").agg(
-            F.count(F.lit(1)).alias("members"), F.min("doc").alias("doc"))
-        centres = sizes.groupBy("key").agg(
-            F.min(F.struct("members", "doc", "component")).alias("c")
-        ).select("key", F.col("c.doc").alias("centre"), F.col("c.component").alias("of_centre"))
-        centred = stored(large.join(centres, "key"), "centred")
-        pairs = pairs.union(
-            centred.where("component != of_centre").selectExpr("centre AS a", "doc AS b")
-        ).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        links = stored(links.union(_links(pairs, once, shingle, percent)), "verified")
-        open_ = centred.where("doc != centre").select("key", "doc")
+    pairs = members.select("doc", F.explode(F.array("least", "other")).alias("centre"))
+    pairs = pairs.where("doc != centre").selectExpr("least(doc, centre) AS a", "greatest(doc, centre) AS b")
+    links = stored(_links(pairs.distinct(), once, shingle, percent), "verified")
+    apart = _apart(members.select("key", "doc"), links)
+    links = links.union(stored(_links_apart(apart, once, shingle, percent), "verified"))
 
     found = components(links).selectExpr("node", "component")
     nodes = groups.join(found, "node", "left").select(
