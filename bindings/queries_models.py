@@ -167,6 +167,51 @@ def score(spark, folder):
     return _logistic(spark, folder).score(rows).select("year", "target", "y_prob")
 
 
+@query("score_by_year", """SELECT year, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS positives,
+    CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS outside
+    FROM loans_wide WHERE year BETWEEN 1999 AND 2001 GROUP BY year""")
+def score_by_year(spark, folder):
+    """Every row of the test years has one score, and it is a probability."""
+    p = F.col("y_prob")
+    return score(spark, folder).where(F.col("year").isin(*t.TEST_YEARS)).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("target").cast("long").alias("positives"),
+        F.count_if(p.isNull() | F.isnan(p)).alias("missing"),
+        F.count_if((p < 0) | (p > 1)).alias("outside"),
+    )
+
+
+ONE_COLUMN = FeatureGroups(("p_type",), (), ("p_type",))
+
+
+@query("fit_logistic_rates", """SELECT p_type, count(*) AS n_rows, true AS near, true AS near_balanced
+    FROM loans_wide WHERE year <= 1997 AND p_type IS NOT NULL GROUP BY p_type""")
+def fit_logistic_rates(spark, folder):
+    """With one categorical column and next to no penalty, scores are the label rates of the values,
+    or their rates under balanced weights."""
+    train = t.wide_split(spark, folder).train.where(F.col("p_type").isNotNull())
+    scored = train
+    for column, weight in (("plain", None), ("balanced", "balanced")):
+        config = scoring.LogisticConfig(c=1e9, class_weight=weight)
+        scored = scoring.fit_logistic(train, ONE_COLUMN, t.LOANS, config).score(scored, column)
+    share = train.agg(F.avg("target")).first()[0]
+    rate = F.avg("target")
+    balanced = rate / share / (rate / share + (1 - rate) / (1 - share))
+    return scored.groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.abs(F.avg("plain") - rate) < 0.002).alias("near"),
+        (F.abs(F.avg("balanced") - balanced) < 0.002).alias("near_balanced"),
+    )
+
+
+@query("predict_label_rows", """SELECT year, count(*) AS n_rows FROM loans_wide
+    WHERE year BETWEEN 1999 AND 2001 GROUP BY year""")
+def predict_label_rows(spark, folder):
+    """Each row of the test years has exactly one label."""
+    found = predict_label(spark, folder).where(F.col("y_pred").isin(0, 1))
+    return found.where(F.col("year").isin(*t.TEST_YEARS)).groupBy("year").agg(
+        F.sum("n_rows").alias("n_rows"))
+
+
 @query("predict_label")
 def predict_label(spark, folder):
     rows = t.wide_split(spark, folder).test
