@@ -151,7 +151,8 @@ def fit(rows: DataFrame) -> Model:
                  pa.array([scripts[lang].tolist()], pa.list_(pa.float64()))],
                 names=["lang", "grams", "counts", "scripts"])
 
-    found = rows.coalesce(1).mapInArrow(
+    # the sample is filtered where it is read, then gathered
+    found = rows.repartition(1).mapInArrow(
         run, "lang string, grams array<int>, counts array<double>, scripts array<double>"
     ).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: found["lang"][i].as_py())

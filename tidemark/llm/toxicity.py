@@ -120,7 +120,7 @@ def fit(rows: DataFrame, bits: int = BITS, rates: Rates = Rates()) -> Model:
         yield pa.RecordBatch.from_arrays(
             [pa.array([used.tolist()]), pa.array([weights.tolist()])], names=["features", "weights"])
 
-    result = rows.select("key", "text", "label").coalesce(1).mapInArrow(
+    result = rows.select("key", "text", "label").repartition(1).mapInArrow(
         run, "features array<long>, weights array<double>").collect()
     if not result:
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, bits, False)
