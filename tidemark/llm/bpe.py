@@ -32,7 +32,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 MOST_BYTES = 64 << 20
-REMEMBERED, USUAL = 1 << 18, 62
+REMEMBERED, USUAL = 1 << 17, 62
 SIDE_BY_SIDE = 4096
 PLACES = 64
 NEVER = 1 << 60
@@ -111,8 +111,10 @@ class Encoder:
         names = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.apart = regex.compile("(" + "|".join(names) + ")").split if names else None
         self.numbers = list(range(self.wide))
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        every = np.repeat(np.array(self.byte_ids), 256), np.tile(np.array(self.byte_ids), 256)
+        self.byte_pairs = self._ranked(*every, 0).reshape(256, 256)
 
     def _learn(self, chunks: set[str]) -> None:
         """Make sure that all the chunks are known, the rarer ones of earlier calls may go."""
@@ -125,14 +127,15 @@ class Encoder:
                     known[chunk] = ids
                 else:
                     new[chunk] = self.cut(chunk)
-        merged: dict[str, list[int]] = {}
+        # tuples of numbers: the garbage collector need not look at them again and again
+        merged: dict[str, tuple[int, ...]] = {}
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for piece in set(chain.from_iterable(new.values())):
             data = piece.encode("utf-8", "surrogatepass")
             if len(data) == 1:
-                merged[piece] = [self.byte_ids[data[0]]]
+                merged[piece] = (self.byte_ids[data[0]],)
             elif len(data) > USUAL:
-                merged[piece] = self.merge(piece)
+                merged[piece] = tuple(self.merge(piece))
             else:
                 by_size.setdefault(1 << len(data).bit_length(), []).append((piece, data))
         for size, group in by_size.items():
@@ -142,9 +145,9 @@ class Encoder:
                 merged.update(zip((p for p, _ in part), found))
         for chunk, pieces in new.items():
             known[chunk] = (merged[pieces[0]] if len(pieces) == 1
-                            else list(chain.from_iterable(map(merged.__getitem__, pieces))))
+                            else tuple(chain.from_iterable(map(merged.__getitem__, pieces))))
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def _ranked(self, left: np.ndarray, right: np.ndarray, place) -> np.ndarray:
         """Leaves for pairs: rank and place in one number, so that the least is the leftmost."""
         if not len(self.keys):
             return np.full(len(left), NEVER)
@@ -153,18 +156,21 @@ class Encoder:
         good = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(good, self.order[at] * PLACES + place, NEVER)
 
-    def _merge_all(self, pieces: list[bytes], size: int) -> list[list[int]]:
+    def _merge_all(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
         """Merge pieces of fewer than ``size`` bytes. Symbols stand at 1 to n, with -1 around."""
         n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = np.full((n, size + 1), -1, np.int64)
         inside = np.arange(size + 1)[None, :]
         inside = (inside >= 1) & (inside <= lengths[:, None])
-        ids[inside] = np.array(self.byte_ids)[np.frombuffer(b"".join(pieces), np.uint8)]
+        data = np.zeros((n, size + 1), np.uint8)
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids[inside] = np.array(self.byte_ids)[data[inside]]
         after = np.tile(np.arange(1, size + 2), (n, 1))
         before = np.tile(np.arange(-1, size), (n, 1))
         tree = np.full((n, 2 * size), NEVER, np.int64)
         row, place = np.nonzero(inside[:, :-1] & inside[:, 1:])
-        tree[row, size + place] = self._ranked(ids[row, place], ids[row, place + 1], place)
+        first = self.byte_pairs[data[row, place], data[row, place + 1]]
+        tree[row, size + place] = np.where(first == NEVER, NEVER, first + place)
         node = size
         while node > 1:
             node //= 2
@@ -191,7 +197,7 @@ class Encoder:
                     node = node // 2
         left = ids >= 0
         ends = np.cumsum(left.sum(1)).tolist()
-        flat = list(map(self.numbers.__getitem__, ids[left].tolist()))
+        flat = tuple(map(self.numbers.__getitem__, ids[left].tolist()))
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def merge(self, piece: str) -> list[int]:
@@ -276,47 +282,58 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_LAST: list = []
 
 
 def _encoder(shared) -> Encoder:
-    """One for each worker process, so that later tasks know the pieces of earlier ones."""
-    if shared.value.merges is not None and id(shared.value) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[id(shared.value)] = Encoder(shared.value)
-    return _ENCODERS[id(shared.value)]
+    """One for each worker process, so that later tasks know the chunks of earlier ones."""
+    if not _LAST or _LAST[0] is not shared.value:
+        _LAST[:] = [shared.value, Encoder(shared.value)]
+    return _LAST[1]
 
 
-def _encode(shared):
+def _encode(shared, decoded: bool):
     def run(batches):
         encoder = _encoder(shared)
         for batch in batches:
             for piece in words.pieces(batch):
                 ids, ends = encoder.encode_all(piece.rows.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    *piece.rows.columns,
-                    pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()),
-                                             pa.array(np.array(ids, np.int32))),
-                ], names=[*piece.rows.schema.names, "ids"])
+                columns = [*piece.rows.columns, pa.ListArray.from_arrays(
+                    pa.array([0, *ends], pa.int32()), pa.array(np.array(ids, np.int32)))]
+                names = [*piece.rows.schema.names, "ids"]
+                if decoded:
+                    columns.append(pa.array(_texts(ids, [0, *ends], shared.value.tokens), pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> DataFrame:
-    """Per row: ``row`` (struct of all columns but the text), ``text``, ``ids`` (array of int)."""
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text", decoded: bool = False
+) -> DataFrame:
+    """Per row: ``row`` (struct of all columns but the text), ``text``, ``ids`` (array of int), and if
+    asked for ``decoded``, the text that the ids stand for."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(
         F.struct(*others(docs, text_column)).alias("row"),
         F.col(text_column).cast("string").alias("text"),
     )
     out = T.StructType([*rows.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_encode(shared), out)
+    if decoded:
+        out.add("decoded", T.StringType())
+    return rows.mapInArrow(_encode(shared, decoded), out)
+
+
+def _texts(ids: list[int], ends: list[int], tokens: list[bytes]) -> list[str]:
+    parts = list(map(tokens.__getitem__, ids))
+    return [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 def _decode(shared):
     def run(batches):
-        tokens = shared.value.tokens
-        most = len(tokens)
+        tokens = [*shared.value.tokens, b""]
+        most = len(tokens) - 1
         for batch in batches:
             ids = batch.column("ids")
             values = ids.flatten()
@@ -324,10 +341,9 @@ def _decode(shared):
             good = (known >= 0) & (known < most)
             sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            parts = [tokens[x] if ok else b"" for x, ok in zip(known.tolist(), good.tolist())] \
-                if not good.all() else list(map(tokens.__getitem__, known.tolist()))
-            texts = [b"".join(parts[a:b]).decode("utf-8", "replace")
-                     for a, b in zip(ends, ends[1:])]
+            # an id that the vocabulary lacks points behind it, at nothing
+            known = np.where(good, known, most).tolist()
+            texts = _texts(known, ends, tokens)
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(texts, pa.string())],

@@ -136,13 +136,11 @@ def op4_decontaminate(spark, folder):
 def op1_bpe(spark, folder, path: str | None = None):
     """Every text's ids, and the text that decoding them gives."""
     vocabulary = bpe.load_vocabulary(spark, path or default_vocabulary())
-    encoded = bpe.encode(table(spark, folder, "documents"), vocabulary)
-    encoded = encoded.select(
+    found = bpe.encode(table(spark, folder, "documents"), vocabulary, decoded=True)
+    return found.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
-    )
-    return bpe.decode(encoded, vocabulary).select(
-        "row.*", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
