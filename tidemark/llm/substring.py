@@ -187,7 +187,8 @@ def repeated_marks(texts: DataFrame, length: int = 20) -> DataFrame:
         raise ValueError("length must be between 1 and 60")
     known = texts.where("doc IS NOT NULL")
     rows = known.mapInArrow(_anchor_rows(length), "fp long, nb long, doc long, m int")
-    counts = rows.groupBy("fp").count().where("count > 1").select("fp")
+    # written apart from the join, so that the join can split the rows of a very common anchor
+    counts = stored(rows.groupBy("fp").count().where("count > 1").select("fp"), "repeated")
     repeated = stored(rows.join(counts, "fp"), "anchors")
     first = repeated.groupBy("fp", "nb").agg(F.min(F.struct("doc", "m")).alias("first"))
     first = stored(first, "passages")
