@@ -23,6 +23,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm.scratch import stored
+
 GAP = "\r\n\r\n"
 # Fixed: values of the WARC 1.1 format.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -195,6 +197,9 @@ def assemble(records: DataFrame) -> DataFrame:
         F.min(F.struct(*whole)).alias("c")).select("record_id", "c.*")
     captures = captures.join(beside("request"), "record_id", "left").join(
         beside("metadata"), "record_id", "left")
+    # written once: archives are read once, and the join with a response that very many revisits
+    # refer to can be split
+    captures = stored(captures, "captures")
     # of a response its revisits need the payload as well, if it was read
     original = captures.where("type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.struct(
