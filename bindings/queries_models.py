@@ -16,7 +16,6 @@ from tidemark.roles import FeatureGroups
 from tidemark.session import materialize, scratch_path
 
 GROUPS = FeatureGroups(tuple(t.FEATURES), tuple(t.NUMERIC), tuple(t.CATEGORICAL))
-TREES = scoring.BoostedTreesConfig(n_trees=20, max_depth=4, learning_rate=0.2)
 NEURAL = scoring.NeuralConfig(components=16, hidden=(16, 8))
 SEGMENTS = ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -152,7 +151,7 @@ def fit_logistic_balanced(spark, folder):
 @query("fit_boosted_trees")
 def fit_boosted_trees(spark, folder):
     train = t.wide_split(spark, folder).train
-    return _by_year(scoring.fit_boosted_trees(train, GROUPS, t.LOANS, TREES), spark, folder)
+    return _by_year(scoring.fit_boosted_trees(train, GROUPS, t.LOANS), spark, folder)
 
 
 @query("fit_mlp")
@@ -221,7 +220,7 @@ def predict_label(spark, folder):
 
 def _two_models(spark, folder):
     train = t.wide_split(spark, folder).train
-    trees = scoring.fit_boosted_trees(train, GROUPS, t.LOANS, TREES)
+    trees = scoring.fit_boosted_trees(train, GROUPS, t.LOANS)
     return [_logistic(spark, folder), trees]
 
 
