@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -240,15 +242,17 @@ def tune_on_validation(spark, folder):
 
 @query("run_tuned_model")
 def run_tuned_model(spark, folder):
-    fits = {"logreg": scoring.fit_logistic}
-    _, tables = reports.run_tuned_models(
-        t.wide_split(spark, folder), GROUPS, fits, t.LOANS, scratch_path(spark, "tuned")
-    )
-    both = reports.final_summary(
-        tables["temporal_metrics"], tables["temporal_calibration"],
-        tables["temporal_calibration"].select("year", "n_rows", "default_rate"),
-    )
-    return both["drift_comparison"]
+    split = t.wide_split(spark, folder)
+    fits = {
+        "logreg": scoring.fit_logistic,
+        "trees": scoring.fit_boosted_trees,
+        "mlp": partial(scoring.fit_mlp, config=NEURAL),
+    }
+    _, tables = reports.run_tuned_models(split, GROUPS, fits, t.LOANS, scratch_path(spark, "tuned"))
+    drift = reports.drift_report(split, t.FEATURES, t.LOANS)["drift_summary_by_year"]
+    return reports.final_summary(
+        tables["temporal_metrics"], tables["temporal_calibration"], drift
+    )["final_summary"]
 
 
 # --- reliance
@@ -371,8 +375,12 @@ def matched_comparison_models(spark, folder):
     parts = temporal_split_tvt(
         t.loans_keyed(spark, folder), t.TRAIN_END, t.VAL_YEAR, t.TEST_YEARS, t.LOANS
     )
-    model = scoring.fit_logistic(parts.train, KEYED, t.LOANS)
+    models = [
+        scoring.fit_logistic(parts.train, KEYED, t.LOANS),
+        scoring.fit_boosted_trees(parts.train, KEYED, t.LOANS),
+        scoring.fit_mlp(parts.train, KEYED, t.LOANS, NEURAL),
+    ]
     tables = reports.matched_comparison(
-        parts.table.where(F.col("year") >= t.VAL_YEAR), _external(spark, folder), [model], t.LOANS
+        parts.table.where(F.col("year") >= t.VAL_YEAR), _external(spark, folder), models, t.LOANS
     )
     return tables["sample_matched_model_summary"]

@@ -22,3 +22,27 @@ def test_trees_are_not_cut(spark, monkeypatch, name):
         bound.queries()[name](spark, FOLDER)
     config = seen.value.args[0]
     assert (config.n_trees, config.max_depth, config.learning_rate) == (300, 6, 0.05)
+
+
+@pytest.fixture
+def few_trees(monkeypatch):
+    """Keeps the wiring and shortens the fit."""
+    whole, config = scoring.fit_boosted_trees, scoring.BoostedTreesConfig(n_trees=2, max_depth=2)
+
+    def fit(train, groups, roles=None, name="trees"):
+        return whole(train, groups, roles, config, name)
+
+    monkeypatch.setattr(scoring, "fit_boosted_trees", fit)
+
+
+def test_tuned_models_are_three_with_drift(spark, few_trees):
+    rows = bound.queries()["run_tuned_model"](spark, FOLDER).collect()
+    found = {(r["model"], r["year"]) for r in rows}
+    assert found == {(m, y) for m in ("logreg", "trees", "mlp") for y in (1999, 2000, 2001)}
+    assert all(r["num_features"] == 5 and r["mean_psi"] > 0 and r["brier_score"] > 0 for r in rows)
+
+
+def test_matched_models_are_three_and_the_external(spark, few_trees):
+    rows = bound.queries()["matched_comparison_models"](spark, FOLDER).collect()
+    assert {r["model"] for r in rows} == {"logreg", "trees", "mlp", "outside"}
+    assert len({r["total_rows"] for r in rows}) == 1
