@@ -198,6 +198,29 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_one_text_speaks_for_a_repeated_id(spark, parts):
+    base = [f"w{i}" for i in range(60)]
+    near, near_too = " ".join(base), " ".join(base[:-1] + ["other"])
+    rows = [(1, near), (2, near_too), (3, ""), (3, None), (3, " ".join(base[:-1] + ["third"])), (9, "")]
+    for order in (rows, rows[::-1]):
+        found = minhash.near_duplicates(frame(spark, order).coalesce(1).repartition(parts)).collect()
+        assert {r["doc"]: (r["n_shingles"], r["component"], r["kept"]) for r in found} == {
+            1: (56, 1, True), 2: (56, 1, False), 3: (56, 1, False), 9: (0, 9, True)}
+
+
+def test_texts_of_a_repeated_id_do_not_mix(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (5, " ".join(a[:-1] + ["x"])), (5, " ".join(b[:-1] + ["x"]))]
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = minhash.near_duplicates(frame(spark, order).repartition(3)).collect()
+        found.add(frozenset((r["doc"], r["component"]) for r in got))
+    assert len(found) == 1
+    [only] = found
+    assert dict(only)[5] in (1, 2)
+
+
 def test_circulant_signature_agrees_as_often_as_sets():
     draw = np.random.default_rng(0)
     every = words.mix(draw.integers(0, 2**63, 3000).astype(np.uint64))

@@ -15,7 +15,8 @@ join two components is left out.
 
 Rows: null or empty texts, and texts without words, have no shingles and no links. Fewer words than
 a shingle's are one shingle. Rows without id are left out of groups and kept. Rows that share an id
-count as one document with the shingles of one of them. Columns besides id and text do not matter.
+count as one document with the text of one of them: one with words if there is any, of these the one
+with the largest hash, so partitioning plays no part. Columns besides id and text do not matter.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ def _profiles(k: int, bands: int, rows: int):
                         prints[full, j] = np.add.reduceat(every, first[:-1])
                 yield pa.RecordBatch.from_arrays([
                     piece.rows.column("doc"),
+                    piece.rows.column("mark"),
                     pa.array(sizes),
                     *(pa.array(np.ascontiguousarray(prints[:, j]).view(np.int64)) for j in (0, 1)),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(sets) + 1) * bands, pa.int32()),
                         pa.array(keys.ravel().view(np.int64))),
-                ], names=["doc", "n_shingles", "print_a", "print_b", "bands"])
+                ], names=["doc", "mark", "n_shingles", "print_a", "print_b", "bands"])
 
     return run
 
@@ -212,16 +214,24 @@ def near_duplicates(
     """
     texts = docs.select(
         F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")
-    )
+    ).withColumn("mark", F.xxhash64("text"))
     profiles = texts.mapInArrow(
         _profiles(shingle, BANDS, ROWS),
-        "doc long, n_shingles long, print_a long, print_b long, bands array<long>",
+        "doc long, mark long, n_shingles long, print_a long, print_b long, bands array<long>",
     )
-    profiles = stored(profiles, "profiles")
     same = ["n_shingles", "print_a", "print_b"]
+    # one text per id, the same for bands and comparisons
+    first = F.when(F.col("doc").isNull(), F.col("n_shingles")).otherwise((F.col("n_shingles") > 0).cast("long"))
+    profiles = stored(
+        profiles.groupBy("doc").agg(
+            F.max_by(F.struct("mark", *same, "bands"), F.struct(first, F.col("mark"))).alias("one"))
+        .select("doc", "one.*"),
+        "profiles",
+    )
     groups = stored(
         profiles.where("n_shingles > 0 AND doc IS NOT NULL")
-        .groupBy(*same).agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands")),
+        .groupBy(*same).agg(F.min("doc").alias("node"), F.min_by("mark", "doc").alias("mark"),
+                            F.any_value("bands").alias("bands")),
         "groups",
     )
     keyed = groups.select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
@@ -230,7 +240,8 @@ def near_duplicates(
         F.min_by("doc", F.xxhash64("doc")).alias("other"),
     ).where("n > 1")
     members = stored(keyed.join(centres, "key").drop("n"), "members")
-    once = texts.where("doc IS NOT NULL").join(members.select("doc").distinct(), "doc")
+    wanted = groups.selectExpr("node AS doc", "mark").join(members.select("doc"), "doc", "left_semi")
+    once = texts.where("doc IS NOT NULL").join(wanted, ["doc", "mark"]).drop("mark")
     once = stored(once.dropDuplicates(["doc"]), "candidates")
 
     pairs = members.select("doc", F.explode(F.array("least", "other")).alias("centre"))
@@ -243,9 +254,7 @@ def near_duplicates(
     nodes = groups.join(found, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component"))
     return (
-        profiles.drop("bands").join(nodes, same, "left")
-        .withColumn("component", F.coalesce("component", "doc"))
-        .groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"),
-                            F.min("component").alias("component"))
+        profiles.select("doc", *same).join(nodes, same, "left")
+        .select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
         .withColumn("kept", F.coalesce(F.col("component") == F.col("doc"), F.lit(True)))
     )
