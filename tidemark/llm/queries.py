@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, covertree, labelled, language, quality, toxicity, urls, warc
+from tidemark.llm import (
+    alignment, bpe, chat, covertree, labelled, language, manifest, quality, toxicity, urls, warc,
+)
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring import remove_repeated_passages
@@ -263,3 +265,128 @@ def op8_cover_tree_top_k(spark, folder):
         table(spark, folder, "embeddings"), "vec_id", "embedding",
         F.transform("x", lambda c: F.floor(1024 * c).cast("double")))
     return covertree.top_k(vectors, vectors.where("pmod(id, 100) = 0"), 10)
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf_sql(text: str) -> str:
+    values = [text if c == "text" else f"CAST({c} AS VARCHAR)" for c in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+               {_leaf_sql(f"translate(text, '{CAPITALS}', '{SMALL}')")} AS changed,
+               list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)) AS signs
+        FROM documents),
+    judged AS (
+        SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, signs),
+            lambda crc, sign: list_reduce(
+                list_prepend(xor(crc, sign), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                lambda x, step: xor(x >> 1, 3988292384 * (x & 1))))) % 3 = 0 AS tampered,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank
+        FROM leaves),
+    lower(lang, level, place, digest, beside) AS (
+        SELECT lang, 0, rank, leaf, count(*) OVER (PARTITION BY lang) FROM judged
+        UNION ALL
+        SELECT lang, level + 1, place, digest, count(*) OVER (PARTITION BY lang)
+        FROM (SELECT lang, level, place // 8 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+              FROM lower WHERE beside > 1 GROUP BY lang, level, place // 8)),
+    subroots AS (
+        SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+        FROM lower WHERE beside = 1),
+    upper(level, place, digest, beside) AS (
+        SELECT 0, place, subroot, count(*) OVER () FROM subroots
+        UNION ALL
+        SELECT level + 1, place, digest, count(*) OVER ()
+        FROM (SELECT level, place // 8 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+              FROM upper WHERE beside > 1 GROUP BY level, place // 8)),
+    nodes AS (
+        SELECT 0 AS tree, lang, level, place, digest FROM lower WHERE beside > 1
+        UNION ALL SELECT 1, NULL, level, place, digest FROM upper WHERE beside > 1),
+    steps AS (
+        SELECT tree, lang, level, place,
+               string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead,
+               string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind
+        FROM nodes WINDOW run AS (PARTITION BY tree, lang, level, place // 8 ORDER BY place)),
+    paths AS (
+        SELECT j.doc_id, j.lang, j.leaf, j.rank, list([coalesce(s.ahead, ''), coalesce(s.behind, '')]
+               ORDER BY s.tree, s.level) FILTER (WHERE s.level IS NOT NULL) AS path
+        FROM judged j JOIN subroots r ON j.lang IS NOT DISTINCT FROM r.lang
+        LEFT JOIN steps s ON (s.tree = 0 AND s.lang IS NOT DISTINCT FROM j.lang
+                AND s.place = j.rank // CAST(power(8, s.level) AS BIGINT))
+            OR (s.tree = 1 AND s.place = r.place // CAST(power(8, s.level) AS BIGINT))
+        GROUP BY ALL)
+    SELECT j.doc_id, j.leaf, r.subroot, u.digest AS root,
+           sha256(list_aggregate(list_transform(coalesce(p.path, []), lambda s: s[1] || s[2]), 'string_agg', ''))
+               AS proof_sha256,
+           list_reduce(list_prepend([CASE WHEN tampered THEN changed ELSE j.leaf END, ''], coalesce(p.path, [])),
+               lambda own, s: [sha256(s[1] || own[1] || s[2]), ''])[1] AS folded_root,
+           folded_root = root AS verified
+    FROM judged j JOIN paths p ON j.lang IS NOT DISTINCT FROM p.lang AND j.rank = p.rank
+    JOIN subroots r ON j.lang IS NOT DISTINCT FROM r.lang
+    CROSS JOIN (SELECT digest FROM upper WHERE beside = 1) u""")
+def op11_merkle_manifest(spark, folder):
+    """Each document's proof in the manifest, and whether a third of them, tampered with, still fits."""
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = [F.translate(c, CAPITALS, SMALL) if c == "text" else F.col(c) for c in LEAF_FIELDS]
+    rows = manifest.build(docs.select(
+        F.col("lang").alias("grp"), F.col("doc_id").alias("id"),
+        manifest.leaf(*map(F.col, LEAF_FIELDS)).alias("leaf"),
+        F.when(tampered, manifest.leaf(*lowered)).alias("changed")))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof().alias("proof_sha256"),
+        manifest.folded(F.coalesce("changed", "leaf")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SPOKEN = "</s>[INST] ok [/INST]"
+
+
+@query("op12_chat_format", rf"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{SPOKEN}' UNION ALL SELECT -1, 1, 'assistant', '{SPOKEN}'),
+    shown AS (
+        SELECT *, role = 'assistant' AS learnt, length(regexp_replace(body, '{chat.ESCAPE}', '\1\2x\3', 'g')) +
+               CASE role WHEN 'user' THEN length('<s>[INST]  [/INST]') WHEN 'assistant' THEN length('</s>')
+               ELSE length('<s>[ROLE]  [/ROLE]') + 1 + length(regexp_replace(replace(replace(
+                   role, '\', '\\'), chr(10), '\n'), '{chat.ESCAPE}', '\1\2x\3', 'g')) END AS chars
+        FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body))
+               AS turns_sha256,
+           coalesce(sum(length(body)) FILTER (WHERE learnt), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, role, body) FILTER (WHERE learnt), ''))
+               AS loss_sha256,
+           sum(chars)::BIGINT AS formatted_chars
+    FROM shown GROUP BY conv_id""")
+def op12_chat_format(spark, folder):
+    """Every conversation, and one that speaks the template's own language, formatted and read back."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = local_table(spark, [(-1, 0, "user", SPOKEN), (-1, 1, "assistant", SPOKEN)],
+                         "conv_id long, turn long, role string, text string")
+    turns = given.unionByName(spoken).withColumn("content", chat.text_part(F.col("text"))).drop("text")
+    return chat.read_back(chat.format_turns(turns))
+
+
+def default_tokenizers() -> tuple[str, str]:
+    import public_tokenizers
+
+    return default_vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, folder, paths: tuple[str, str] | None = None):
+    """Groups of two tokenizers' tokens in each document, and how common its links are."""
+    files = alignment.load(spark, *(paths or default_tokenizers()))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, files).withColumn(
+        "groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
+    found, _ = alignment.count_links(aligned.drop("groups"), files)
+    return found.select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
