@@ -31,7 +31,7 @@ from tidemark.llm.scratch import others, stored
 
 # Fixed: the pattern that byte-level vocabularies of this kind cut texts by, for the encoder of A.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST = 4 << 20
+MOST = 1 << 20
 
 
 def _content(spark: SparkSession, path: str) -> bytes:
