@@ -15,7 +15,7 @@ from tidemark.operators.split import temporal_split_tvt
 from tidemark.operators.thresholds import best_thresholds, threshold_grid, threshold_sweep
 from tidemark.plans import reports
 from tidemark.roles import FeatureGroups
-from tidemark.session import materialize, scratch_path
+from tidemark.session import stored, scratch_path
 
 GROUPS = FeatureGroups(tuple(t.FEATURES), tuple(t.NUMERIC), tuple(t.CATEGORICAL))
 NEURAL = scoring.NeuralConfig(components=16, hidden=(16, 8))
@@ -129,7 +129,7 @@ def _by_year(model, spark, folder):
     parts = t.wide_split(spark, folder)
     rows = parts.tagged().where(F.col("split") != "train")
     pred = scoring.score_long(rows, [model], ["split", "year"], "target")
-    return metrics.evaluate(materialize(pred), ["model", "year"])
+    return metrics.evaluate(stored(pred), ["model", "year"])
 
 
 def _logistic(spark, folder):
@@ -236,7 +236,7 @@ def score_long(spark, folder):
 def tune_on_validation(spark, folder):
     val = t.wide_split(spark, folder).val
     pred = scoring.score_long(val, [_logistic(spark, folder)], ["year"], "target")
-    pred = materialize(pred)
+    pred = stored(pred)
     return best_thresholds(threshold_sweep(pred, threshold_grid(pred)))
 
 

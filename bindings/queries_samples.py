@@ -73,9 +73,9 @@ def sample_per_year(spark, folder):
 
 
 @query("sample_per_year_large",
-       "SELECT id, year, target FROM drawn_42 WHERE place <= 2000 AND year IN (1998, 1999)")
+       "SELECT id, year, target FROM drawn_42 WHERE place <= 2000")
 def sample_per_year_large(spark, folder):
-    rows = sampling.sample_per_year(t.loans_keyed(spark, folder), 2000, years=[1998, 1999])
+    rows = sampling.sample_per_year(t.loans_keyed(spark, folder), 2000)
     return rows.select("id", "year", "target")
 
 
@@ -115,9 +115,8 @@ def eval_batch(spark, folder):
     parts = t.keyed_split(spark, folder)
     used = t.attempts(spark, folder).select(F.col("llm_row_id").alias("id"))
     rows = sampling.eval_batch(
-        parts.val, parts.test, lambda df: prompts.prompt_table(df, LOAN_PROMPTS, t.LOANS),
-        batch=3, val_year=t.VAL_YEAR, test_years=t.TEST_YEARS, n=200, used=used,
-        start_row_id=100, roles=t.LOANS, warn=False,
+        parts, lambda df: prompts.prompt_table(df, LOAN_PROMPTS, t.LOANS),
+        batch=3, n=200, used=used, start_row_id=100, roles=t.LOANS, warn=False,
     )
     return rows.drop("llm_prompt")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bindings import tables as t
 from tidemark.operators import calibration, dedup, drift, metrics, prompts, sampling, thresholds
+from tidemark.session import stored
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -73,12 +74,20 @@ def test_ranking_is_spread_over_cells(spark):
     assert "cell" in first_window.split("],")[-2]
 
 
-def test_sampling_counts_cells_before_the_shuffle(spark):
-    text = plan(sampling.sample_per_year(t.loans_keyed(spark, FOLDER), 50))
-    assert "partial_count" in text and "__cell" in text
-    # rows are ranked only within the last cell of a year
-    ranked = [line for line in text.splitlines() if "row_number()" in line and "Window" in line]
-    assert len(ranked) == 1
+@pytest.mark.parametrize("build", [
+    lambda spark: sampling.sample_per_year(t.loans_keyed(spark, FOLDER), 50),
+    lambda spark: sampling.eval_batch(
+        t.keyed_split(spark, FOLDER), lambda df: df.select("id", "year"), 1, n=50, roles=t.LOANS, warn=False),
+])
+def test_sampling_reads_its_table_twice(spark, monkeypatch, build):
+    written = []
+    monkeypatch.setattr(sampling, "stored", lambda df, *name: written.append(plan(df)) or stored(df, *name))
+    rows = build(spark)
+    rows.collect()
+    [keys], read = written, plan(rows).split("Initial Plan")[0]
+    assert keys.count("orders.parquet") == read.count("orders.parquet") == 1
+    # every task keeps n keys of a year before they are shuffled, and only keys are
+    assert keys.count("Partial") == 2 and "c_name" not in keys.split("WindowGroupLimit")[0]
 
 
 def test_values_are_counted_before_the_shuffle(parts):

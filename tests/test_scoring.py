@@ -103,8 +103,8 @@ def test_row_ids(loans, cells):
 def test_eval_batch(spark, parts):
     config = prompts.PromptConfig(text=("grade",), context=("amount",))
     rows = sampling.eval_batch(
-        parts.val, parts.test, lambda df: prompts.prompt_table(df, config, ROLES), 2, 2013,
-        (2014, 2015), n=40, start_row_id=5, roles=ROLES,
+        parts, lambda df: prompts.prompt_table(df, config, ROLES), 2, n=40, start_row_id=5,
+        roles=ROLES,
     )
     found = rows.orderBy("llm_row_id").collect()
     assert [r["llm_row_id"] for r in found] == list(range(5, 125))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.session import materialize
+from tidemark.session import stored
 
 def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -62,7 +62,7 @@ def join_sample_to_source(
     ids = sample.select(id_column).distinct()
     reduced = source.drop(*clash).withColumn("in_source", F.lit(True))
     # read the source once; what is left has a row per sampled id
-    reduced = materialize(reduced.join(ids, id_column, "left_semi"))
+    reduced = stored(reduced.join(ids, id_column, "left_semi"))
     assert_unique(reduced, [id_column], "source")
     joined = sample.join(reduced, id_column, "left")
     missed = joined.where(F.col("in_source").isNull()).count()

@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.scores import add_cells
 from tidemark.operators.joins import exclude_ids
 from tidemark.operators.metrics import score_cells
+from tidemark.operators.split import Split
 from tidemark.roles import Roles
-from tidemark.session import local_table, materialize
+from tidemark.session import local_table, stored
 
 log = logging.getLogger(__name__)
 
-# Hexadecimal digits that part a year's rows: first by their draw, then by the hash of the row.
-DRAW_DIGITS, ROW_DIGITS = 4, 3
-
 
 def draw_order(seed: Column | int, id_column: str) -> Column:
     """Rows are drawn in the order of this text; a missing id counts as an empty one."""
@@ -29,27 +27,19 @@ def draw_order(seed: Column | int, id_column: str) -> Column:
     return F.md5(F.concat(F.lit(seed).cast("string"), F.lit(":"), own))
 
 
-def _cut(rows: DataFrame, year: str, cell: str, wanted: Column) -> DataFrame:
-    """Rows up to the cell in which the ``wanted`` first rows of the year end.
+def _first_keys(keys: DataFrame, year: str, n: int) -> DataFrame:
+    """The first ``n`` keys of each year, with how many rows of a key are wanted.
 
-    ``left`` is how many rows of that last cell are wanted, and NULL in the cells before. Only
-    counts per cell are shuffled.
+    Every task first keeps its own ``n`` of a year, tasks that share a salt then meet, and last the
+    salts: no task sees more than ``n`` keys from each of the ones before it.
     """
-    counts = rows.groupBy(year, cell).agg(F.count(F.lit(1)).alias("__n"), F.max(wanted).alias("__want"))
-    lower = Window.partitionBy(year).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__n").over(lower), F.lit(0))
-    last = (
-        counts.withColumn("__before", before).where(F.col("__before") < F.col("__want"))
-        .groupBy(F.col(year).alias("__year"))
-        .agg(F.max_by(F.struct(cell, (F.col("__want") - F.col("__before")).alias("__left")), cell).alias("__last"))
-    )
-    cut = F.col(f"__last.{cell}")
-    return (
-        rows.drop("__left").join(last, F.col(year).eqNullSafe(F.col("__year")))
-        .where(F.col(cell) <= cut)
-        .withColumn("__left", F.when(F.col(cell) == cut, F.col("__last.__left")))
-        .drop("__year", "__last")
-    )
+    order = ("__draw", "__draw_id", "__tie")
+    salts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = keys.withColumn("__salt", F.spark_partition_id() % salts)
+    for by in ([year, "__salt"], [year]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        salted = salted.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    return salted.groupBy(year, *order).agg(F.count(F.lit(1)).alias("__wanted"))
 
 
 def sample_per_year(
@@ -64,29 +54,30 @@ def sample_per_year(
     """Up to ``n`` rows of each year, with their natural mix of labels.
 
     Rows are drawn in the order of their hashed id; rows that share an id, or have none, follow a
-    hash of the whole row. The rows of a year are parted by the first digits of that order, and
-    only the part in which the sample ends is ranked. A very frequent id is parted further.
+    hash of the whole row. The table is read twice: for narrow keys (year, hashes, id), of which the
+    first ``n`` are found and written, and for the rows behind these. Rows equal in every column are
+    interchangeable and come as often as their keys were drawn. Rows without a year are a year.
     """
     for column in (id_column, year):
         if column not in df.columns:
             raise ValueError(f"the table has no column '{column}'")
     if years is not None:
         df = df.where(F.col(year).isin(*years))
-    start = F.lit(seed) + F.col(year) if seed_plus_year else F.lit(seed)
-    tie = F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0")
-    rows = df.select(
-        "*", draw_order(start, id_column).alias("__draw"),
-        F.col(id_column).cast("string").alias("__draw_id"), tie.alias("__tie"),
-    ).withColumn("__cell", F.substring("__draw", 1, DRAW_DIGITS))
-    rows = _cut(rows, year, "__cell", F.lit(n))
-    inside = rows.where("__left IS NULL")
-    cell = F.concat("__draw", F.substring("__tie", 1, ROW_DIGITS))
-    rows = _cut(rows.where("__left IS NOT NULL").withColumn("__cell", cell), year, "__cell", F.col("__left"))
-    inside = inside.unionByName(rows.where("__left IS NULL"))
-    order = Window.partitionBy(year).orderBy("__draw", "__draw_id", "__tie")
-    last = rows.where("__left IS NOT NULL").withColumn("__place", F.row_number().over(order))
-    last = last.where(F.col("__place") <= F.col("__left")).drop("__place")
-    return inside.unionByName(last).select(*df.columns)
+    start = F.lit(seed) + F.coalesce(F.col(year), F.lit(0)) if seed_plus_year else F.lit(seed)
+    rows = df.withColumns({
+        "__draw": draw_order(start, id_column), "__draw_id": F.col(id_column).cast("string"),
+        "__tie": F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0"),
+    })
+    keys = [year, "__draw", "__draw_id", "__tie"]
+    # n keys per year, so that the optimizer knows their size when it joins
+    wanted = stored(_first_keys(rows.select(*keys), year, n), "sample-keys")
+    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"wanted.{k}")) for k in keys if k != "__draw"]
+    found = rows.drop("__draw").alias("rows").join(wanted.alias("wanted"), same).select(
+        F.struct(*[f"wanted.{k}" for k in keys]).alias("__key"), "wanted.__wanted",
+        F.struct(*[F.col(f"rows.`{c}`") for c in df.columns]).alias("__row"),
+    )
+    one = found.groupBy("__key").agg(F.first("__row").alias("__row"), F.first("__wanted").alias("__wanted"))
+    return one.select("__row", F.explode(F.sequence(F.lit(1), F.col("__wanted").cast("int")))).select("__row.*")
 
 
 def sample_excluding(
@@ -104,10 +95,10 @@ def sample_excluding(
         raise ValueError(f"the table has no column '{id_column}'")
     if used is not None:
         df = exclude_ids(df, used, id_column)
-    rows = sample_per_year(df, n, seed, years, id_column, year, seed_plus_year=True)
+    rows = sample_per_year(df, n, seed, years, id_column, year, True)
     if warn:
         # n rows per year at most, read once
-        rows = materialize(rows)
+        rows = stored(rows)
         for row in shortfall(rows, years, n, year).collect():
             log.warning("asked for %d rows of %s, found %d", n, row[year], row["n_rows"])
     return rows
@@ -154,35 +145,33 @@ def row_ids(
 
 
 def eval_batch(
-    val: DataFrame,
-    test: DataFrame,
+    split: Split,
     prompts,
     batch: int,
-    val_year: int,
-    test_years: Sequence[int],
     n: int = 500,
     seed: int = 123,
     used: DataFrame | None = None,
     start_row_id: int = 0,
     roles: Roles = Roles(),
-    year: str = "year",
     warn: bool = True,
 ) -> DataFrame:
-    """Rows to score: ``n`` of the validation year and ``n`` of each test year, with prompts.
+    """Rows to score: ``n`` of each validation year and ``n`` of each test year, with prompts.
 
-    ``prompts`` turns sampled rows into the prompt table. Rows are numbered validation first.
+    ``prompts`` turns sampled rows into the prompt table, which keeps the year. Both parts are drawn
+    in the same two reads of the table. Rows are numbered validation first.
     """
-    options = dict(n=n, seed=seed, used=used, id_column=roles.id, year=year, warn=warn)
-    parts = [
-        prompts(sample_excluding(val, [val_year], **options)).withColumn(
-            "split", F.lit("validation")
-        ),
-        prompts(sample_excluding(test, list(test_years), **options)).withColumn(
-            "split", F.lit("test")
-        ),
-    ]
-    rows = parts[0].unionByName(parts[1])
-    # n rows per year: few enough to be numbered in one task
+    tagged = split.tagged("__part").where(F.col("__part") != "train").drop("__part")
+    years = [*split.val_years, *split.test_years]
+    rows = prompts(sample_excluding(tagged, years, n, seed, used, roles.id, split.year, warn))
+    part = F.when(F.col(split.year).isin(*split.val_years), "validation").otherwise("test")
+    return number_batch(rows.withColumn("split", part), batch, seed, start_row_id, roles)
+
+
+def number_batch(
+    rows: DataFrame, batch: int, seed: int = 123, start_row_id: int = 0, roles: Roles = Roles()
+) -> DataFrame:
+    """Prompt rows with running numbers, validation first. There are n rows per year, few enough for
+    one task."""
     order = Window.partitionBy(F.lit(0)).orderBy(
         F.desc("split"), draw_order(seed, roles.id), F.col(roles.id).cast("string")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.scores import predicted
 from tidemark.operators.prepare import preparation_stages, prepared_columns, slot_names
 from tidemark.roles import FeatureGroups, Roles
-from tidemark.session import materialize, shared_folder
+from tidemark.session import stored, shared_folder
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def _prepared(train: DataFrame, groups: FeatureGroups, scale: bool):
     vectors = stages.transform(train)
     slots = slot_names(vectors)
     helpers = [*prepared_columns(groups.numeric, groups.categorical), *groups.features]
-    return stages, materialize(vectors.drop(*helpers)), slots
+    return stages, stored(vectors.drop(*helpers)), slots
 
 
 def fit_logistic(

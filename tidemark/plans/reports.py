@@ -15,7 +15,7 @@ from tidemark.operators.joins import (
 from tidemark.operators.scoring import FittedModel, score_long
 from tidemark.operators.split import Split
 from tidemark.roles import FeatureGroups, Roles
-from tidemark.session import materialize
+from tidemark.session import stored
 from tidemark.sources.sink import write_metrics
 
 
@@ -46,7 +46,7 @@ def drift_report(
         split.train, split.test, features, split.year, n_bins, max_categories, nunique
     )
     # the three tables below read the few rows written here
-    psi, base = materialize(psi), materialize(base)
+    psi, base = stored(psi), stored(base)
     return _save(
         {
             "base_rate_by_year": base,
@@ -88,11 +88,11 @@ def tuned_results(
     val, test = pred.where(F.col("split") == "val"), pred.where(F.col("split") == "test")
     by = ["model", year]
     metrics.validate_scores(test)
-    sweep = materialize(thresholds.threshold_sweep(val, thresholds.threshold_grid(val)))
+    sweep = stored(thresholds.threshold_sweep(val, thresholds.threshold_grid(val)))
     best = thresholds.best_thresholds(sweep)
     tuned = {r["model"]: r["threshold"] for r in best.collect()}
     # performance, calibration and bins all come from these few rows per model and year
-    profile = materialize(metrics.score_profile(test, by, tuned, n_bins))
+    profile = stored(metrics.score_profile(test, by, tuned, n_bins))
     edges = F.array(*map(F.lit, metrics.uniform_edges(n_bins)))
     sums = profile.withColumn("edges", edges)
     performance = metrics.metrics_from(profile, by).select(
@@ -121,7 +121,7 @@ def run_tuned_models(
         raise ValueError("validation and test years must not overlap")
     models = [fit(split.train, groups, roles=roles, name=name) for name, fit in fits.items()]
     rows = split.tagged().where(F.col("split").isin("val", "test"))
-    pred = materialize(score_long(rows, models, ["split", split.year], roles.target))
+    pred = stored(score_long(rows, models, ["split", split.year], roles.target))
     return models, _save(tuned_results(pred, split.val_years[0], year=split.year), folder)
 
 
@@ -129,7 +129,7 @@ def final_summary(
     performance: DataFrame, calibrated: DataFrame, drift_summary: DataFrame
 ) -> dict[str, DataFrame]:
     """Performance with calibration, with drift, and as change since the first test year."""
-    both = materialize(join_performance_calibration(performance, calibrated))
+    both = stored(join_performance_calibration(performance, calibrated))
     return {
         "performance_calibration": both,
         "summary_table": metrics.summary_columns(both),
@@ -161,9 +161,9 @@ def matched_comparison(
     pred = external
     if models:
         pred = score_long(rows, models, keep, roles.target).unionByName(external)
-    pred = materialize(pred)
+    pred = stored(pred)
     table, sweep = matched.evaluate_predictions(pred, coarse=True, year=year)
-    table = materialize(table)
+    table = stored(table)
     return _save(
         {
             "sample_matched_predictions": pred,
