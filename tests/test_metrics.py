@@ -155,10 +155,10 @@ def test_scores_outside_the_unit_interval(spark):
     rows = local_table(spark, [("m", 1, 1, 1.2), ("m", 1, 0, 0.5)], SCHEMA)
     assert calibration.plain_ece(rows).first()["ece"] == pytest.approx(0.25)
     assert metrics.metric_table(rows, ["model"], 0.5).first()["ece"] == pytest.approx(0.25)
-    with pytest.raises(ValueError, match="outside"):
-        calibration.reliability_table(rows)
-    with pytest.raises(ValueError, match="outside"):
-        metrics.brier(rows)
+    with pytest.raises(PySparkException, match="outside"):
+        calibration.reliability_table(rows).collect()
+    with pytest.raises(PySparkException, match="outside"):
+        metrics.brier(rows).collect()
 
 
 @pytest.mark.parametrize("label, score, problem", [
@@ -170,13 +170,18 @@ def test_scores_outside_the_unit_interval(spark):
 ])
 def test_unusable_scores(spark, label, score, problem):
     rows = local_table(spark, [("m", 1, 0, 0.2), ("m", 1, label, score)], SCHEMA)
-    with pytest.raises(ValueError, match=problem):
-        metrics.validate_scores(rows)
+    # whatever is read of the rows
+    with pytest.raises(PySparkException, match=problem):
+        metrics.validate_scores(rows).count()
+    with pytest.raises(PySparkException, match=problem):
+        metrics.brier(rows, ["model"]).collect()
 
 
 def test_no_scores(spark):
-    with pytest.raises(ValueError, match="no scored rows"):
-        metrics.validate_scores(local_table(spark, [], SCHEMA))
+    empty = local_table(spark, [], SCHEMA)
+    with pytest.raises(PySparkException, match="no scored rows"):
+        metrics.brier(empty).collect()
+    assert metrics.brier(empty, ["model"]).count() == 0
 
 
 def test_reliability_bins(spark):

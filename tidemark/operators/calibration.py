@@ -58,11 +58,12 @@ def bin_sums(
 ) -> DataFrame:
     """Rows, positives, score sum and squared errors per group and bin, with the group's edges.
 
-    Fails on unusable scores. Rows are summed where they are read, before any shuffle.
+    Fails on unusable scores in the same pass. Rows are summed where they are read, before any
+    shuffle.
     """
     by = list(by)
-    validate_scores(pred)
-    pred = _assign_bins(pred.select(*by, "y_true", "y_prob"), by, n_bins, strategy)
+    pred = validate_scores(pred.select(*by, "y_true", "y_prob"))
+    pred = _assign_bins(pred, by, n_bins, strategy)
     gap = F.col("y_prob") - F.col("y_true")
     return pred.groupBy(*by, "bin_id").agg(
         F.count(F.lit(1)).alias("n"),

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions import text
+from tidemark.functions.checks import refuse
 from tidemark.roles import Roles
 from tidemark.sources.scan import load_table, validate_schema
 
@@ -87,11 +88,9 @@ def normalize_target(df: DataFrame, column: str) -> DataFrame:
 
 
 def assert_binary_target(df: DataFrame, column: str) -> DataFrame:
-    """Fail if the label takes any value besides 0 and 1. Runs one job."""
-    bad = df.where(~F.col(column).isin(0, 1)).select(column).distinct().collect()
-    if bad:
-        raise ValueError(f"the target must be 0 or 1, found {sorted(r[0] for r in bad)}")
-    return df
+    """The same rows; reading one whose label is neither 0 nor 1 fails."""
+    found = F.concat(F.lit("the target must be 0 or 1, found "), F.col(column).cast("string"))
+    return refuse(df, ~F.col(column).isin(0, 1), found)
 
 
 def clean_text_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidemark.functions.checks import holds
 from tidemark.functions.scores import right_closed_bin
 from tidemark.operators.features import categorical_columns, melt, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
@@ -265,8 +266,6 @@ def base_rate_by_year(
     for name, df in (("training", train), ("test", test)):
         if target not in df.columns:
             raise ValueError(f"the {name} table has no column '{target}'")
-    if test.isEmpty():
-        raise ValueError("the test table is empty")
     rates = (
         stack_periods(train, test, [target], year)
         .groupBy("period")
@@ -278,7 +277,8 @@ def base_rate_by_year(
     return (
         rates.withColumn("train_rate", F.max(F.when(F.col("period").isNull(), F.col("rate"))).over(whole))
         .withColumn("first_rate", first)
-        .where(F.col("period").isNotNull())
+        .withColumn("n_later", F.count("period").over(whole))
+        .where(holds(F.col("n_later") == 0, "the test table is empty", F.col("period").isNotNull()))
         .select(
             F.col("period").alias("year"),
             "n_rows",

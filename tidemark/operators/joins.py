@@ -6,30 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.session import stored
-
-def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.where(F.col("n_rows") > 1)
-
-
-def assert_unique(df: DataFrame, keys: Sequence[str], side: str = "table") -> None:
-    """Fail if a key occurs twice. Runs one job with map-side counts."""
-    found = duplicated_keys(df, keys).limit(1).collect()
-    if found:
-        raise ValueError(f"the {side} has several rows for {found[0].asDict()}")
-
+from tidemark.functions.checks import refuse, shown, unique
 
 def checked_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str, validate: str
 ) -> DataFrame:
-    """Equi join that fails unless it is ``one_to_one``, ``many_to_one`` or ``one_to_many``."""
+    """Equi join that fails unless it is ``one_to_one``, ``many_to_one`` or ``one_to_many``. The check
+    is part of the join."""
     if validate not in ("one_to_one", "many_to_one", "one_to_many"):
         raise ValueError(f"unknown cardinality '{validate}'")
     if validate != "one_to_many":
-        assert_unique(right, on, "right side")
+        right = unique(right, on, "right side")
     if validate != "many_to_one":
-        assert_unique(left, on, "left side")
+        left = unique(left, on, "left side")
     return left.join(right, list(on), how)
 
 
@@ -52,23 +41,18 @@ def join_sample_to_source(
 ) -> DataFrame:
     """Scored rows with the source columns behind their id.
 
-    The source is first reduced to the sampled ids; the optimizer broadcasts these if their size
-    allows it.
-    Fails if an id is twice in the source or not there at all.
+    The source is read once and first reduced to the sampled ids; the optimizer broadcasts these if
+    their size allows it. Fails, in the same pass, if an id is twice in the source or not there at all.
     """
     sample = sample.withColumn(id_column, F.col(id_column).cast("string"))
     source = source.withColumn(id_column, F.col(id_column).cast("string"))
     clash = [c for c in sample.columns if c in source.columns and c != id_column]
     ids = sample.select(id_column).distinct()
     reduced = source.drop(*clash).withColumn("in_source", F.lit(True))
-    # read the source once; what is left has a row per sampled id
-    reduced = stored(reduced.join(ids, id_column, "left_semi"))
-    assert_unique(reduced, [id_column], "source")
+    reduced = unique(reduced.join(ids, id_column, "left_semi"), [id_column], "source")
     joined = sample.join(reduced, id_column, "left")
-    missed = joined.where(F.col("in_source").isNull()).count()
-    if missed:
-        raise ValueError(f"{missed} sampled rows were not found in the source")
-    return joined.drop("in_source")
+    missed = F.concat(F.lit("a sampled row was not found in the source: "), shown([id_column]))
+    return refuse(joined, F.col("in_source").isNull(), missed).drop("in_source")
 
 
 def join_performance_calibration(performance: DataFrame, calibration: DataFrame) -> DataFrame:

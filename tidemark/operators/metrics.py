@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.checks import refuse
 from tidemark.functions.scores import add_cells, f1, left_closed_bin, predicted, ratio
 from tidemark.session import local_table
 
@@ -29,21 +30,23 @@ def completed(pred: DataFrame, score: str = "y_prob", label: str = "y_true") ->
 
 
 def validate_scores(pred: DataFrame, score: str = "y_prob", label: str = "y_true") -> DataFrame:
-    """Fail unless labels are 0/1 and scores lie in [0, 1], without gaps. Runs one job."""
+    """The same rows; reading one fails unless its label is 0 or 1 and its score lies in [0, 1]."""
     y, p = F.col(label), F.col(score).cast("double")
-    seen = pred.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(y.isNull()).alias("missing labels"),
-        F.count_if(~y.isin(0, 1)).alias("labels other than 0 and 1"),
-        F.count_if(p.isNull() | F.isnan(p)).alias("missing scores"),
-        F.count_if((p < 0) | ((p > 1) & ~F.isnan(p))).alias("scores outside [0, 1]"),
-    ).first().asDict()
-    if not seen.pop("rows"):
-        raise ValueError("there are no scored rows")
-    wrong = {what: n for what, n in seen.items() if n}
-    if wrong:
-        raise ValueError(f"unusable scores: {wrong}")
-    return pred
+    problem = (
+        F.when(y.isNull(), "missing labels")
+        .when(~y.isin(0, 1), "labels other than 0 and 1")
+        .when(p.isNull() | F.isnan(p), "missing scores")
+        .when((p < 0) | (p > 1), "scores outside [0, 1]")
+    )
+    return refuse(pred, problem.isNotNull(), F.concat(F.lit("unusable scores: "), problem))
+
+
+def mean_of_rows(value: Column, by: Sequence[str]) -> Column:
+    """The mean; without groups, an error if there are no rows. Groups have rows by themselves."""
+    if by:
+        return F.avg(value)
+    nothing = F.raise_error(F.lit("there are no scored rows")).cast("double")
+    return F.when(F.count(F.lit(1)) == 0, nothing).otherwise(F.avg(value))
 
 
 def present(column: str) -> Column:
@@ -139,10 +142,9 @@ def threshold_metrics(
 
 
 def brier(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean squared distance of score and label; fails on unusable scores."""
-    validate_scores(pred)
+    """Mean squared distance of score and label; fails on unusable scores. One pass."""
     gap = F.col("y_prob") - F.col("y_true")
-    return pred.groupBy(*by).agg(F.avg(gap * gap).alias("brier_score"))
+    return validate_scores(pred).groupBy(*by).agg(mean_of_rows(gap * gap, by).alias("brier_score"))
 
 
 def score_profile(

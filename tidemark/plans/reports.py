@@ -85,9 +85,9 @@ def tuned_results(
 
     ``pred`` is long (model, split, year, y_true, y_prob) with splits ``val`` and ``test``.
     """
-    val, test = pred.where(F.col("split") == "val"), pred.where(F.col("split") == "test")
+    val = pred.where(F.col("split") == "val")
+    test = metrics.validate_scores(pred.where(F.col("split") == "test"))
     by = ["model", year]
-    metrics.validate_scores(test)
     sweep = stored(thresholds.threshold_sweep(val, thresholds.threshold_grid(val)))
     best = thresholds.best_thresholds(sweep)
     tuned = {r["model"]: r["threshold"] for r in best.collect()}
