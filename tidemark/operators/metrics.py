@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.checks import refuse
 from tidemark.functions.scores import add_cells, f1, left_closed_bin, predicted, ratio
+from tidemark.operators.quantiles import cut_points
 from tidemark.session import local_table
 
-MAX_CELLS = 2000
 UNIFORM_BINS = 10
 
 
@@ -57,17 +57,14 @@ def present(column: str) -> Column:
 
 
 def score_cells(pred: DataFrame, cells: int | None = None, score: str = "y_prob") -> list[float]:
-    """Scores that cut the table into parts of about equal size; ties stay in one part.
+    """Scores that cut the table into parts of about equal size, eight for each shuffle partition; ties
+    stay in one part.
 
-    They only decide how ranking work is spread, so estimated quantiles will do.
+    They only decide how ranking work is spread, so a sketch's quantiles will do.
     """
     if cells is None:
         cells = 8 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(1, min(cells, MAX_CELLS))
-    if cells == 1:
-        return []
-    probs = [i / cells for i in range(1, cells)]
-    return sorted(set(pred.approxQuantile(score, probs, 0.1 / cells)))
+    return cut_points(pred, score, cells)
 
 
 def score_counts(pred: DataFrame, by: Sequence[str]) -> DataFrame:

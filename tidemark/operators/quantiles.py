@@ -1,9 +1,11 @@
-"""Exact quantiles of large columns without sorting them whole.
-
-A column is cut into brackets whose exact sizes are counted. The bracket that holds a wanted rank
-is cut again, at quantiles estimated by a sketch, until it is small or holds one value only; the
-rank is then read off the sorted values of that bracket. A pass scans the needed columns and
-shuffles counts. The sketch only chooses where to cut, so its error cannot reach the result.
+"""Quantiles of large columns without sorting them whole: exact, or estimated from mergeable sketches.
+
+Exact ones take three scans of the needed columns, whatever the size. The first builds a sketch per
+group and column, whose quantiles cut the column into cells. The second counts the rows of each cell;
+running counts then say in which cell a wanted rank lies. The third counts the distinct values of these
+cells, and running counts over them give the value at each rank. Counts are summed where the rows are
+read, so a value held by any share of the rows is one row in every shuffle. The sketch only chooses where
+to cut, so its error cannot reach the result.
 """
 
 from __future__ import annotations
@@ -13,17 +15,15 @@ import sys
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.functions.scores import INF, add_cells
+from tidemark.functions.scores import add_cells
 from tidemark.session import local_table
 
-# Most rows of one bracket that are sorted in one task.
-BRACKET_ROWS = 500_000
-# Cuts per bracket and pass, and about how many of its rows the estimate of the cuts is based on.
-PIECES = 256
-SKETCH_ROWS = 500_000
+# Cells that a column is cut into, at least MIN_CELLS for each group, and the size of its sketch.
+CELLS, MIN_CELLS, SKETCH = 2048, 32, 4096
 LARGEST = sys.float_info.max
 
 
@@ -33,94 +33,65 @@ def interpolate(low: float, high: float, share: float) -> float:
     return high - step * (1 - share) if share >= 0.5 else low + step * share
 
 
-def _whole_columns(df, columns, by):
-    """Size and ends of every column, as a single bracket per group."""
-    aggregates = []
-    for i, column in enumerate(columns):
-        value = F.col(column).cast("double")
-        finite = F.when(value.between(-LARGEST, LARGEST), value)
-        aggregates.append(
-            F.struct(
-                F.lit(0).alias("bracket"),
-                F.count(finite).alias("n"),
-                F.min(finite).alias("low"),
-                F.max(finite).alias("high"),
-                F.lit(None).alias("cuts"),
-            ).alias(f"__c{i}")
-        )
-    groups = {}
-    # a global aggregate has a row even for an empty table
-    for row in df.groupBy(*by).agg(*aggregates).collect():
-        for i, column in enumerate(columns):
-            if row[f"__c{i}"]["n"]:
-                groups[(*(row[k] for k in by), column)] = [row[f"__c{i}"]]
-    return groups
+def finite(column: str | Column) -> Column:
+    """The value as a double; missing and infinite ones are NULL."""
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.when(value.between(-LARGEST, LARGEST), value)
 
 
-def _long(df, columns, by, edges):
-    """Rows (by, column, bracket, value) without missing or infinite values."""
-    cells = []
-    for i, column in enumerate(columns):
-        df = df.withColumn(f"__v{i}", F.col(column).cast("double"))
-        df = add_cells(df, f"__v{i}", edges[column], f"__b{i}")
-        cells.append(
-            F.struct(
-                F.lit(column).alias("column"),
-                F.col(f"__b{i}").alias("bracket"),
-                F.col(f"__v{i}").alias("value"),
-            )
-        )
-    rows = df.select(*by, F.inline(F.array(*cells)))
-    return rows.where(F.col("value").between(-LARGEST, LARGEST))
-
-
-def _brackets(df, columns, by, edges, spans):
-    """Size and ends of every bracket, and estimated cuts of those inside the given spans."""
-    group = [*by, "column", "bracket"]
-    rows = _long(df, columns, by, edges)
-    inside = {}
-    for key, ends in spans.items():
-        inner = sorted(edges[key[-1]])
-        for low, high, n in ends:
-            places = range(bisect_right(inner, low), bisect_right(inner, high) + 1)
-            for place in places:
-                share = min(1.0, SKETCH_ROWS / n)
-                inside[(*key, place)] = max(share, inside.get((*key, place), 0.0))
-    schema = rows.select(*group).schema.add("share", "double")
-    inside = [(*place, share) for place, share in inside.items()]
-    points = F.array(*[F.lit(i / PIECES) for i in range(PIECES + 1)])
-    counted = (
-        rows.join(local_table(df.sparkSession, inside, schema), group, "left")
-        .withColumn("sketched", F.when(F.rand(0) < F.col("share"), F.col("value")))
-        .groupBy(*group)
-        .agg(
-            F.count("value").alias("n"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            F.percentile_approx("sketched", points, 20 * PIECES).alias("cuts"),
-        )
+def sketch_points(sketch: Column, probs: Sequence[float]) -> Column:
+    """Estimated quantiles; NULL for a sketch of no values."""
+    points = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(float(p)) for p in probs]))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, points)
+
+
+def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Values that cut a column into parts of about equal size, by a sketch; fewer if values repeat."""
+    if parts < 2:
+        return []
+    sketch = F.kll_sketch_agg_double(finite(column), F.lit(max(8, min(4 * parts, 65535))))
+    probs = [i / parts for i in range(1, parts)]
+    [row] = df.agg(sketch.alias("sketch")).select(sketch_points(F.col("sketch"), probs)).collect()
+    return sorted(set(row[0] or ()))
+
+
+def _sketched(df, columns, by, cells):
+    """Per group and column the number of values, and per column where to cut it."""
+    probs = [i / cells for i in range(1, cells)]
+    sketches = df.groupBy(*by).agg(
+        *[F.count(finite(c)).alias(f"__n{i}") for i, c in enumerate(columns)],
+        *[F.kll_sketch_agg_double(finite(c), F.lit(SKETCH)).alias(f"__s{i}") for i, c in enumerate(columns)],
     )
-    groups = defaultdict(list)
-    for row in sorted(counted.collect(), key=lambda r: r["bracket"]):
-        groups[tuple(row[k] for k in (*by, "column"))].append(row)
-    return groups
+    rows = sketches.select(
+        *by, *[f"__n{i}" for i in range(len(columns))],
+        *[sketch_points(F.col(f"__s{i}"), probs).alias(f"__q{i}") for i in range(len(columns))],
+    ).collect()
+    total, edges = {}, {c: set() for c in columns}
+    step = max(1, min(len(rows), cells // MIN_CELLS))
+    for row in rows:
+        for i, c in enumerate(columns):
+            if row[f"__n{i}"]:
+                total[(*(row[k] for k in by), c)] = row[f"__n{i}"]
+                edges[c].update(row[f"__q{i}"][step - 1 :: step])
+    return total, edges
 
 
-def _locate(brackets, rank):
-    """The bracket that holds a rank, and the rank inside it."""
-    for bracket in brackets:
-        if rank < bracket["n"]:
-            return bracket, rank
-        rank -= bracket["n"]
-    raise ValueError("rank beyond the number of values")
+def _long(df, columns, by, edges):
+    """Rows (by, column, cell, value) without missing or infinite values."""
+    parts = []
+    for i, column in enumerate(columns):
+        df = add_cells(df.withColumn(f"__v{i}", finite(column)), f"__v{i}", edges[column], f"__b{i}")
+        parts.append(F.struct(
+            F.lit(column).alias("column"), F.col(f"__b{i}").alias("cell"), F.col(f"__v{i}").alias("value")))
+    return df.select(*by, F.inline(F.array(*parts))).where(F.col("value").isNotNull())
 
 
-def _ranks(n: int, probs: Sequence[float]) -> set[int]:
+def _ranks(n: int, probs: Sequence[float]) -> list[int]:
     wanted = set()
     for p in probs:
         low = math.floor((n - 1) * p)
         wanted |= {low, min(low + 1, n - 1)}
-    return wanted
+    return sorted(wanted)
 
 
 def exact_quantiles(
@@ -128,89 +99,60 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    bracket_rows: int = BRACKET_ROWS,
+    cells: int = CELLS,
 ) -> dict[tuple, list[float]]:
     """Linearly interpolated quantiles per group and column: ``{(*group, column): [...]}``.
 
     Missing and infinite values are left out; a group without values or name is absent. The result has
     one list per group, so ``by`` should name models and periods rather than ids.
     """
-    by = list(by)
+    by, columns = list(by), list(columns)
     df = df.select(*by, *columns)
     if by:
         df = df.dropna(subset=by)
-    edges = {c: set() for c in columns}
-    groups = _whole_columns(df, columns, by)
-    total = {key: sum(b["n"] for b in brackets) for key, brackets in groups.items()}
-    ranks = {key: _ranks(n, probs) for key, n in total.items()}
-    while True:
-        found, open_ranks, spans = {}, defaultdict(list), defaultdict(list)
-        for key, wanted in ranks.items():
-            for rank in wanted:
-                bracket, inside = _locate(groups[key], rank)
-                if bracket["low"] == bracket["high"]:
-                    found[key, rank] = bracket["low"]
-                elif bracket["n"] <= bracket_rows:
-                    open_ranks[(*key, bracket["bracket"])].append((inside, rank))
-                else:
-                    spans[key].append(_narrower(bracket, inside))
-                    low, high, _ = spans[key][-1]
-                    middle = bracket["low"] / 2 + bracket["high"] / 2
-                    # halve the range and part off its end, so that every pass makes progress
-                    edges[key[-1]] |= {low, math.nextafter(high, INF), middle, bracket["high"]}
-        if not spans:
-            break
-        unsettled = sorted({key[-1] for key in spans})
-        groups.update(_brackets(df, unsettled, by, edges, spans))
-    if open_ranks:
-        found.update(_read_ranks(df, by, edges, open_ranks))
-
-    quantiles = {}
+    total, edges = _sketched(df, columns, by, cells)
+    if not total:
+        return {}
+    rows, group = _long(df, columns, by, edges), [*by, "column"]
+    sizes = defaultdict(list)
+    for row in rows.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[tuple(row[k] for k in group)].append((row["cell"], row["n"]))
+    # the cells that hold wanted ranks, and these as ranks inside the cell
+    inside = defaultdict(list)
+    for key, found in sizes.items():
+        found.sort()
+        ends = list(accumulate(n for _, n in found))
+        for rank in _ranks(total[key], probs):
+            at = bisect_right(ends, rank)
+            inside[(*key, found[at][0])].append(rank - (ends[at] - found[at][1]))
+    values = _values_at(df.sparkSession, rows, group, inside)
+    result = {}
     for key, n in total.items():
-        values = []
-        for p in probs:
-            position = (n - 1) * p
-            low = math.floor(position)
-            high = min(low + 1, n - 1)
-            values.append(interpolate(found[key, low], found[key, high], position - low))
-        quantiles[key] = values
-    return quantiles
-
-
-def _narrower(bracket, inside):
-    """Ends and rough size of the part of a bracket that probably holds the rank."""
-    cuts, n = bracket["cuts"], bracket["n"]
-    if not cuts:
-        return bracket["low"], bracket["high"], n
-    at = inside / n * PIECES
-    low, high = max(math.floor(at) - 1, 0), min(math.ceil(at) + 1, PIECES)
-    return cuts[low], cuts[high], n * (high - low) / PIECES
-
-
-def _read_ranks(df, by, edges, open_ranks):
-    """Sort the values of the small brackets and pick the wanted ranks."""
-    group = [*by, "column", "bracket"]
-    rows = _long(df, sorted({key[-2] for key in open_ranks}), by, edges)
-    schema = rows.select(*group).schema.add("ranks", T.ArrayType(T.LongType()))
-    ranks = [(*key, sorted(inside for inside, _ in wanted)) for key, wanted in open_ranks.items()]
-    wanted = local_table(df.sparkSession, ranks, schema)
-    # no bracket holds more than the allowed number of rows
-    picked = (
-        rows.join(wanted.select(*group), group, "left_semi")
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list("value")).alias("values"))
-        .join(wanted, group)
-        .select(
-            *group,
-            F.transform("ranks", lambda r: F.get("values", r.cast("int"))).alias("values"),
-        )
+        at = dict(zip(_ranks(n, probs), (v for cell, _ in sorted(sizes[key]) for v in values.get((*key, cell), ()))))
+        result[key] = [
+            interpolate(at[math.floor((n - 1) * p)], at[min(math.floor((n - 1) * p) + 1, n - 1)],
+                        (n - 1) * p - math.floor((n - 1) * p)) for p in probs
+        ]
+    return result
+
+
+def _values_at(spark, rows, group, inside):
+    """The values at the given ranks of some cells, from running counts of their distinct values."""
+    key = [*group, "cell"]
+    schema = rows.select(*key).schema.add("ranks", T.ArrayType(T.LongType()))
+    wanted = local_table(spark, [(*k, ranks) for k, ranks in inside.items()], schema)
+    counts = rows.join(wanted.select(*key), key, "left_semi").groupBy(*key, "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.partitionBy(*key).orderBy("value"))
+    hit = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    found = (
+        counts.withColumn("upto", running).join(wanted, key)
+        .select(*key, "value", F.size(hit).alias("times"), "upto").where("times > 0")
     )
-    found = {}
-    for row in picked.collect():
-        key = tuple(row[k] for k in group)
-        for (_, rank), value in zip(sorted(open_ranks[key]), row["values"]):
-            found[key[:-1], rank] = value
-    return found
+    values = defaultdict(list)
+    for row in sorted(found.collect(), key=lambda r: r["upto"]):
+        values[tuple(row[k] for k in key)] += [row["value"]] * row["times"]
+    return values
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

@@ -133,12 +133,11 @@ def row_ids(
     )
     sizes = ranges.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     lower = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    # at most MAX_CELLS rows
     before = sizes.select("cell", F.coalesce(F.sum("size").over(lower), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy(order))
     return (
         ranges.withColumn("place", place)
-        .join(F.broadcast(before), "cell")
+        .join(before, "cell")
         .withColumn(name, F.col("before") + F.col("place") - 1 + start)
         .select(*df.columns, name)
     )
