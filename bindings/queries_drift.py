@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings import tables as t
 from bindings.registry import PROBS_10, define, quantile_sql, query
-from tidemark.operators import drift
+from tidemark.operators import drift, histogram
 from tidemark.plans import reports
 from tidemark.session import scratch_path
 
@@ -195,6 +195,53 @@ def psi_by_feature_year(spark, folder):
     return _psi(spark, folder)
 
 
+DISTINCT_CLOSE = """SELECT feature, CAST(period AS INTEGER) AS period, n_rows,
+    round(missing, 6) AS missing_rate, n_distinct AS exact, true AS close
+    FROM feature_profile JOIN (SELECT feature, period, count(*) AS n_rows FROM (
+        SELECT feature, period FROM num_long UNION ALL SELECT feature, period FROM cat_long) x
+        GROUP BY feature, period) r USING (feature, period)"""
+
+
+@query("distinct_sketches", DISTINCT_CLOSE)
+def distinct_sketches(spark, folder):
+    """Distinct values from written sketches, beside the exact number: within 2 % of it."""
+    parts = t.wide_split(spark, folder)
+    sketches = histogram.Periods(spark, sketches=True)
+    sketches.add(parts.train, parts.test, t.FEATURES, t.TEST_YEARS)
+    rough = histogram.estimates(sketches.table())
+    counts = histogram.Periods(spark)
+    counts.add(parts.train, parts.test, t.FEATURES, t.TEST_YEARS)
+    exact = histogram.profile(counts.table()).select("feature", "period", F.col("n_distinct").alias("exact"))
+    return rough.join(exact, ["feature", "period"]).select(
+        "feature", F.when(histogram.in_period("train"), 0).otherwise(F.col("period").try_cast("int"))
+        .alias("period"), F.col("n").alias("n_rows"), "missing_rate", "exact",
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"))
+
+
+@query("quantile_sketches", """
+    SELECT feature, 9 AS n_points, true AS close FROM (SELECT DISTINCT feature FROM num_long) x""")
+def quantile_sketches(spark, folder):
+    """Deciles of all test years from the merged sketches of the years: the share of rows at or below an
+    estimate, and below it, enclose its rank to one hundredth."""
+    parts = t.wide_split(spark, folder)
+    sketches = histogram.Periods(spark, sketches=True)
+    sketches.add(parts.train, parts.test, t.NUMERIC, t.TEST_YEARS)
+    probs = [i / 10 for i in range(1, 10)]
+    years = histogram.merged(sketches.table().where(~histogram.in_period("train")), "feature")
+    points = histogram.estimates(years, probs).select("feature", F.posexplode("quantiles").alias("at", "point"))
+    counts = histogram.Periods(spark)
+    counts.add(parts.train, parts.test, t.NUMERIC, t.TEST_YEARS)
+    values = counts.table().where("period <> 'train' AND number IS NOT NULL").groupBy("feature", "number").agg(
+        F.sum("n").alias("n"))
+    ranks = values.join(points, "feature").groupBy("feature", "at").agg(
+        (F.sum(F.when(F.col("number") < F.col("point"), F.col("n")).otherwise(0)) / F.sum("n")).alias("below"),
+        (F.sum(F.when(F.col("number") <= F.col("point"), F.col("n")).otherwise(0)) / F.sum("n")).alias("upto"))
+    wanted = (F.col("at") + 1) / 10
+    good = (F.col("below") <= wanted + 0.01) & (F.col("upto") >= wanted - 0.01)
+    return ranks.groupBy("feature").agg(
+        F.count(F.lit(1)).cast("int").alias("n_points"), F.every(good).alias("close"))
+
+
 @query("drift_summary_by_year", "SELECT * FROM drift_summary_out")
 def drift_summary_by_year(spark, folder):
     return drift.drift_summary_by_year(_psi(spark, folder), _base_rate(spark, folder))

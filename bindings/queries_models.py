@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from bindings import tables as t
 from bindings.registry import define, query
 from tidemark.functions.names import strip_prefix
 from tidemark.operators import matched, metrics, prepare, reliance, scoring
+from tidemark.operators.foreign import ForeignModel
 from tidemark.operators.split import temporal_split_tvt
 from tidemark.operators.thresholds import best_thresholds, threshold_grid, threshold_sweep
 from tidemark.plans import reports
 from tidemark.roles import FeatureGroups
-from tidemark.session import stored, scratch_path
+from tidemark.session import scratch_path, stored
 
 GROUPS = FeatureGroups(tuple(t.FEATURES), tuple(t.NUMERIC), tuple(t.CATEGORICAL))
 NEURAL = scoring.NeuralConfig(components=16, hidden=(16, 8))
@@ -220,6 +223,52 @@ def predict_label(spark, folder):
     return labelled.groupBy("year", "y_pred").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+class Linear:
+    """A foreign model: a logistic function of two columns, with gaps at their middle."""
+
+    middle, weights, shift = (150_000.0, 4_500.0), (0.00001, -0.0002), -0.25
+
+    def predict_proba(self, rows):
+        z = np.full(len(rows), self.shift)
+        for column, middle, weight in zip(rows.columns, self.middle, self.weights):
+            z += weight * (rows[column].fillna(middle).to_numpy() - middle)
+        p = 1.0 / (1.0 + np.exp(-z))
+        return np.column_stack([1 - p, p])
+
+
+def _foreign():
+    return ForeignModel("foreign", Linear(), {"o_totalprice": "double", "c_acctbal": "double"})
+
+
+define(foreign="""
+    SELECT id, year, target, 1.0e0 / (1.0e0 + exp(0.25e0 - 0.00001e0 * (o_totalprice - 150000.0e0)
+           + 0.0002e0 * (coalesce(c_acctbal, 4500.0e0) - 4500.0e0))) AS y_prob
+    FROM (SELECT id, year, target, o_totalprice, CASE WHEN id % 7 <> 0 THEN c_acctbal END AS c_acctbal
+          FROM loans_keyed) x""")
+
+
+@query("score_foreign", "SELECT id, year, target, round(y_prob, 6) AS y_prob FROM foreign")
+def score_foreign(spark, folder):
+    """A model that no operator here fitted, on every row."""
+    rows = gappy(spark, folder).join(
+        t.loans_keyed(spark, folder).select("id", "target"), "id")
+    return _foreign().score(rows).select("id", "year", "target", "y_prob")
+
+
+@query("score_long_foreign", """SELECT model, year, count(*) AS n_rows, CAST(sum(y_true) AS BIGINT) AS positives,
+    round(avg(y_prob), 6) AS mean_pred FROM (
+        SELECT 'foreign' AS model, year, target AS y_true, y_prob FROM foreign
+        UNION ALL SELECT 'again', year, target, y_prob FROM foreign) x GROUP BY model, year""")
+def score_long_foreign(spark, folder):
+    """Foreign models stand wherever fitted ones can."""
+    rows = gappy(spark, folder).join(t.loans_keyed(spark, folder).select("id", "target"), "id")
+    models = [_foreign(), replace(_foreign(), name="again")]
+    pred = scoring.score_long(rows, models, ["year"], "target")
+    return pred.groupBy("model", "year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").alias("positives"),
+        F.avg("y_prob").alias("mean_pred"))
+
+
 def _two_models(spark, folder):
     train = t.wide_split(spark, folder).train
     trees = scoring.fit_boosted_trees(train, GROUPS, t.LOANS)

@@ -10,6 +10,7 @@ from tidemark.functions import text
 from tidemark.operators import prompts, sampling
 from tidemark.operators.features import melt
 from tidemark.roles import Roles
+from tidemark.session import scratch_path
 from tidemark.streaming import resume
 
 CONFIG = prompts.PromptConfig(text=("title", "desc"), context=("lang", "n_chars"), max_chars=500)
@@ -211,6 +212,36 @@ def merge_attempts(spark, folder):
     return _merged(spark, folder).drop("attempt_ts")
 
 
+LOG = "llm_row_id bigint, attempt_id bigint, attempt_ts timestamp_ntz, llm_error string, llm_default_probability double"
+
+
+def _log(spark, folder):
+    """The replies of four rounds, of which one is given twice and one is never published."""
+    rows = t.replies(spark, folder)
+    log = resume.AttemptLog(spark, scratch_path(spark, "attempts"), LOG)
+    for number in (0, 1, 1, 2):
+        log.commit(f"round-{number}", rows.where(F.col("attempt_id") % 4 == number))
+    log.ledger.write("round-3", rows.where(F.col("attempt_id") % 4 == 3))
+    return log
+
+
+@query("attempt_log", """
+    SELECT llm_row_id, attempt_id, llm_error, round(llm_default_probability, 6) AS llm_default_probability
+    FROM replies WHERE attempt_id % 4 < 3
+    QUALIFY row_number() OVER (PARTITION BY llm_row_id ORDER BY
+        llm_error IS NULL AND llm_default_probability IS NOT NULL DESC, attempt_id DESC) = 1""")
+def attempt_log(spark, folder):
+    return _log(spark, folder).results().drop("attempt_ts")
+
+
+@query("attempt_log_pending", """
+    SELECT event_id AS llm_row_id FROM events WHERE event_id NOT IN (
+        SELECT llm_row_id FROM replies WHERE attempt_id % 4 < 3
+        AND llm_error IS NULL AND llm_default_probability IS NOT NULL)""")
+def attempt_log_pending(spark, folder):
+    return _log(spark, folder).pending(t.scoring_inputs(spark, folder))
+
+
 @query("error_counts", "SELECT count(*) AS n_rows, count(llm_error) AS n_errors FROM merged")
 def error_counts(spark, folder):
     return prompts.error_counts(_merged(spark, folder))

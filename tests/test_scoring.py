@@ -2,15 +2,20 @@
 
 import json
 import logging
+import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.names import base_feature
 from tidemark.operators import matched, metrics, prepare, prompts, reliance, sampling, scoring
+from tidemark.operators.foreign import ForeignModel
 from tidemark.operators.split import temporal_split_tvt
 from tidemark.plans import reports
 from tidemark.roles import FeatureGroups, Roles
@@ -315,6 +320,54 @@ def test_mlp(parts):
     assert metrics.metric_table(pred, ["model"], 0.5).first()["auc"] > 0.7
 
 
+def test_network_runs_on_the_jvm_and_survives_saving(parts, tmp_path):
+    config = scoring.NeuralConfig(components=4, hidden=(6, 4), max_iter=20)
+    model = scoring.fit_mlp(parts.train, GROUPS, ROLES, config)
+    scored = model.score(parts.test)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Python", "Arrow", "Pandas") if w in plan]
+    model.pipeline.write().save(str(tmp_path / "model"))
+    again = scoring.FittedModel("again", GROUPS, PipelineModel.load(str(tmp_path / "model")), model.slots)
+    both = again.score(scored, "y_again").select("y_prob", "y_again").collect()
+    assert both and all(r["y_prob"] == r["y_again"] for r in both)
+
+
+def test_projection_multiplies_by_the_matrix(spark):
+    matrix = np.arange(12.0).reshape(6, 2)
+    rows = [(Vectors.sparse(6, [1, 3], [1.0, 2.0]),), (Vectors.dense([1, 0, 0, 0, 0, 1.0]),)]
+    found = scoring.projection(matrix).transform(spark.createDataFrame(rows, ["features"])).collect()
+    for r in found:
+        assert r["reduced"].toArray().tolist() == (r["features"].toArray() @ matrix).tolist()
+
+
+class Halves:
+    def __init__(self, shape=None, blob=b""):
+        self.shape, self.blob = shape, blob
+
+    def predict_proba(self, rows):
+        p = rows["b"].map(len).to_numpy() / 10 + rows["a"].to_numpy() * 0
+        return np.zeros(self.shape) if self.shape else np.column_stack([1 - p, p])
+
+
+def test_any_object_with_probabilities_can_score(spark):
+    df = local_table(spark, [(1, "xx", 0), (2, "xyz", 1), (None, "q", 1)], "a int, b string, `y true` int")
+    model = ForeignModel("f", Halves(), {"a": "double", "b": "string"})
+    found = model.score(df.repartition(2))
+    assert found.columns == ["a", "b", "y true", "y_prob"]
+    assert {(r["a"], r["y_prob"]) for r in found.where("a IS NOT NULL").collect()} == {(1, 0.2), (2, 0.3)}
+    # a number the model cannot use stays its own affair: NaN in, NaN out
+    assert math.isnan(found.where("a IS NULL").first()["y_prob"])
+    assert model.score(df.where("false")).count() == 0
+    pred = scoring.score_long(df, [model, ForeignModel("g", Halves(), model.inputs)], ["b"], "y true")
+    assert pred.count() == 6
+    with pytest.raises(ValueError, match="lacks columns"):
+        model.score(df.drop("a"))
+    with pytest.raises(ValueError, match="to be broadcast"):
+        ForeignModel("f", Halves(blob=bytes(5000)), model.inputs, most_bytes=4000).score(df)
+    with pytest.raises(PySparkException, match="two classes"):
+        ForeignModel("f", Halves(shape=(1, 3)), model.inputs).score(df.coalesce(1)).collect()
+
+
 def test_balanced_weights_raise_scores(parts, logistic):
     balanced = scoring.fit_logistic(
         parts.train, GROUPS, ROLES, scoring.LogisticConfig(class_weight="balanced")

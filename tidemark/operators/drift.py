@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.checks import holds
 from tidemark.functions.scores import right_closed_bin
+from tidemark.operators import histogram
 from tidemark.operators.features import categorical_columns, melt, numeric_columns
+from tidemark.operators.histogram import stack_periods
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.split import years_present
 from tidemark.roles import EPS, MISSING, OTHER
@@ -30,14 +32,15 @@ class Bins:
     def inner(self) -> tuple[float, ...]:
         return self.edges[1:-1]
 
-    def code(self) -> Column:
-        """Bin number of a row; 0 holds missing numbers and rare categories."""
+    def code(self, value: Column | None = None) -> Column:
+        """Bin number of a row, or of the given value; 0 holds missing numbers and rare categories."""
+        value = F.col(self.feature) if value is None else value
         if self.kind == "numeric_constant":
             return F.lit(0)
         if self.kind == "categorical":
-            value = F.coalesce(F.col(self.feature).cast("string"), F.lit(MISSING))
+            value = F.coalesce(value.cast("string"), F.lit(MISSING))
             return F.array_position(F.array(*map(F.lit, self.top)), value).cast("int")
-        value = F.col(self.feature).cast("double")
+        value = value.cast("double")
         finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
         return F.when(finite, right_closed_bin(value, self.inner) + 1).otherwise(0)
 
@@ -90,6 +93,19 @@ def fit_bins(
     if texts:
         for row in top_categories(train, texts, max_categories).orderBy("feature", "rank").collect():
             top[row["feature"]].append(row["value"])
+    return _bins(features, edges, top)
+
+
+def bins_of(
+    counts: DataFrame, train: DataFrame, features: Sequence[str], n_bins: int = 10, max_categories: int = 25
+) -> list[Bins]:
+    """The same bins from counted values; only the types of the training table are looked at."""
+    edges = histogram.edges(counts, numeric_columns(train, features), n_bins)
+    texts = categorical_columns(train, features)
+    return _bins(features, edges, histogram.top_values(counts, texts, max_categories) if texts else {})
+
+
+def _bins(features, edges, top):
     bins = []
     for f in features:
         if f in top:
@@ -101,21 +117,6 @@ def fit_bins(
     return bins
 
 
-def stack_periods(train: DataFrame, test: DataFrame, columns: Sequence[str], year: str) -> DataFrame:
-    """Training rows with a NULL period above the test rows with their year.
-
-    Test rows without a year belong to no period. The training column decides what is a number;
-    text in a number's place counts as missing.
-    """
-    past = train.select(F.lit(None).cast("int").alias("period"), *columns)
-    numeric = set(numeric_columns(train, columns))
-    later = [F.col(c).try_cast("double").alias(c)
-             if c in numeric and isinstance(test.schema[c].dataType, T.StringType) else c
-             for c in columns]
-    test = test.where(F.col(year).isNotNull())
-    return past.unionByName(test.select(F.col(year).cast("int").alias("period"), *later))
-
-
 def bin_counts(stacked: DataFrame, bins: Sequence[Bins], nunique: str = "exact") -> DataFrame:
     """Rows ``(feature, bin, period, n, n_missing, n_distinct)`` from one scan.
 
@@ -157,6 +158,23 @@ def bin_counts(stacked: DataFrame, bins: Sequence[Bins], nunique: str = "exact")
     )
 
 
+def counted_bins(counts: DataFrame, bins: Sequence[Bins]) -> DataFrame:
+    """The rows of ``bin_counts`` from counted values."""
+    code = F.lit(None).cast("int")
+    for b in bins:
+        value = F.col("text" if b.kind == "categorical" else "number")
+        code = F.when(F.col("feature") == b.feature, b.code(value)).otherwise(code)
+    present = F.col("number").isNotNull() | F.col("text").isNotNull()
+    period = F.when(~histogram.in_period(histogram.TRAIN), F.col("period")).cast("int")
+    return counts.withColumns({"bin": code, "period": period}).where(
+        F.col("feature").isin(*[b.feature for b in bins])
+    ).groupBy("feature", "bin", "period").agg(
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count_if(present).alias("n_distinct"),
+    )
+
+
 def safe_share(n: Column, total: Column, n_bins: Column) -> Column:
     """Share of a bin, at least ``EPS``; equal shares when there are no rows."""
     return F.when(total > 0, F.greatest(n / total, F.lit(EPS))).otherwise(F.lit(1.0) / n_bins)
@@ -208,7 +226,9 @@ def psi_by_feature_year(
 ) -> DataFrame:
     """PSI, missing rates and distinct counts of every feature in every test year.
 
-    Features absent from either table are skipped. ``years`` saves the pass that looks them up.
+    Features absent from either table are skipped. ``years`` saves the pass that looks them up. The
+    table is read once, to count its values; bins, shares and distinct values come from the counts.
+    ``nunique="approx"`` writes no counts: it learns the bins first and shuffles bins only.
     """
     if year not in test.columns:
         raise ValueError(f"the test table has no column '{year}'")
@@ -216,8 +236,24 @@ def psi_by_feature_year(
     if not features:
         raise ValueError("no feature is present in both tables")
     years = years_present(test, year) if years is None else sorted(years)
+    if nunique == "exact":
+        periods = histogram.Periods(train.sparkSession)
+        periods.add(train, test, features, years, year)
+        return psi_from(periods.table(), train, features, years, n_bins, max_categories)
     bins = fit_bins(train, features, n_bins, max_categories)
-    counts = bin_counts(stack_periods(train, test, features, year), bins, nunique)
+    return _psi_of(bin_counts(stack_periods(train, test, features, year), bins, nunique), bins, years)
+
+
+def psi_from(
+    counts: DataFrame, train: DataFrame, features: Sequence[str], years: Sequence[int],
+    n_bins: int = 10, max_categories: int = 25,
+) -> DataFrame:
+    """The same from counted values. Of the training table only the types are looked at."""
+    bins = bins_of(counts, train, features, n_bins, max_categories)
+    return _psi_of(counted_bins(counts, bins), bins, sorted(years))
+
+
+def _psi_of(counts, bins, years):
     kind = F.lit(None).cast("string")
     for b in bins:
         kind = F.when(F.col("feature") == b.feature, F.lit(b.kind)).otherwise(kind)
@@ -271,6 +307,16 @@ def base_rate_by_year(
         .groupBy("period")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.avg(target).alias("rate"))
     )
+    return _shifts(rates)
+
+
+def base_rate_from(counts: DataFrame, target: str = "Default") -> DataFrame:
+    """The same from counted values, of which the label is one feature."""
+    period = F.when(~histogram.in_period(histogram.TRAIN), F.col("period")).cast("int")
+    return _shifts(histogram.rates(counts, target).withColumn("period", period))
+
+
+def _shifts(rates):
     # one row per period from here on
     whole = Window.partitionBy(F.lit(0))
     first = F.min_by("rate", F.col("period")).over(whole)

@@ -55,11 +55,11 @@ def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
     return sorted(set(row[0] or ()))
 
 
-def _sketched(df, columns, by, cells):
+def _sketched(df, columns, by, cells, weight):
     """Per group and column the number of values, and per column where to cut it."""
     probs = [i / cells for i in range(1, cells)]
     sketches = df.groupBy(*by).agg(
-        *[F.count(finite(c)).alias(f"__n{i}") for i, c in enumerate(columns)],
+        *[F.sum(F.when(finite(c).isNotNull(), weight)).alias(f"__n{i}") for i, c in enumerate(columns)],
         *[F.kll_sketch_agg_double(finite(c), F.lit(SKETCH)).alias(f"__s{i}") for i, c in enumerate(columns)],
     )
     rows = sketches.select(
@@ -76,14 +76,14 @@ def _sketched(df, columns, by, cells):
     return total, edges
 
 
-def _long(df, columns, by, edges):
-    """Rows (by, column, cell, value) without missing or infinite values."""
+def _long(df, columns, by, edges, weight):
+    """Rows (by, column, cell, value, weight) without missing or infinite values."""
     parts = []
     for i, column in enumerate(columns):
         df = add_cells(df.withColumn(f"__v{i}", finite(column)), f"__v{i}", edges[column], f"__b{i}")
         parts.append(F.struct(
             F.lit(column).alias("column"), F.col(f"__b{i}").alias("cell"), F.col(f"__v{i}").alias("value")))
-    return df.select(*by, F.inline(F.array(*parts))).where(F.col("value").isNotNull())
+    return df.select(*by, weight.alias("weight"), F.inline(F.array(*parts))).where(F.col("value").isNotNull())
 
 
 def _ranks(n: int, probs: Sequence[float]) -> list[int]:
@@ -100,22 +100,25 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     cells: int = CELLS,
+    weight: str | None = None,
 ) -> dict[tuple, list[float]]:
     """Linearly interpolated quantiles per group and column: ``{(*group, column): [...]}``.
 
     Missing and infinite values are left out; a group without values or name is absent. The result has
-    one list per group, so ``by`` should name models and periods rather than ids.
+    one list per group, so ``by`` should name models and periods rather than ids. A row counts as many
+    times as the whole number in ``weight`` says.
     """
     by, columns = list(by), list(columns)
-    df = df.select(*by, *columns)
+    df = df.select(*by, *columns, *([weight] if weight else []))
+    times = F.col(weight) if weight else F.lit(1).cast("bigint")
     if by:
         df = df.dropna(subset=by)
-    total, edges = _sketched(df, columns, by, cells)
+    total, edges = _sketched(df, columns, by, cells, times)
     if not total:
         return {}
-    rows, group = _long(df, columns, by, edges), [*by, "column"]
+    rows, group = _long(df, columns, by, edges, times), [*by, "column"]
     sizes = defaultdict(list)
-    for row in rows.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+    for row in rows.groupBy(*group, "cell").agg(F.sum("weight").alias("n")).collect():
         sizes[tuple(row[k] for k in group)].append((row["cell"], row["n"]))
     # the cells that hold wanted ranks, and these as ranks inside the cell
     inside = defaultdict(list)
@@ -142,7 +145,7 @@ def _values_at(spark, rows, group, inside):
     schema = rows.select(*key).schema.add("ranks", T.ArrayType(T.LongType()))
     wanted = local_table(spark, [(*k, ranks) for k, ranks in inside.items()], schema)
     counts = rows.join(wanted.select(*key), key, "left_semi").groupBy(*key, "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.sum("weight").alias("n"))
     running = F.sum("n").over(Window.partitionBy(*key).orderBy("value"))
     hit = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
     found = (

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel, Transformer
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import PCAModel, StandardScaler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
@@ -21,9 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.scores import predicted
 from tidemark.operators.prepare import preparation_stages, prepared_columns, slot_names
 from tidemark.roles import FeatureGroups, Roles
-from tidemark.session import stored, shared_folder
+from tidemark.session import shared_folder, stored
 
 
+# The settings that the three families are compared with.
 @dataclass(frozen=True)
 class LogisticConfig:
     max_iter: int = 1000
@@ -73,22 +77,17 @@ class FittedModel:
         )
 
 
-class Projection(Transformer):
-    """Multiplies the feature vector by a fixed small matrix, in batches."""
-
-    def __init__(self, components):
-        super().__init__()
-        self.components = components
-
-    def _transform(self, df):
-        components = self.components
-
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
-            return pd.Series(list(np.stack(rows.to_numpy()) @ components)) if len(rows) else rows
-
-        projected = project(vector_to_array("features"))
-        return df.withColumn("reduced", array_to_vector(projected))
+def projection(directions: np.ndarray, source: str = "features", target: str = "reduced") -> PCAModel:
+    """A saveable JVM stage that multiplies vectors by a fixed matrix (slots x components); sparse
+    vectors stay sparse. The stage of principal components does just that, without centring, whatever
+    matrix it holds."""
+    slots, k = directions.shape
+    context = SparkContext.getOrCreate()
+    matrix = DenseMatrix(slots, k, directions.T.ravel().tolist())
+    model = PCAModel(PCAModel._new_java_obj(
+        "org.apache.spark.ml.feature.PCAModel", f"projection_{uuid.uuid4().hex[:12]}",
+        _py2java(context, matrix), _py2java(context, Vectors.dense([0.0] * k))))
+    return model._set(k=k).setInputCol(source).setOutputCol(target)
 
 
 def _training_rows(train: DataFrame, groups: FeatureGroups, roles: Roles) -> DataFrame:
@@ -181,7 +180,7 @@ def fit_mlp(
     old = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features")
     # the matrix of directions has one row per slot
     directions = RowMatrix(old).computeSVD(k).V.toArray()
-    reduce = Projection(directions)
+    reduce = projection(directions)
     reduced = reduce.transform(vectors)
     scaler = StandardScaler(inputCol="reduced", outputCol="scaled", withMean=True).fit(reduced)
     model = MultilayerPerceptronClassifier(

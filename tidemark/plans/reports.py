@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import calibration, drift, matched, metrics, reliance, thresholds
+from tidemark.operators import calibration, drift, histogram, matched, metrics, reliance, thresholds
 from tidemark.operators.joins import (
     join_drift_summary,
     join_performance_calibration,
@@ -39,12 +39,28 @@ def drift_report(
     max_categories: int = 25,
     top_n: int = 20,
     nunique: str = "exact",
+    counts: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Base rates, PSI per feature and year, most shifted features, summary per year."""
-    base = drift.base_rate_by_year(split.train, split.test, roles.target, split.year)
-    psi = drift.psi_by_feature_year(
-        split.train, split.test, features, split.year, n_bins, max_categories, nunique
-    )
+    """Base rates, PSI per feature and year, most shifted features, summary per year.
+
+    All four come from one table of counted values. ``counts`` names a folder in which it stays: a later
+    report over more years then reads the rows of the new years only. ``nunique="approx"`` keeps no
+    counts and reads the table once for the bins and once for their sizes.
+    """
+    features = [f for f in features if f in split.table.columns]
+    if nunique == "exact":
+        periods = histogram.Periods(split.table.sparkSession, counts)
+        labelled = [*features, roles.target]
+        periods.add(split.train, split.test, labelled, split.test_years, split.year)
+        table = periods.table()
+        psi = drift.psi_from(table, split.train, features, split.test_years, n_bins, max_categories)
+        base = drift.base_rate_from(table, roles.target)
+    else:
+        base = drift.base_rate_by_year(split.train, split.test, roles.target, split.year)
+        psi = drift.psi_by_feature_year(
+            split.train, split.test, features, split.year, n_bins, max_categories, nunique,
+            split.test_years,
+        )
     # the three tables below read the few rows written here
     psi, base = stored(psi), stored(base)
     return _save(
