@@ -240,30 +240,27 @@ def _foreign():
     return ForeignModel("foreign", Linear(), {"o_totalprice": "double", "c_acctbal": "double"})
 
 
-define(foreign="""
+define(foreign_scores="""
     SELECT id, year, target, 1.0e0 / (1.0e0 + exp(0.25e0 - 0.00001e0 * (o_totalprice - 150000.0e0)
            + 0.0002e0 * (coalesce(c_acctbal, 4500.0e0) - 4500.0e0))) AS y_prob
     FROM (SELECT id, year, target, o_totalprice, CASE WHEN id % 7 <> 0 THEN c_acctbal END AS c_acctbal
           FROM loans_keyed) x""")
 
 
-@query("score_foreign", "SELECT id, year, target, round(y_prob, 6) AS y_prob FROM foreign")
+@query("score_foreign", "SELECT id, year, target, round(y_prob, 6) AS y_prob FROM foreign_scores")
 def score_foreign(spark, folder):
     """A model that no operator here fitted, on every row."""
-    rows = gappy(spark, folder).join(
-        t.loans_keyed(spark, folder).select("id", "target"), "id")
-    return _foreign().score(rows).select("id", "year", "target", "y_prob")
+    return _foreign().score(gappy(spark, folder)).select("id", "year", "target", "y_prob")
 
 
 @query("score_long_foreign", """SELECT model, year, count(*) AS n_rows, CAST(sum(y_true) AS BIGINT) AS positives,
     round(avg(y_prob), 6) AS mean_pred FROM (
-        SELECT 'foreign' AS model, year, target AS y_true, y_prob FROM foreign
-        UNION ALL SELECT 'again', year, target, y_prob FROM foreign) x GROUP BY model, year""")
+        SELECT 'foreign' AS model, year, target AS y_true, y_prob FROM foreign_scores
+        UNION ALL SELECT 'again', year, target, y_prob FROM foreign_scores) x GROUP BY model, year""")
 def score_long_foreign(spark, folder):
     """Foreign models stand wherever fitted ones can."""
-    rows = gappy(spark, folder).join(t.loans_keyed(spark, folder).select("id", "target"), "id")
     models = [_foreign(), replace(_foreign(), name="again")]
-    pred = scoring.score_long(rows, models, ["year"], "target")
+    pred = scoring.score_long(gappy(spark, folder), models, ["year"], "target")
     return pred.groupBy("model", "year").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").alias("positives"),
         F.avg("y_prob").alias("mean_pred"))

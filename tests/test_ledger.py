@@ -117,14 +117,11 @@ def test_report_over_more_years_adds_to_its_counts(spark, tmp_path):
     drift_report(fewer, t.FEATURES, t.LOANS, counts=counts)
     grown = drift_report(whole, t.FEATURES, t.LOANS, counts=counts)
     fresh = drift_report(whole, t.FEATURES, t.LOANS)
-    rough = drift_report(whole, t.FEATURES, t.LOANS, nunique="approx")
     for name, table in grown.items():
         # sums differ in their last digits with the order of their terms
         for found, expected in zip(table.orderBy(*table.columns[:2]).collect(), fresh[name].orderBy(*table.columns[:2]).collect()):
             assert tuple(found) == pytest.approx(tuple(expected), abs=1e-12)
         assert table.count() == fresh[name].count()
-        if name != "psi_by_feature_year":
-            assert table.count() == rough[name].count()
     about = [m["about"]["periods"] for m in Ledger(spark, counts, histogram.COUNTS).manifests().values()]
     assert sorted(about) == [["2001"], ["train", "1999", "2000"]]
 

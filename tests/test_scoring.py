@@ -2,7 +2,6 @@
 
 import json
 import logging
-import math
 
 import numpy as np
 import pytest
@@ -340,32 +339,37 @@ def test_projection_multiplies_by_the_matrix(spark):
         assert r["reduced"].toArray().tolist() == (r["features"].toArray() @ matrix).tolist()
 
 
-class Halves:
-    def __init__(self, shape=None, blob=b""):
-        self.shape, self.blob = shape, blob
+def halves(**options):
+    """A model whose class travels with it."""
 
-    def predict_proba(self, rows):
-        p = rows["b"].map(len).to_numpy() / 10 + rows["a"].to_numpy() * 0
-        return np.zeros(self.shape) if self.shape else np.column_stack([1 - p, p])
+    class Halves:
+        def __init__(self, shape=None, blob=b""):
+            self.shape, self.blob = shape, blob
+
+        def predict_proba(self, rows):
+            p = rows["b"].map(len).to_numpy() / 10 + rows["a"].to_numpy() * 0
+            return np.zeros(self.shape) if self.shape else np.column_stack([1 - p, p])
+
+    return Halves(**options)
 
 
 def test_any_object_with_probabilities_can_score(spark):
     df = local_table(spark, [(1, "xx", 0), (2, "xyz", 1), (None, "q", 1)], "a int, b string, `y true` int")
-    model = ForeignModel("f", Halves(), {"a": "double", "b": "string"})
+    model = ForeignModel("f", halves(), {"a": "double", "b": "string"})
     found = model.score(df.repartition(2))
     assert found.columns == ["a", "b", "y true", "y_prob"]
     assert {(r["a"], r["y_prob"]) for r in found.where("a IS NOT NULL").collect()} == {(1, 0.2), (2, 0.3)}
-    # a number the model cannot use stays its own affair: NaN in, NaN out
-    assert math.isnan(found.where("a IS NULL").first()["y_prob"])
+    # a number the model cannot use stays its own affair: NaN in, no score out
+    assert found.where("a IS NULL").first()["y_prob"] is None
     assert model.score(df.where("false")).count() == 0
-    pred = scoring.score_long(df, [model, ForeignModel("g", Halves(), model.inputs)], ["b"], "y true")
+    pred = scoring.score_long(df, [model, ForeignModel("g", halves(), model.inputs)], ["b"], "y true")
     assert pred.count() == 6
     with pytest.raises(ValueError, match="lacks columns"):
         model.score(df.drop("a"))
     with pytest.raises(ValueError, match="to be broadcast"):
-        ForeignModel("f", Halves(blob=bytes(5000)), model.inputs, most_bytes=4000).score(df)
+        ForeignModel("f", halves(blob=bytes(5000)), model.inputs, most_bytes=4000).score(df)
     with pytest.raises(PySparkException, match="two classes"):
-        ForeignModel("f", Halves(shape=(1, 3)), model.inputs).score(df.coalesce(1)).collect()
+        ForeignModel("f", halves(shape=(1, 3)), model.inputs).score(df.coalesce(1)).collect()
 
 
 def test_balanced_weights_raise_scores(parts, logistic):

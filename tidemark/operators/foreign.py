@@ -19,7 +19,7 @@ class ForeignModel:
 
     ``inputs`` names the columns that the model takes, in order, with their types; columns are cast to
     these, so that the model sees the same types whatever the table. Missing numbers are NaN, missing
-    texts None, for the model to handle. The model is broadcast once if its pickled size allows it, and
+    texts None, for the model to handle; a score of NaN is NULL. The model is broadcast once if its pickled size allows it, and
     a batch is all that is held besides it.
     """
 
