@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import tables as t
 from bindings.registry import PROBS_10, define, quantile_sql, query
 from tidemark.operators import drift, histogram
+from tidemark.operators.tables import stack
 from tidemark.plans import reports
 from tidemark.session import scratch_path
 
@@ -163,19 +164,34 @@ def psi_proportions(spark, folder):
 
 
 @query("psi", """SELECT feature, CAST(year AS INTEGER) AS year, round(psi, 6) AS psi
-    FROM psi_raw WHERE psi IS NOT NULL""")
+    FROM (SELECT feature, year, sum((actual - expected) * ln(actual / expected)) AS psi
+          FROM bin_share GROUP BY feature, year) x""")
 def psi(spark, folder):
-    bins, counts = _counts(spark, folder, [c for c in t.FEATURES if c != "is_later_line"])
+    """Of every feature; one with a single bin has none to speak of, 0."""
+    bins, counts = _counts(spark, folder, t.FEATURES)
     term = drift.psi_term(F.col("expected"), F.col("actual"))
     shares = drift.bin_shares(counts, t.TEST_YEARS)
     return shares.groupBy("feature", "year").agg(F.sum(term).alias("psi"))
 
 
-@query("feature_psi", """SELECT feature, 'categorical' AS feature_type, round(psi, 6) AS psi
-    FROM psi_raw WHERE feature = 'brand_n' AND year = 2001""")
+@query("feature_psi", """
+    WITH share AS (
+        SELECT feature, bin,
+               greatest(coalesce(sum(n) FILTER (WHERE period = 0), 0) / sum(sum(n) FILTER (WHERE period = 0))
+                   OVER (PARTITION BY feature), 1e-6) AS expected,
+               greatest(coalesce(sum(n) FILTER (WHERE period > 0), 0) / sum(sum(n) FILTER (WHERE period > 0))
+                   OVER (PARTITION BY feature), 1e-6) AS actual
+        FROM bin_n GROUP BY feature, bin)
+    SELECT feature, CASE WHEN feature = 'is_later_line' THEN 'numeric_constant'
+               WHEN feature IN ('p_type', 'brand_n') THEN 'categorical' ELSE 'numeric' END AS feature_type,
+           round(CASE WHEN feature <> 'is_later_line'
+                 THEN sum((actual - expected) * ln(actual / expected)) END, 6) AS psi
+    FROM share GROUP BY feature
+    UNION ALL SELECT 'absent', 'missing', NULL""")
 def feature_psi(spark, folder):
+    """Each feature, all test rows as one sample; and one that no table has."""
     parts = t.wide_split(spark, folder)
-    return drift.feature_psi(parts.train, parts.test.where(F.col("year") == 2001), "brand_n")
+    return stack([drift.feature_psi(parts.train, parts.test, f) for f in (*t.FEATURES, "absent")])
 
 
 PSI_SQL = """
@@ -274,9 +290,28 @@ def psi_matrix(spark, folder):
     return drift.psi_matrix(_psi(spark, folder), t.TEST_YEARS)
 
 
+def _report(spark, folder, fmt="parquet"):
+    return reports.drift_report(
+        t.wide_split(spark, folder), t.FEATURES, t.LOANS, scratch_path(spark, "drift"), fmt=fmt
+    )
+
+
 @query("drift_report", "SELECT * FROM drift_summary_out")
 def drift_report(spark, folder):
-    tables = reports.drift_report(
-        t.wide_split(spark, folder), t.FEATURES, t.LOANS, scratch_path(spark, "drift")
-    )
-    return tables["drift_summary_by_year"]
+    return _report(spark, folder)["drift_summary_by_year"]
+
+
+@query("drift_report_base_rates", "SELECT * FROM base_rate_out")
+def drift_report_base_rates(spark, folder):
+    return _report(spark, folder, "csv")["base_rate_by_year"]
+
+
+@query("drift_report_psi", PSI_SQL)
+def drift_report_psi(spark, folder):
+    return _report(spark, folder, "csv")["psi_by_feature_year"]
+
+
+@query("drift_report_top_features", """SELECT feature, feature_type, round(max_psi, 6) AS max_psi,
+    round(mean_psi, 6) AS mean_psi FROM top_drift""")
+def drift_report_top_features(spark, folder):
+    return _report(spark, folder, "csv")["psi_top_features"]

@@ -96,16 +96,31 @@ def one_hot(spark, folder):
     return prepare.one_hot(df, prepare.categories(prepare.level_counts(known, ["c_mktsegment"])), ["id"])
 
 
-@query("tabular_preprocessor", """SELECT id, CAST(32 AS INTEGER) AS n_slots,
-    round(o_totalprice + c_acctbal + 2, 6) AS total FROM scaled""")
+@query("tabular_preprocessor", """
+    WITH levels AS (
+        SELECT part, value, 1 + row_number() OVER (ORDER BY part, value) AS slot FROM (
+            SELECT DISTINCT 1 AS part, n_name AS value FROM gappy WHERE year <= 1997 AND n_name IS NOT NULL
+            UNION ALL SELECT DISTINCT 2, c_mktsegment FROM gappy
+            WHERE year <= 1997 AND c_mktsegment IS NOT NULL) x)
+    SELECT s.id, CAST((SELECT count(*) + 2 FROM levels) AS INTEGER) AS n_slots,
+           round(s.o_totalprice, 6) AS o_totalprice, round(s.c_acctbal, 6) AS c_acctbal,
+           concat_ws(',', a.slot, b.slot) AS slots_of_one
+    FROM scaled s JOIN filled f ON f.id = s.id
+    LEFT JOIN levels a ON a.part = 1 AND a.value = f.n_name
+    LEFT JOIN levels b ON b.part = 2 AND b.value = f.c_mktsegment""")
 def tabular_preprocessor(spark, folder):
+    """All slots: two numbers, and the places that hold a one; the others hold nothing."""
     df = gappy(spark, folder)
     numeric, texts = ["o_totalprice", "c_acctbal"], ["n_name", "c_mktsegment"]
     prepared = prepare.preparation_stages(past(df), numeric, texts).transform(df)
     slots = vector_to_array("features")
+    hot = F.filter(
+        F.transform(slots, lambda x, i: F.when((i >= 2) & (x != 0), F.concat(
+            i.cast("string"), F.when(x != 1, F.concat(F.lit("="), x.cast("string"))).otherwise("")))),
+        lambda s: s.isNotNull())
     return prepared.select(
-        "id", F.size(slots).alias("n_slots"),
-        F.aggregate(slots, F.lit(0.0), lambda total, x: total + x).alias("total"),
+        "id", F.size(slots).alias("n_slots"), slots[0].alias("o_totalprice"),
+        slots[1].alias("c_acctbal"), F.array_join(hot, ",").alias("slots_of_one"),
     )
 
 

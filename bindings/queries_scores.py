@@ -174,10 +174,9 @@ def validate_scores(spark, folder):
     return checked.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("eval_predictions_by_year", f"SELECT {METRIC_COLUMNS} FROM metrics_500 WHERE model = 'a'")
+@query("eval_predictions_by_year", f"SELECT {METRIC_COLUMNS} FROM metrics_500")
 def eval_predictions_by_year(spark, folder):
-    one = t.pred(spark, folder).where(F.col("model") == "a")
-    return matched.evaluate_predictions(one, coarse=False)[0]
+    return matched.evaluate_predictions(t.pred(spark, folder), coarse=False)[0]
 
 
 @query("eval_predictions_by_model_year", f"SELECT {METRIC_COLUMNS} FROM metrics_99")
@@ -262,11 +261,17 @@ CALIBRATION = """n_rows, round(rate, 6) AS default_rate, round(mean_pred, 6) AS
     round(abs(mean_pred - rate), 6) AS abs_mean_prob_minus_default_rate"""
 
 
-@query("calibration_frame",
-       f"SELECT {CALIBRATION} FROM metrics_half WHERE model = 'a' AND year = 1999")
+@query("calibration_frame", f"""
+    WITH scored AS (SELECT *, len(list_filter({EDGES}[2:10], lambda e: e <= y_prob)) AS bin FROM pred),
+    bins AS (SELECT bin, count(*) AS n, abs(avg(y_prob) - avg(y_true)) AS gap FROM scored GROUP BY bin)
+    SELECT count(*) AS n_rows, round(avg(y_true), 6) AS default_rate, round(avg(y_prob), 6) AS mean_pred,
+           round(avg((y_prob - y_true) * (y_prob - y_true)), 6) AS brier_score,
+           round((SELECT sum(gap * n) / sum(n) FROM bins), 6) AS ece,
+           round(abs(avg(y_prob) - avg(y_true)), 6) AS abs_mean_prob_minus_default_rate
+    FROM scored""")
 def calibration_frame(spark, folder):
-    one = t.pred_test(spark, folder).where((F.col("model") == "a") & (F.col("year") == 1999))
-    return calibration.calibration_by(one, [])[0]
+    """All scores as one frame."""
+    return calibration.calibration_by(t.pred(spark, folder), [])[0]
 
 
 @query("calibration_by_year",
@@ -318,10 +323,9 @@ def project_summary(spark, folder):
 
 
 @query("year_summary", """SELECT year, n_rows, round(default_rate, 6) AS default_rate,
-    round(auc, 6) AS auc, round(f1, 6) AS f1 FROM both_tables WHERE model = 'b'""")
+    round(auc, 6) AS auc, round(f1, 6) AS f1 FROM both_tables""")
 def year_summary(spark, folder):
-    table = _tuned(spark, folder)["temporal_metrics"]
-    return metrics.year_summary(table.where(F.col("model") == "b"))
+    return metrics.year_summary(_tuned(spark, folder)["temporal_metrics"])
 
 
 @query("change_from_first", f"""SELECT {BOTH_COLUMNS},

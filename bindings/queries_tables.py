@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from bindings import tables as t
 from bindings.registry import define, query
-from tidemark.operators import clean, dedup, drift, features, joins, metrics, split, tables
+from tidemark.operators import (
+    clean, dedup, drift, features, histogram, joins, metrics, split, tables,
+)
 from tidemark.operators.thresholds import best_thresholds, fixed_grid, threshold_sweep
 from tidemark.roles import Roles
 from tidemark.session import scratch_path
@@ -108,17 +110,39 @@ def sink_jsonl(spark, folder):
 
 @query("scan_predictions", """
     SELECT id, model, round(y_prob, 6) AS y_prob, CASE WHEN split = 'test' THEN y_true END AS y_true,
+           CASE WHEN split = 'test' AND id % 3 = 0 THEN 'timeout, again' END AS llm_error,
            CAST(CASE WHEN split = 'test' THEN 1 ELSE 0 END AS INTEGER) AS file_order
     FROM pred WHERE split <> 'train'""")
 def scan_predictions(spark, folder):
+    """Two files: one lacks a column, and has no error where the other has some."""
     val, test = t.pred_val(spark, folder), t.pred_test(spark, folder)
     paths = [scratch_path(spark, "scored") + ".csv" for _ in range(2)]
-    sink.write_metrics(val.select("id", "model", "y_prob"), paths[0])
-    sink.write_metrics(test.select("id", "model", "y_prob", "y_true"), paths[1])
+    none, some = F.lit(None).cast("string"), F.when(F.col("id") % 3 == 0, "timeout, again")
+    sink.write_metrics(val.select("id", "model", "y_prob", none.alias("llm_error")), paths[0])
+    sink.write_metrics(test.select("id", "model", "y_prob", "y_true", some.alias("llm_error")), paths[1])
     rows = scan.load_predictions(spark, paths)
     return rows.withColumn("y_true", F.col("y_true").cast("int"))
 
 
+@query("period_layout", """SELECT year, count(*) AS n_rows, round(avg(target), 6) AS default_rate,
+    min(id) AS first_id FROM loans_keyed WHERE year >= 1999 GROUP BY year""")
+def period_layout(spark, folder):
+    """Test years of a table written by year and sorted by id."""
+    path = scratch_path(spark, "by-year") + ".parquet"
+    sink.write_by_period(t.loans_keyed(spark, folder), path, "year", ["id"])
+    parts = split.temporal_split(scan.load_table(spark, path), 1997, [1998], roles=t.LOANS)
+    return parts.test.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("target").alias("default_rate"),
+        F.min("id").alias("first_id"))
+
+
+@query("rows_in_order", """SELECT id, year, CAST(row_number() OVER (ORDER BY year, id) AS INTEGER) AS position
+    FROM loans_keyed""")
+def rows_in_order(spark, folder):
+    """Positions in the order of two columns, over the whole table."""
+    return tables.in_order(t.loans_keyed(spark, folder).select("id", "year"), ["year", "id"])
+
+
 # --- projections and filters
 
 
@@ -230,10 +254,13 @@ def summarize_feature_groups(spark, folder):
     return features.summarize_feature_groups(df, features.feature_groups(df, t.LOANS))
 
 
-@query("split_xy", """SELECT round(o_totalprice, 6) AS o_totalprice, n_name FROM loans_keyed""")
+@query("split_xy", """SELECT 'x' AS part, round(o_totalprice, 6) AS o_totalprice, n_name, NULL AS target
+    FROM loans_keyed UNION ALL SELECT 'y', NULL, NULL, target FROM loans_keyed""")
 def split_xy(spark, folder):
-    x, _ = split.split_xy(t.loans_keyed(spark, folder), ["o_totalprice", "n_name"], t.LOANS)
-    return x
+    """Both halves."""
+    x, y = split.split_xy(t.loans_keyed(spark, folder), ["o_totalprice", "n_name"], t.LOANS)
+    return x.withColumn("part", F.lit("x")).unionByName(
+        y.withColumn("part", F.lit("y")), allowMissingColumns=True)
 
 
 @query("temporal_split", """SELECT id, CASE WHEN year <= 1997 THEN 'train' WHEN year = 1998 THEN 'val'
@@ -380,36 +407,31 @@ def sample_balance(spark, folder):
     return split.sample_balance(t.pred(spark, folder), "y_true")
 
 
+ALL_VALUES = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CASE WHEN year > 1998 THEN year END AS period, CAST({c} AS VARCHAR) AS value "
+    "FROM loans_wide WHERE year <> 1998" for c in t.FEATURES)
+
+
 @query("missing_rate", """
     SELECT feature, period, round(avg(CASE WHEN value IS NULL THEN 1.0e0 ELSE 0.0e0 END), 6) AS
            missing_rate
-    FROM (SELECT 'discount_n' AS feature, CASE WHEN year > 1998 THEN year END AS period,
-                 CAST(discount_n AS VARCHAR) AS value FROM loans_wide WHERE year <> 1998
-          UNION ALL SELECT 'brand_n', CASE WHEN year > 1998 THEN year END, brand_n
-          FROM loans_wide WHERE year <> 1998) x GROUP BY feature, period""")
+    FROM (""" + ALL_VALUES + """) x GROUP BY feature, period""")
 def missing_rate(spark, folder):
-    return _profile(spark, folder, ["discount_n", "brand_n"]).select(
-        "feature", "period", (F.col("n_missing") / F.col("n")).alias("missing_rate")
-    )
+    return _profile(spark, folder).select("feature", "period", "missing_rate")
 
 
 @query("nunique", """
     SELECT feature, period, count(DISTINCT value) AS n_distinct
-    FROM (SELECT 'l_extendedprice' AS feature, CASE WHEN year > 1998 THEN year END AS period,
-                 CAST(l_extendedprice AS VARCHAR) AS value FROM loans_wide WHERE year <> 1998
-          UNION ALL SELECT 'brand_n', CASE WHEN year > 1998 THEN year END, brand_n
-          FROM loans_wide WHERE year <> 1998) x GROUP BY feature, period""")
+    FROM (""" + ALL_VALUES + """) x GROUP BY feature, period""")
 def nunique(spark, folder):
-    return _profile(spark, folder, ["l_extendedprice", "brand_n"]).select(
-        "feature", "period", "n_distinct"
-    )
+    return _profile(spark, folder).select("feature", "period", "n_distinct")
 
 
-def _profile(spark, folder, columns):
+def _profile(spark, folder):
     parts = t.wide_split(spark, folder)
-    stacked = drift.stack_periods(parts.train, parts.test, columns, "year")
-    whole = [drift.Bins(c, "numeric_constant") for c in columns]
-    return drift.bin_counts(stacked, whole)
+    counts = histogram.Periods(spark)
+    counts.add(parts.train, parts.test, t.FEATURES, t.TEST_YEARS)
+    return histogram.profile(counts.table()).withColumn("period", F.col("period").try_cast("int"))
 
 
 @query("top_categories", """

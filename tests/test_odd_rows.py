@@ -75,4 +75,4 @@ def test_stacking_ordering_and_classes(spark):
     with pytest.raises(ValueError, match="columns"):
         tables.stack([a, b.drop("year")])
     assert rows_of(tables.in_order(a, ["year"])) == [("a", 2, 2), ("b", 1, 1)]
-    assert rows_of(tables.classes(a, "year", "model")) == [("a", 1, True), ("b", 1, True)]
+    assert rows_of(tables.classes(a, "year", "model")) == [("a", True), ("b", True)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidemark.functions import text
 from tidemark.functions.checks import refuse
 from tidemark.roles import Roles
-from tidemark.sources.scan import load_table, validate_schema
+from tidemark.sources.scan import load_table
 
 # Date spellings tried in turn, and the status texts that stand for a label.
 TIME_FORMATS = (
@@ -110,7 +110,7 @@ def clean_table(
 
 
 def load_clean(spark: SparkSession, path: str, roles: Roles = Roles(), **scan) -> DataFrame:
-    return clean_table(validate_schema(load_table(spark, path, **scan), roles), roles)
+    return clean_table(load_table(spark, path, required=(roles.time, roles.target), **scan), roles)
 
 
 def summarize_dataset(df: DataFrame, roles: Roles = Roles()) -> DataFrame:

@@ -63,22 +63,25 @@ def melt(df: DataFrame, columns: Sequence[str], keys: Sequence = (), cast: str =
 def drop_high_cardinality(df: DataFrame, columns: Sequence[str], limit: int = 50) -> list[str]:
     """Keep numeric columns, and others with at most ``limit`` distinct values.
 
-    A sketch first sets aside the columns far above the limit, so that the exact count
-    shuffles short value lists only.
+    Values are first counted as hashes in a fixed number of buckets. More than ``limit`` buckets in use
+    are proof of more than ``limit`` values; only the other columns, whose values are few but for
+    collisions, are counted exactly. Neither step shuffles a column's whole value list.
     """
     others = categorical_columns(df, columns)
     if not others:
         return list(columns)
-    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first().asDict()
-    near = [c for c in others if rough[c] <= 10 * limit + 100]
-    exact = {}
-    if near:
-        counts = melt(df, near).groupBy("feature").agg(F.countDistinct("value").alias("n"))
-        exact = {r["feature"]: r["n"] for r in counts.collect()}
-    kept = {c for c in near if exact.get(c, 0) <= limit}
+    bucket = F.pmod(F.xxhash64("value"), F.lit(max(4096, 64 * limit)))
+    near = _at_most(melt(df, others).where(F.col("value").isNotNull()).select("feature", bucket.alias("value")), others, limit)
+    kept = set(_at_most(melt(df, near).where(F.col("value").isNotNull()), near, limit)) if near else set()
     return [c for c in columns if c in kept or c not in others]
 
 
+def _at_most(values: DataFrame, names: Sequence[str], limit: int) -> list[str]:
+    counts = values.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["feature"]: r["n"] for r in counts.collect()}
+    return [c for c in names if found.get(c, 0) <= limit]
+
+
 def feature_groups(
     df: DataFrame,
     roles: Roles = Roles(),

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.metrics import completed, metric_table
+from tidemark.operators.tables import classes
 from tidemark.operators.thresholds import (
     best_thresholds,
     fixed_grid,
     threshold_grid,
     threshold_sweep,
 )
+from tidemark.session import stored
 
 
 def to_prediction_frame(
@@ -44,7 +46,8 @@ def evaluate_predictions(
     ``coarse`` tunes on the 99-point grid, otherwise on even points and score quantiles.
     Returns the metrics and the sweep.
     """
-    pred = completed(pred)
+    # all passes below read these narrow columns
+    pred = stored(completed(pred.select("split", "model", year, "y_true", "y_prob")), "scored")
     val = pred.where(F.col("split") == "validation")
     test = pred.where(F.col("split") == "test")
     grids = fixed_grid(val) if coarse else threshold_grid(val)
@@ -52,6 +55,7 @@ def evaluate_predictions(
     untuned = sorted(models - {key[0] for key in grids})
     if untuned or not models:
         raise ValueError(f"no validation rows for models {untuned}")
+    classes(val, "y_true", "model", warn=True)
     sweep = threshold_sweep(val, grids)
     tuned = {r["model"]: r["threshold"] for r in best_thresholds(sweep).collect()}
     return metric_table(test, ["model", year], tuned, n_bins), sweep

@@ -6,7 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import calibration, drift, histogram, matched, metrics, reliance, thresholds
+from tidemark.operators import (
+    calibration, drift, histogram, matched, metrics, reliance, tables, thresholds,
+)
 from tidemark.operators.joins import (
     join_drift_summary,
     join_performance_calibration,
@@ -19,14 +21,26 @@ from tidemark.session import stored
 from tidemark.sources.sink import write_metrics
 
 
-def _save(tables: dict[str, DataFrame], folder: str | None) -> dict[str, DataFrame]:
-    """Write every table once and hand back what was written."""
+# Result tables are sorted by those of these columns that they have.
+ORDER = ("model", "year", "feature", "base_feature", "threshold", "bin_id", "top_k", "llm_row_id")
+
+
+def _save(
+    results: dict[str, DataFrame], folder: str | None, fmt: str = "parquet", keep: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Write every table once, sorted, and hand back what was written. Tables named in ``keep`` come in
+    an order of their own."""
     if folder is None:
-        return tables
+        return results
     saved = {}
-    for name, table in tables.items():
-        path = write_metrics(table, f"{folder.rstrip('/')}/{name}", fmt="parquet")
-        saved[name] = table.sparkSession.read.parquet(path)
+    for name, table in results.items():
+        keys = [c for c in ORDER if c in table.columns]
+        if keys and name not in keep:
+            table = table.orderBy(*keys)
+        path = write_metrics(table, f"{folder.rstrip('/')}/{name}", fmt=fmt)
+        reader = table.sparkSession.read.schema(table.schema)
+        saved[name] = (reader.parquet(path) if fmt == "parquet"
+                       else reader.options(header=True, quote='"', escape='"').csv(path))
     return saved
 
 
@@ -40,6 +54,7 @@ def drift_report(
     top_n: int = 20,
     nunique: str = "exact",
     counts: str | None = None,
+    fmt: str = "parquet",
 ) -> dict[str, DataFrame]:
     """Base rates, PSI per feature and year, most shifted features, summary per year.
 
@@ -52,9 +67,9 @@ def drift_report(
         periods = histogram.Periods(split.table.sparkSession, counts)
         labelled = [*features, roles.target]
         periods.add(split.train, split.test, labelled, split.test_years, split.year)
-        table = periods.table()
-        psi = drift.psi_from(table, split.train, features, split.test_years, n_bins, max_categories)
-        base = drift.base_rate_from(table, roles.target)
+        counted = periods.table()
+        psi = drift.psi_from(counted, split.train, features, split.test_years, n_bins, max_categories)
+        base = drift.base_rate_from(counted, roles.target)
     else:
         base = drift.base_rate_by_year(split.train, split.test, roles.target, split.year)
         psi = drift.psi_by_feature_year(
@@ -70,12 +85,13 @@ def drift_report(
             "psi_top_features": drift.top_drift_features(psi, top_n),
             "drift_summary_by_year": drift.drift_summary_by_year(psi, base),
         },
-        folder,
+        folder, fmt, keep=["psi_top_features"],
     )
 
 
 def reliance_report(
-    logistic: FittedModel, trees: FittedModel, df: DataFrame, folder: str | None = None
+    logistic: FittedModel, trees: FittedModel, df: DataFrame, folder: str | None = None,
+    fmt: str = "parquet",
 ) -> dict[str, DataFrame]:
     """Slot weights and source-column importances of two models, and their overlap."""
     slots_a = reliance.logistic_weights(df, logistic)
@@ -90,7 +106,7 @@ def reliance_report(
             "trees_feature_importance": base_b.orderBy(F.desc("importance_abs"), "base_feature"),
             "feature_importance_overlap": reliance.topk_overlap(base_a, base_b),
         },
-        folder,
+        folder, fmt, keep=["logreg_feature_importance", "trees_feature_importance"],
     )
 
 
@@ -101,9 +117,12 @@ def tuned_results(
 
     ``pred`` is long (model, split, year, y_true, y_prob) with splits ``val`` and ``test``.
     """
+    # all passes below read these narrow columns
+    pred = stored(pred.select("split", "model", year, "y_true", "y_prob"), "scored")
     val = pred.where(F.col("split") == "val")
     test = metrics.validate_scores(pred.where(F.col("split") == "test"))
     by = ["model", year]
+    tables.classes(val, "y_true", "model", warn=True)
     sweep = stored(thresholds.threshold_sweep(val, thresholds.threshold_grid(val)))
     best = thresholds.best_thresholds(sweep)
     tuned = {r["model"]: r["threshold"] for r in best.collect()}
@@ -131,27 +150,32 @@ def run_tuned_models(
     fits: dict[str, Callable[..., FittedModel]],
     roles: Roles = Roles(),
     folder: str | None = None,
+    fmt: str = "parquet",
 ) -> tuple[list[FittedModel], dict[str, DataFrame]]:
     """Fit each model, score validation and test rows once, tune, evaluate, write the tables."""
     if not split.disjoint():
         raise ValueError("validation and test years must not overlap")
     models = [fit(split.train, groups, roles=roles, name=name) for name, fit in fits.items()]
     rows = split.tagged().where(F.col("split").isin("val", "test"))
-    pred = stored(score_long(rows, models, ["split", split.year], roles.target))
-    return models, _save(tuned_results(pred, split.val_years[0], year=split.year), folder)
+    pred = score_long(rows, models, ["split", split.year], roles.target)
+    return models, _save(tuned_results(pred, split.val_years[0], year=split.year), folder, fmt)
 
 
 def final_summary(
-    performance: DataFrame, calibrated: DataFrame, drift_summary: DataFrame
+    performance: DataFrame, calibrated: DataFrame, drift_summary: DataFrame, folder: str | None = None,
+    fmt: str = "parquet",
 ) -> dict[str, DataFrame]:
     """Performance with calibration, with drift, and as change since the first test year."""
     both = stored(join_performance_calibration(performance, calibrated))
-    return {
-        "performance_calibration": both,
-        "summary_table": metrics.summary_columns(both),
-        "final_summary": join_drift_summary(both, drift_summary),
-        "drift_comparison": metrics.change_from_first(both),
-    }
+    return _save(
+        {
+            "performance_calibration": both,
+            "summary_table": metrics.summary_columns(both),
+            "final_summary": join_drift_summary(both, drift_summary),
+            "drift_comparison": metrics.change_from_first(both),
+        },
+        folder, fmt,
+    )
 
 
 def matched_comparison(
@@ -176,7 +200,7 @@ def matched_comparison(
     external = external.withColumn(roles.id, F.col(roles.id).cast("string"))
     pred = external
     if models:
-        pred = score_long(rows, models, keep, roles.target).unionByName(external)
+        pred = tables.stack([score_long(rows, models, keep, roles.target), external])
     pred = stored(pred)
     table, sweep = matched.evaluate_predictions(pred, coarse=True, year=year)
     table = stored(table)

@@ -28,9 +28,10 @@ def tokens_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)) for c in texts})
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Type text columns by one pass over the data: long, double, boolean, or still text."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    texts = [c for c in texts if columns is None or c in columns]
     if not texts:
         return df
     checks = []
@@ -59,19 +60,44 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Text columns taken by name and cast; a column that the file lacks is NULL."""
+    """Text columns taken by name and cast; a column that the file lacks is NULL. Reading a text that
+    does not fit its type fails."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return df.select(*(
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns
-         else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema
-    ))
+    columns = []
+    for field in schema:
+        if field.name not in df.columns:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        text = F.col(f"`{field.name}`")
+        value = text.try_cast(field.dataType)
+        message = F.concat(F.lit(f"column '{field.name}' holds no {field.dataType.simpleString()}: "), text)
+        unfit = F.raise_error(message).cast(field.dataType)
+        columns.append(F.when(text.isNotNull() & value.isNull(), unfit).otherwise(value).alias(field.name))
+    return df.select(*columns)
+
+
+def _read_texts(spark, path, multi_line):
+    """A delimited file with every column as text."""
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    return tokens_to_null(reader.csv(path))
 
 
-def _read_delimited(spark, paths, schema, multi_line):
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
-    found = tokens_to_null(reader.csv(paths))
-    return infer_types(found) if schema is None else typed(found, schema)
+def _format(path: str) -> str:
+    suffix = str(path).rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix not in ("parquet", "csv", "txt"):
+        raise ValueError(f"cannot read '.{suffix}' tables; use parquet, csv or txt")
+    return "parquet" if suffix == "parquet" else "text"
+
+
+def _raw(spark, path, multi_line):
+    try:
+        if _format(path) == "parquet":
+            return spark.read.parquet(str(path))
+        return _read_texts(spark, str(path), multi_line)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(f"no table at {path}") from error
+        raise
 
 
 def load_table(
@@ -79,24 +105,22 @@ def load_table(
     path: str,
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """Read one table, choosing the format by the suffix.
 
     Quoted fields may hold line breaks, so delimited files are read whole, one file per task.
     Give ``multi_line=False`` for files without such fields: they are then split into blocks.
-    A schema saves the pass that finds out the types.
+    A schema saves the pass that finds out the types. Columns that are ``required`` must be in the file
+    itself, whatever the schema.
     """
-    suffix = str(path).rstrip("/").rsplit(".", 1)[-1].lower()
-    try:
-        if suffix == "parquet":
-            return nan_to_null(spark.read.parquet(str(path)))
-        if suffix in ("csv", "txt"):
-            return nan_to_null(_read_delimited(spark, [str(path)], schema, multi_line))
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"no table at {path}") from error
-        raise
-    raise ValueError(f"cannot read '.{suffix}' tables; use parquet, csv or txt")
+    found = _raw(spark, path, multi_line)
+    missing = [c for c in required if c not in found.columns]
+    if missing:
+        raise ValueError(f"the table lacks required columns: {missing}")
+    if _format(path) == "text":
+        found = infer_types(found) if schema is None else typed(found, schema)
+    return nan_to_null(found)
 
 
 def load_predictions(
@@ -107,15 +131,35 @@ def load_predictions(
 ) -> DataFrame:
     """Stack several files of scored rows; a column absent from one file is NULL there.
 
-    The column ``file_order`` is the position of the file in ``paths``.
+    Types are found once, from the rows of all files, so a column that is empty in one file has the
+    type it has in the others. Where files have types of their own, numbers of different kinds become
+    the wider one and a column that is text in any file is text. The column ``file_order`` is the
+    position of the file in ``paths``.
     """
+    if not paths:
+        raise ValueError("no prediction files were given")
+    parts = [_raw(spark, path, multi_line) for path in paths]
+    known = [p for p, path in zip(parts, paths) if _format(path) == "parquet"]
+    if schema is not None:
+        parts = [typed(p, schema) if _format(path) == "text" else p for p, path in zip(parts, paths)]
+        known = parts
+    kinds = {}
+    for part in known:
+        for field in part.schema:
+            if not isinstance(field.dataType, T.NullType):
+                kinds.setdefault(field.name, set()).add(field.dataType)
+    texts = {c for c, found in kinds.items() if T.StringType() in found}
     stacked = None
-    for order, path in enumerate(paths):
-        part = load_table(spark, path, schema, multi_line).withColumn("file_order", F.lit(order))
+    for order, part in enumerate(parts):
+        part = part.withColumns({
+            f.name: F.col(f"`{f.name}`").cast("string") for f in part.schema
+            if f.name in texts or isinstance(f.dataType, T.NullType)
+        }).withColumn("file_order", F.lit(order))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    if stacked is None:
-        raise ValueError("no prediction files were given")
-    return stacked
+    open_columns = [c for c in stacked.columns if c not in kinds and c != "file_order"]
+    if schema is None and open_columns:
+        stacked = infer_types(stacked, open_columns)
+    return nan_to_null(stacked)
 
 
 def validate_schema(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
