@@ -1,24 +1,28 @@
 """WARC archives: written through Spark's text sink, read back as a byte stream, and assembled into
 one nested row per capture.
 
-The end of a WARC record, two empty lines, is the text sink's and source's line separator, so any
-store and the codecs that Spark knows will do, and archives are read in a stream: a task holds one
-record at a time. Content lengths decide where a record ends, whatever its payload contains. Files of
-single gzip members for each record, as other tools write them, can be read as well.
+The end of a WARC record, two empty lines, is the text sink's and source's line separator. Content
+lengths decide where a record ends, whatever its payload contains, so a file has to be read from its
+start: files that Spark cuts into ranges (plain ones, bzip2) are put together again, dealt by file and
+sorted by place. A task holds one record at a time. Files of single gzip members for each record, as
+other tools write them, can be read as well. A record whose length is unreadable or that the file's end
+cuts off is a row that says so in ``defect``; after the former, reading goes on at the next record.
 
 A transaction is a response (or a revisit, whose payload an earlier response has) with the request
-and metadata records that name it in WARC-Concurrent-To. They are joined by that name; revisits are
-joined with the response they refer to.
+and metadata records that name it in WARC-Concurrent-To. They meet in one group by that name; revisits
+are then joined with the response they refer to.
 
-Rows: a null payload is an empty one, a null url leaves out the target. Rows without id get one from
-a hash of their url and payload; rows that share an id and everything else are one capture. Records
-that name no known capture are left out. Payloads are compared by SHA-256. Columns besides the three
-that are named play no part. Empty tables give empty archives and no capture.
+Rows: a null payload is an empty one, a null url leaves out the target, ids may be null. Every row is a
+capture of its own, also rows that share an id, and equal rows: names are made of id, url, payload and
+a number among equal rows. Records that name no known capture are left out. Payloads are compared by
+SHA-256. Columns besides the three that are named play no part. Empty tables give empty archives and no
+capture.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,25 +40,40 @@ def plan_records(
     pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
     payload_column: str = "html", least: int = LEAST_BYTES,
 ) -> DataFrame:
-    """(id, url, payload, digest, name, refers_to): the last is the name of the response with an equal
+    """(id, url, payload, digest, name, refers_to): the last is the name of a response with an equal
     payload of at least ``least`` bytes and the smallest id, if that is another one."""
     rows = pages.select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"),
         F.coalesce(F.col(payload_column).cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        rows.where(F.octet_length("payload") >= least).where("id IS NOT NULL")
-        .groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n")
-    )
-    own = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none-"), F.sha2(
-        F.concat_ws(" ", "digest", "url"), 256)))
+    # one narrow table says which rows are equal, and which response each payload has
+    counts = stored(rows.groupBy("id", F.xxhash64("url").alias("place"), "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min("url").alias("url"), F.max(F.octet_length("payload")).alias("size"),
+    ), "page-counts")
+    equal = counts.where("n > 1").select(
+        F.struct("id", "place", "digest").alias("same"), "n")
+    key = F.struct("id", F.xxhash64("url").alias("place"), "digest")
+    rows = rows.join(equal, key.eqNullSafe(F.col("same")), "left")
+    # of equal rows one stands for all
+    once = rows.where("n IS NOT NULL").groupBy("same").agg(
+        F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"),
+        F.first("digest").alias("digest"), F.first("n").alias("n"))
+    rows = rows.where("n IS NULL").select("id", "url", "payload", "digest", F.lit(1).cast("long").alias("number")) \
+        .unionByName(once.select("id", "url", "payload", "digest", F.explode(F.sequence(F.lit(1), "n")).alias("number")))
+
+    def name(number):
+        return _name(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("none")), "digest",
+                                 F.xxhash64("url").cast("string"), number.cast("string")), "response")
+
+    known = F.when(F.col("id").isNotNull(), F.struct("id", name(F.lit(1)).alias("name")))
+    first = counts.where(F.col("size") >= least).groupBy("digest").agg(
+        F.min(known).alias("first"), F.sum("n").alias("copies"),
+    ).where("copies > 1 AND first IS NOT NULL").drop("copies")
     rows = rows.join(first, "digest", "left")
+    other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
     return rows.select(
-        "id", "url", "payload", "digest", _name(own, "response").alias("name"),
-        F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")),
-               _name(F.col("first").cast("string"), "response")).alias("refers_to"),
-    )
+        "id", "url", "payload", "digest", name(F.col("number")).alias("name"),
+        F.when(other, F.col("first.name")).alias("refers_to"))
 
 
 def _name(own: Column, kind: str) -> Column:
@@ -126,59 +145,104 @@ def _parsed(head: bytes, block: bytes, payload: bool) -> dict:
     return row | {"payload": body if keep else None}
 
 
+class _Stream:
+    """Records of one file, from its pieces between gaps in their order."""
+
+    gap = GAP.encode()
+
+    def __init__(self, payload: bool):
+        self.payload, self.parts, self.size = payload, [], 0
+        self.head, self.length, self.lost = None, 0, False
+
+    def _keep(self, data: bytes) -> None:
+        self.parts, self.size = ([data], len(data)) if data else ([], 0)
+
+    def add(self, piece: bytes) -> Iterator[dict]:
+        if self.lost and not piece.lstrip(b"\r\n").startswith(b"WARC/"):
+            return
+        self.lost = False
+        self.parts += [piece, self.gap]
+        self.size += len(piece) + len(self.gap)
+        while True:
+            if self.head is None:
+                data = b"".join(self.parts)
+                at = data.find(self.gap)
+                head = data[:at].lstrip(b"\r\n") if at >= 0 else b""
+                self._keep(data[at + len(self.gap):] if at >= 0 else data)
+                if not head:
+                    if at < 0 or not self.size:
+                        return
+                    continue
+                length = [x.partition(b":")[2].strip() for x in head.split(b"\r\n")
+                          if x.lower().startswith(b"content-length:")]
+                if length and not length[0].isdigit():
+                    yield _parsed(head, b"", self.payload) | {"defect": "length"}
+                    rest, self.lost = b"".join(self.parts), True
+                    self._keep(b"")
+                    if rest:
+                        yield from self.add(rest.removesuffix(self.gap))
+                    return
+                self.head, self.length = head, int(length[0]) if length else 0
+            if self.size < self.length + len(self.gap):
+                return
+            data = b"".join(self.parts)
+            yield _parsed(self.head, data[: self.length], self.payload)
+            self._keep(data[self.length + len(self.gap):])
+            self.head = None
+            if not self.size:
+                return
+
+    def end(self) -> Iterator[dict]:
+        """What the file's end cut off."""
+        if self.head is not None:
+            block = b"".join(self.parts).removesuffix(self.gap)
+            yield _parsed(self.head, block, self.payload) | {"defect": "truncated"}
+
+
 def _records(payload: bool):
     schema = pa.schema([(n, pa.string()) for n in FIELDS] + [
         ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
-        ("payload_sha256", pa.string())])
-    gap = GAP.encode()
+        ("payload_sha256", pa.string()), ("defect", pa.string())])
 
     def run(batches):
-        file, parts, size, head, need, found, held = None, [], 0, None, 0, [], 0
+        file, stream, found, held = None, None, [], 0
         for batch in batches:
             for name, value in zip(batch.column("file").to_pylist(), batch.column("value")):
                 if name != file:
-                    file, parts, size, head = name, [], 0, None
-                parts += [value.as_buffer().to_pybytes(), gap]
-                size += len(parts[-2]) + len(gap)
-                while True:
-                    if head is None:
-                        data = b"".join(parts)
-                        at = data.find(gap)
-                        if not data[:at].lstrip(b"\r\n") or at < 0:
-                            parts, size = ([], 0) if at >= 0 else ([data], len(data))
-                            break
-                        head = data[:at].lstrip(b"\r\n")
-                        length = [x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                        need = int(length[0].partition(b":")[2]) + len(gap) if length else len(gap)
-                        data = data[at + len(gap):]
-                        parts, size = [data], len(data)
-                    if size < need:
-                        break
-                    data = b"".join(parts)
-                    row = _parsed(head, data[: need - len(gap)], payload)
+                    if stream is not None:
+                        found += stream.end()
+                    file, stream = name, _Stream(payload)
+                for row in stream.add(value.as_buffer().to_pybytes()):
                     found.append(row)
                     held += len(row["payload"] or b"")
-                    data, head = data[need:], None
-                    parts, size = [data], len(data)
-                    if not data:
-                        break
                 if held > 1 << 22 or len(found) >= 4096:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
                     found, held = [], 0
+        if stream is not None:
+            found += stream.end()
         yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return run
 
 
+# Files of other endings are read from their start by one task as they are.
+WHOLE = (".gz", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """A row per record: its main fields, http head, payload (null for responses if not asked for),
-    and the payload's size and digest as read."""
-    pieces = spark.read.text(path, lineSep=GAP).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    the payload's size and digest as read, and ``defect`` (``length``, ``truncated`` or null)."""
+    text = spark.read.text(path, lineSep=GAP)
+    pieces = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"))
+    if not all(file.endswith(WHOLE) for file in text.inputFiles()):
+        # Spark may have cut files into ranges, each of which holds pieces in their order
+        pieces = pieces.repartition("file").sortWithinPartitions("file", "start", "place")
     columns = ", ".join(f"{n} string" for n in FIELDS)
-    return pieces.mapInArrow(
+    return pieces.select("file", "value").mapInArrow(
         _records(payload),
-        f"{columns}, http binary, payload binary, payload_bytes long, payload_sha256 string")
+        f"{columns}, http binary, payload binary, payload_bytes long, payload_sha256 string, defect string")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -187,18 +251,22 @@ def assemble(records: DataFrame) -> DataFrame:
     has the digest that its record states), ``request`` and ``metadata`` (structs, null if there is
     none; of several the one whose name sorts first), ``refers_to`` (name and metadata of the response
     that a revisit refers to)."""
-    def beside(kind):
-        part = F.struct("record_id", "http", "payload")
-        return records.where(F.col("type") == kind).where("concurrent_to IS NOT NULL").groupBy(
-            F.col("concurrent_to").alias("record_id")).agg(F.min(part).alias(kind))
+    def least(kinds, *columns):
+        return F.min(F.when(F.col("type").isin(*kinds), F.struct(*columns)))
 
     whole = ["type", "uri", "date", "refers_to", "digest", "payload", "payload_bytes", "payload_sha256"]
-    captures = records.where("type IN ('response', 'revisit')").groupBy("record_id").agg(
-        F.min(F.struct(*whole)).alias("c")).select("record_id", "c.*")
-    captures = captures.join(beside("request"), "record_id", "left").join(
-        beside("metadata"), "record_id", "left")
-    # written once: archives are read once, and the join with a response that very many revisits
-    # refer to can be split
+    main = ("response", "revisit")
+    name = F.when(F.col("type").isin(*main), F.col("record_id")).otherwise(F.col("concurrent_to"))
+    captures = (
+        records.where("defect IS NULL").withColumn("capture", name).where("capture IS NOT NULL")
+        .groupBy("capture").agg(
+            least(main, *whole).alias("c"),
+            least(["request"], "record_id", "http", "payload").alias("request"),
+            least(["metadata"], "record_id", "http", "payload").alias("metadata"))
+        .where("c IS NOT NULL").select(F.col("capture").alias("record_id"), "c.*", "request", "metadata")
+    )
+    # written once, so that archives are parsed once, and the join with a response that very many
+    # revisits refer to can be split
     captures = stored(captures, "captures")
     # of a response its revisits need the payload as well, if it was read
     original = captures.where("type = 'response'").select(
