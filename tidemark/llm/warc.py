@@ -50,8 +50,8 @@ def plan_records(
     counts = stored(rows.groupBy("id", F.xxhash64("url").alias("place"), "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min("url").alias("url"), F.max(F.octet_length("payload")).alias("size"),
     ), "page-counts")
-    equal = counts.where("n > 1").select(
-        F.struct("id", "place", "digest").alias("same"), "n")
+    # written, so that the optimizer knows how few these are
+    equal = stored(counts.where("n > 1").select(F.struct("id", "place", "digest").alias("same"), "n"), "equal-pages")
     key = F.struct("id", F.xxhash64("url").alias("place"), "digest")
     rows = rows.join(equal, key.eqNullSafe(F.col("same")), "left")
     # of equal rows one stands for all
