@@ -4,7 +4,8 @@ passages, tokens.
 Each stage reads what the one before has written to the shared folder, works on all of it, and
 returns the columns of ``documents``; the last one adds the tokens. Rows without an id or text pass
 the filters: nothing speaks against them. Empty tables give empty ones. Columns besides ``doc_id``,
-``text`` and ``n_chars`` go along unchanged, whatever their names.
+``text`` and ``n_chars`` go along unchanged, whatever their names; where one has the name of a column
+that the last stage adds, the added one gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -67,11 +68,19 @@ def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = bpe.encode(docs, vocabulary, decoded=True)
     return found.select(
         *("text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
-        "ids", F.size("ids").cast("long").alias("n_tokens"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+        F.col("ids").alias(_free("ids", docs)),
+        F.size("ids").cast("long").alias(_free("n_tokens", docs)),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias(_free("round_trip", docs)),
     )
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("minhash near-dedup", keep_one_of_near_duplicates),
