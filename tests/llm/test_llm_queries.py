@@ -64,10 +64,11 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars int, row string, kept string"
+    schema = ("doc_id long, text string, lang string, source string, n_chars int, row string, kept string, "
+              "ids string, N_TOKENS string, round_trip string, decoded string")
     long = " ".join(f"w{i % 500}" for i in range(5000))
     rows = [(1, None), (2, ""), (3, "a b"), (None, "a b"), (4, long), (4, long), (5, long), (None, None)]
-    docs = spark.createDataFrame([(i, t, "en", None, None, "r", "k") for i, t in rows], schema)
+    docs = spark.createDataFrame([(i, t, "en", None, None, "r", "k", "i", "n", "t", "d") for i, t in rows], schema)
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "q q")], "item_id long, text string")
     for name, size in (("odd", 7), ("empty", 0)):
@@ -76,4 +77,5 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
             (rows_ if size else rows_.limit(0)).write.parquet(f"{folder}/{table}.parquet")
         found = corpus_pipeline.run(spark, folder)
         assert found.count() == size
-        assert found.columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
+        assert found.columns == [*docs.columns, "ids_", "n_tokens_", "round_trip_"]
+        assert found.where("ids = 'i' AND round_trip = 't' AND round_trip_").count() == size
