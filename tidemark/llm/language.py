@@ -8,13 +8,16 @@ whole; many texts take their Viterbi steps together. A document's language is th
 bytes, its score their share.
 
 Rows: null texts and texts without a letter are ``und`` with score 0 and no spans, and so is
-everything if there is nothing to learn from. Rows without id or language are not learnt from.
+everything if there is nothing to learn from. Letters are what Unicode calls letters or marks; digits
+and signs of any script part words. Rows without id or language are not learnt from.
 Repeated rows are labelled alike; ties go to the language that sorts first. Other columns travel in a
 struct, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -33,21 +36,64 @@ FOREIGN = -30.0
 RARE_SCRIPT = 0.005
 TOGETHER = 8 << 20
 LETTERS = words.table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-
-
-def _scripts() -> np.ndarray:
-    """A number for each first byte of a letter: Latin, Greek, Cyrillic, Armenian to Hebrew, Arabic
-    and its neighbours, Indic, Georgian to Ethiopic and extensions, Han and kana, Hangul, others."""
-    scripts = np.zeros(256, np.uint8)
-    for number, (low, high) in enumerate(
-        ((0xCE, 0xCF), (0xD0, 0xD3), (0xD4, 0xD7), (0xD8, 0xDF), (0xE0, 0xE0), (0xE1, 0xE1),
-         (0xE3, 0xE9), (0xEA, 0xED), (0xF0, 0xF4)), 1):
-        scripts[low : high + 1] = number
-    return scripts
-
-
-SCRIPTS = _scripts()
-N_SCRIPTS = int(SCRIPTS.max()) + 1
+NO_LETTER = 255
+
+# Code points of scripts, from Unicode's blocks. Marks that all scripts share count as Latin.
+SCRIPT_RANGES = {
+    "Latin": ((0x0000, 0x036F), (0x1AB0, 0x1AFF), (0x1D00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF),
+              (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "Greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Armenian": ((0x0530, 0x058F), (0xFB13, 0xFB17)),
+    "Hebrew": ((0x0590, 0x05FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)),
+    "Devanagari": ((0x0900, 0x097F), (0xA8E0, 0xA8FF)),
+    "Bengali": ((0x0980, 0x09FF),),
+    "other Indic": ((0x0A00, 0x0DFF),),
+    "Thai and Lao": ((0x0E00, 0x0EFF),),
+    "Tibetan and Burmese": ((0x0F00, 0x109F),),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "Ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF)),
+    "Khmer": ((0x1780, 0x17FF),),
+    "Han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "Hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+}
+OTHERS = len(SCRIPT_RANGES)
+N_SCRIPTS = OTHERS + 1
+LAST = 0x323AF
+
+
+@cache
+def kinds() -> np.ndarray:
+    """For each code point the number of its script, ``OTHERS`` for scripts without a number, or
+    ``NO_LETTER``. The last entry stands for all beyond."""
+    out = np.full(LAST + 2, OTHERS, np.uint8)
+    for number, ranges in enumerate(SCRIPT_RANGES.values()):
+        for low, high in ranges:
+            out[low : high + 1] = number
+    signs = [c for c in range(len(out)) if unicodedata.category(chr(c))[0] not in "LM"]
+    out[[*signs, LAST + 1]] = NO_LETTER
+    return out
+
+
+def scripts_of_bytes(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the script of its character, or ``NO_LETTER``. Stray bytes are no letters."""
+    out = np.where(LETTERS[data] & (data < 0x80), np.uint8(0), np.uint8(NO_LETTER))
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    code = padded[lead].astype(np.int64) & (0xFF >> (size + 1))
+    for n in (1, 2, 3):
+        code = np.where(size > n, code << 6 | padded[lead + n] & 0x3F, code)
+    kind = kinds()[np.minimum(code, LAST + 1)]
+    out[lead] = kind
+    for n in (1, 2, 3):
+        own = (size > n) & (padded[lead + n] & 0xC0 == 0x80)
+        out[lead[own] + n] = kind[own]
+    return out
 
 
 class Model(NamedTuple):
@@ -72,7 +118,10 @@ def marked(data: np.ndarray, bounds: np.ndarray) -> Marked:
     n_texts = len(bounds) - 1
     place = np.arange(len(data)) + 1 + np.repeat(np.arange(n_texts), np.diff(bounds))
     letters = np.zeros(len(data) + n_texts + 3, np.uint8)
-    letters[place] = np.where(LETTERS[data], words.LOWER[data], 0)
+    kind = scripts_of_bytes(data)
+    letters[place] = np.where(kind != NO_LETTER, words.LOWER[data], 0)
+    script = np.zeros(len(letters), np.uint8)
+    script[place] = np.where(kind != NO_LETTER, kind, 0)
     # capitals of the second half of Latin-1
     high = np.flatnonzero(letters[:-1] == 0xC3) + 1
     capital = high[(letters[high] >= 0x80) & (letters[high] <= 0x9E) & (letters[high] != 0x97)]
@@ -81,7 +130,7 @@ def marked(data: np.ndarray, bounds: np.ndarray) -> Marked:
     starts = np.flatnonzero(on[1:] & ~on[:-1]) + 1
     ends = np.flatnonzero(on[:-1] & ~on[1:]) + 1
     first = np.searchsorted(starts, bounds + np.arange(n_texts + 1))
-    scripts = np.maximum.reduceat(SCRIPTS[letters], starts) if len(starts) else starts
+    scripts = np.maximum.reduceat(script, starts) if len(starts) else starts
     return Marked(letters, starts, ends, first, scripts)
 
 
