@@ -10,14 +10,14 @@ A search goes down a query tree with a list of data nodes. For a query node with
 r and a data node with centre b and radius s no product exceeds ``<a, b> + |a| s + |b| r + r s``. Data
 nodes whose bound lies below the worst k-th score of the node's queries are dropped; equal bounds
 stay, as ties go to the smaller id. Products with the pivots give the first k-th scores. Query trees
-go to all blocks in waves of at most ``WAVE`` rows, so what is broadcast is bounded; a task keeps k
-results for each query of the wave.
-
-Products are exact while they stay below 2^53. Vectors that are null, empty, or hold null or
-non-finite components take no part, nor do rows without id; vectors of other lengths are no
-candidates of a query. Rows that share the query's id are no candidates. Of rows that repeat id and
-vector one counts. Other columns do not matter. Empty tables give empty results; with fewer than k
-candidates all are returned.
+go to all blocks in waves of about ``WAVE`` rows, each wave written before the next one is read, so what
+the driver holds and broadcasts at a time is bounded; a task keeps k results for each query of the wave.
+
+Products are exact: they can't pass 2^53, as a vector of a norm of 2^26.5 or more is refused in the pass
+that reads it. Vectors that are null, empty, or hold null or non-finite components take no part, nor do
+rows without id; vectors of other lengths are no candidates of a query. Of rows that share an id the
+largest vector counts, compared component by component, so dealing plays no part. Other columns do not
+matter. Empty tables give empty results; with fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.checks import refuse
 from tidemark.llm.scratch import stored
 
 PIVOTS, BLOCK, WAVE = 256, 2048, 16_384
@@ -104,10 +105,7 @@ class Best:
         old = self.rows[query]
         good = ids != self.ids[query]
         scores, ids = np.append(old[0], scores[good]), np.append(old[1], ids[good])
-        keep = np.lexsort((ids, -scores))
-        if len(keep) > 1:
-            keep = keep[np.append(True, np.diff(ids[keep]) != 0)]
-        keep = keep[: self.k]
+        keep = np.lexsort((ids, -scores))[: self.k]
         self.rows[query] = scores[keep], ids[keep]
         if len(keep) == self.k:
             self.worst[query] = max(self.worst[query], scores[keep[-1]])
@@ -190,14 +188,17 @@ def _offer(best: Best, query: int, scores: np.ndarray, points: np.ndarray, data:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, scaled: Column) -> DataFrame:
-    """(id, v, dim): rows that take part, each once, with whole numbers as components."""
+    """(id, v, dim): a row for each id that takes part, with whole numbers as components."""
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"),
         F.col(vector_column).cast("array<double>").alias("x"),
     ).where("id IS NOT NULL AND size(x) > 0")
     rows = rows.where(
         "NOT exists(x, c -> c IS NULL OR isnan(c) OR abs(c) = double('infinity'))")
-    return rows.select("id", scaled.alias("v"), F.size("x").alias("dim")).distinct()
+    rows = rows.select("id", scaled.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
+    problem = F.concat(F.lit("products of vector "), "id", F.lit(" are too large to be exact"))
+    return refuse(rows, square >= 2.0**53, problem).select("id", "v", F.size("v").alias("dim"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -296,13 +297,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = index(queries, list(pivots.values()))
     waves = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // WAVE))
     asked = asked.withColumn("wave", F.pmod(F.xxhash64("tree"), F.lit(waves)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = None
     for wave in range(waves):
         trees = [bytes(r[0]) for r in asked.where(F.col("wave") == wave).select("tree").collect()]
+        shared = spark.sparkContext.broadcast(trees)
         part = data.select("tree").mapInArrow(
-            _search_blocks(spark.sparkContext.broadcast(trees), by_id, k),
-            "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            _search_blocks(shared, by_id, k), "query_id long, vec_id long, score long")
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = stored(part.select("query_id", "rank", "vec_id", "score"), "nearest")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found
