@@ -15,7 +15,9 @@ gives an empty result, an empty benchmark no hits.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ class ItemIndex:
                 up = auto.link[state]
                 self.last_window[state] = self.last_window[up] if auto.length[up] >= window else state
         self.items = defaultdict(set)
-        self.whole = defaultdict(set)
+        self.whole = defaultdict(lambda: defaultdict(set))
         for name, row in items:
             state = 0
             for n, word in enumerate(row, 1):
@@ -59,12 +61,11 @@ class ItemIndex:
                     self.items[self.last_window[state]].add(name)
             if 0 < len(row) < window:
                 # the run may be a shorter one of its state
-                self.whole[state].add((len(row), name))
-        # short items that end where a run of the state ends
-        self.ending = [()] * len(auto.length)
+                self.whole[state][len(row)].add(name)
+        # the nearest state, itself or a suffix, where a short item ends; names stay with that state
+        self.nearest = [0] * len(auto.length)
         for state in order:
-            own = tuple(self.whole.get(state, ()))
-            self.ending[state] = self.ending[auto.link[state]] + own
+            self.nearest[state] = state if state in self.whole else self.nearest[auto.link[state]]
 
     def walk(self, run: list):
         """For a run of words: the windows (start, end) in it and the items they belong to."""
@@ -83,11 +84,13 @@ class ItemIndex:
             if known >= self.window:
                 spans.append((at - self.window, at))
                 names |= self.items[self.last_window[state]]
-            if self.ending[state]:
-                for n, name in self.ending[state]:
+            short = self.nearest[state]
+            while short:
+                for n, own in self.whole[short].items():
                     if n <= known:
                         spans.append((at - n, at))
-                        names.add(name)
+                        names |= own
+                short = self.nearest[link[short]]
         return spans, names
 
 
@@ -100,15 +103,33 @@ def _item_words(texts: list[str | None]) -> list[list[int]]:
     return out
 
 
-def _find(shared, window: int):
+@lru_cache(maxsize=1)
+def _index(shard, window: int):
+    """Index and vocabulary of a shard; a worker keeps them from task to task."""
+    items = shard.items.value
+    return ItemIndex(items, window), np.unique(np.array([x for _, row in items for x in row], np.uint64))
+
+
+class _Shard:
+    """A broadcast with a name. Equal names are equal shards, so that a worker knows them again."""
+
+    def __init__(self, items):
+        self.name, self.items = uuid.uuid4().hex, items
+
+    def __hash__(self):
+        return hash(self.name)
+
+    def __eq__(self, other):
+        return self.name == other.name
+
+
+def _find(shared: _Shard, window: int):
     """Adds a shard's spans of hit words and items to those of the shards before."""
     schema = pa.schema([("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                         ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        items = shared.value
-        index = ItemIndex(items, window)
-        vocabulary = np.unique(np.array([x for _, row in items for x in row], np.uint64))
+        index, vocabulary = _index(shared, window)
         for batch in batches:
             for piece in words.pieces(batch):
                 spots, hashes = _hashed(piece)
@@ -225,7 +246,7 @@ def decontaminate(
     for shard in range(shards):
         found = dealt.where(F.col("shard") == shard).select("item", "body").collect()
         listed = list(zip([r.item for r in found], _item_words([r.body for r in found])))
-        shared = spark.sparkContext.broadcast([x for x in listed if x[1]])
+        shared = _Shard(spark.sparkContext.broadcast([x for x in listed if x[1]]))
         rows = rows.mapInArrow(_find(shared, window), rows.schema)
         if shard + 1 < shards:
             rows = stored(rows, "hits")
