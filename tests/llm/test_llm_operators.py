@@ -282,6 +282,15 @@ def test_decontamination_is_exact(spark, monkeypatch, shard_words):
         assert hits_plainly(r["clean"], [])[0] == r["n_words"] - r["n_hit"]
 
 
+def test_names_of_short_items_stay_with_one_state():
+    items = [(f"s{i}", ["a"]) for i in range(4000)] + [("two", ["b", "a"])]
+    items += [(f"l{i}", [f"w{i}", "b", "a"] * 5) for i in range(200)]
+    index = decontaminate.ItemIndex(items)
+    assert sum(len(names) for state in index.whole.values() for names in state.values()) == 4001
+    spans, names = index.walk(["w1", "b", "a"])
+    assert sorted(spans) == [(1, 3), (2, 3)] and len(names) == 4001 and "two" in names
+
+
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string")
     found = decontaminate.decontaminate(frame(spark, odd_rows()), bench).collect()
@@ -405,6 +414,31 @@ def test_quality_ranks_texts(spark):
 LANGS = {"aa": "thing ring other that with", "bb": "keit ung lich schon und", "cc": "\u0434\u043e\u043c \u0440\u0435\u043a\u0430 \u0438"}
 
 
+def test_scripts_are_those_of_code_points():
+    names = list(language.SCRIPT_RANGES)
+
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        marks = language.marked(data, np.array([0, len(data)]))
+        texts = [marks.letters[a:b].tobytes().decode() for a, b in zip(marks.starts, marks.ends)]
+        return [(t, names[s] if s < len(names) else "others") for t, s in zip(texts, marks.scripts)]
+
+    assert found("ti\u1ebfng Vi\u1ec7t") == [("ti\u1ebfng", "Latin"), ("vi\u1ec7t", "Latin")]
+    assert found("\u1f04\u03bd\u03b8\u03c1\u03c9\u03c0\u03bf\u03c2") == [
+        ("\u1f04\u03bd\u03b8\u03c1\u03c9\u03c0\u03bf\u03c2", "Greek")]
+    assert found("good\U0001f600day \u201cso\u201d\u2014\u2026") == [
+        ("good", "Latin"), ("day", "Latin"), ("so", "Latin")]
+    assert found("\u4e2d\u6587 \u3072\u3089 \ud55c\uad6d \U00020000 \u0661\u0662") == [
+        ("\u4e2d\u6587", "Han"), ("\u3072\u3089", "kana"), ("\ud55c\uad6d", "Hangul"), ("\U00020000", "Han")]
+    assert found("\u0939\u093f\u0928\u094d\u0926\u0940 \u10e5 \u16a0") == [
+        ("\u0939\u093f\u0928\u094d\u0926\u0940", "Devanagari"), ("\u10e5", "Georgian"), ("\u16a0", "others")]
+
+
+def test_broken_bytes_are_no_letters():
+    data = np.array([0xFF, 0x41, 0x80, 0xE2, 0x82], np.uint8)
+    assert (language.scripts_of_bytes(data) != language.NO_LETTER).tolist() == [False, True, False, False, False]
+
+
 def test_language_labels_spans(spark):
     draw = random.Random(6)
     rows = []
@@ -502,6 +536,41 @@ def test_top_k_is_exact(spark):
     assert covertree.top_k(usable.limit(0), usable.limit(0)).count() == 0
 
 
+def test_top_k_in_several_waves(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(covertree, "WAVE", 32)
+    draw = np.random.default_rng(4)
+    vectors = [(int(i), [float(x) for x in draw.integers(-9, 10, 5)]) for i in range(300)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    usable = covertree.usable(table, "vec_id", "embedding", F.col("x"))
+    found = covertree.top_k(usable, usable.where("id % 3 = 0"), 4).collect()
+    assert len(found) == 400
+    for query, v in vectors[::3]:
+        scores = sorted((-np.dot(v, w), i) for i, w in vectors if i != query)[:4]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == query)
+        assert got == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
+def test_of_vectors_that_share_an_id_the_largest_counts(spark):
+    rows = [(1, [1.0, 5.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 3.0]), (3, None), (3, [0.0, 3.0])]
+    extra = [(i, v, "clash", 7) for i, v in rows]
+    for order in (extra, extra[::-1]):
+        table = spark.createDataFrame(order, "vec_id long, embedding array<double>, id string, dim int")
+        table = table.repartition(3)
+        usable = covertree.usable(table, "vec_id", "embedding", F.col("x"))
+        found = covertree.top_k(usable, usable.where("id = 2"), 5).collect()
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(found)] == [(1, 3, 3), (2, 1, 2)]
+
+
+def test_vectors_whose_products_are_not_exact_are_refused(spark):
+    table = spark.createDataFrame([(1, [9e12]), (2, [9e12]), (3, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large to be exact"):
+        covertree.usable(table, "vec_id", "embedding", F.col("x")).collect()
+    most = spark.createDataFrame([(1, [94906265.0]), (2, [94906265.0])], "vec_id long, embedding array<double>")
+    usable = covertree.usable(most, "vec_id", "embedding", F.col("x"))
+    assert {r["score"] for r in covertree.top_k(usable, usable).collect()} == {94906265 ** 2}
+
+
 def test_cover_tree_covers():
     draw = np.random.default_rng(3)
     x = np.concatenate([draw.normal(size=(300, 4)), np.zeros((40, 4))])
