@@ -13,14 +13,16 @@ earlier ones around their anchor need an automaton:
    repeated throughout. That is settled by counts, and copies are not compared with each other.
 3. The first ones of different passages around the same anchor go to that anchor's shard in
    order. Each is streamed past the automaton of those before it, then added.
-4. An anchor with more than ``SHARD`` different passages (a common line in many contexts) would
-   make one task large; the windows of those are compared by counting equal ones.
+4. A shard of more than ``SHARD`` different passages (a common line in many contexts) would make one
+   task large. It is dealt again by the next smallest run of each window, which equal windows share
+   too, as often as needed: step 2 for the shorter passages, then step 3. When all runs of a window
+   have been used, a shard holds windows of the same runs only.
 5. Documents are joined with their marks and cut.
 
 Rows: a null text has no words. A row without id is kept whole and is no earlier place of anything.
-Rows that share an id and text get the same result, and are not earlier than each other; rows that
-share an id must share the text. Columns besides id and text travel in a struct, whatever their
-names. An empty table gives an empty result.
+Rows that share an id and text get the same result, and are not earlier than each other; of rows that
+share an id but not the text, the one with the smaller hash of its text is the earlier. Columns
+besides id and text travel in a struct, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from tidemark.llm.scratch import others, stored
 ANCHOR = 6
 SHARD = 256
 WHOLE = -1
+PLACE = ("doc", "print", "m", "j")
 
 
 def anchors(piece: words.Piece, length: int):
@@ -82,7 +85,8 @@ def _passages(hashes, anchor, low, high, length):
 
 
 def _anchor_rows(length: int):
-    schema = pa.schema([("fp", pa.int64()), ("nb", pa.int64()), ("doc", pa.int64()), ("m", pa.int32())])
+    schema = pa.schema([("fp", pa.int64()), ("nb", pa.int64()), ("doc", pa.int64()),
+                        ("print", pa.int64()), ("m", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +95,10 @@ def _anchor_rows(length: int):
                 if not len(at):
                     continue
                 own = words.owners(spots.first)[at]
-                ids = piece.rows.column("doc").to_numpy()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(prints.view(np.int64)),
                     pa.array(_passages(hashes, at, low, high, length).view(np.int64)),
-                    pa.array(ids[own]),
+                    *(piece.rows.column(c).take(pa.array(own)) for c in ("doc", "print")),
                     pa.array((at - spots.first[own]).astype(np.int32)),
                 ], schema=schema)
 
@@ -123,14 +126,53 @@ def _context_rows(length: int):
                 place, of, asked = place[good], of[good], asked[good]
                 begin, end = spots.starts[low[place]], spots.ends[high[place] + length - 1]
                 data = piece.data.tobytes()
-                ids = piece.rows.column("doc").to_numpy()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(prints[place].view(np.int64)),
-                    pa.array(ids[of]),
+                    *(piece.rows.column(c).take(pa.array(of)) for c in ("doc", "print")),
                     pa.array(asked, pa.int32()),
+                    pa.array(np.zeros(len(of), np.int32)),
                     pa.array([b" ".join(data[a:b].split()) for a, b in zip(begin, end)],
                              pa.binary()).cast(pa.string()),
-                ], names=["fp", "doc", "m", "passage"])
+                ], names=["fp", "doc", "print", "m", "j", "passage"])
+
+    return run
+
+
+def _dealt_again(length: int, level: int):
+    """Passages of a shard, cut where the run of the next rank by hash changes between windows.
+
+    Adds a hash of the shorter passage (``nb``) and its number of windows (``n``); ``j`` is the place
+    of its first window among those of the anchor.
+    """
+    size = min(ANCHOR, length)
+
+    def run(batches):
+        for batch in batches:
+            for piece in words.pieces(batch, "passage"):
+                spots = words.split(piece.data, piece.bounds, words.NOT_SPACE)
+                hashes = words.word_hashes(piece.data, spots.starts, spots.ends)
+                windows = np.flatnonzero(words.fits(spots.first, length))
+                runs = np.lib.stride_tricks.sliding_window_view(
+                    words.rolled(hashes, size), length - size + 1)
+                rank = np.partition(runs[windows], level, axis=1)[:, level]
+                own = words.owners(spots.first)[windows]
+                change = np.ones(len(windows), bool)
+                change[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
+                begin = np.flatnonzero(change)
+                low, high = windows[begin], windows[np.append(begin[1:], len(windows)) - 1]
+                own, rank = own[begin], rank[begin]
+                earlier = piece.rows.column("fp").to_numpy()[own].view(np.uint64)
+                data = piece.data.tobytes()
+                cuts = zip(spots.starts[low], spots.ends[high + length - 1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(words.mix(words.mix(earlier) + rank).view(np.int64)),
+                    pa.array(_passages(hashes, low, low, high, length).view(np.int64)),
+                    *(piece.rows.column(c).take(pa.array(own)) for c in ("doc", "print", "m")),
+                    pa.array((piece.rows.column("j").to_numpy()[own] + low - spots.first[own])
+                             .astype(np.int32)),
+                    pa.array((high - low + 1).astype(np.int32)),
+                    pa.array([data[a:b] for a, b in cuts], pa.binary()).cast(pa.string()),
+                ], names=["fp", "nb", "doc", "print", "m", "j", "n", "passage"])
 
     return run
 
@@ -139,10 +181,16 @@ def _stream_past_automata(length: int):
     """Rows sorted by anchor, document and place: a mask of the windows that came earlier."""
 
     def run(batches):
-        anchor, automaton, waiting = None, None, None
+        anchor, automaton, waiting, last = None, None, None, None
         for batch in batches:
             masks = []
-            for key, passage in zip(batch.column("fp").to_pylist(), batch.column("passage")):
+            shards = batch.column("fp").to_pylist()
+            places = zip(*(batch.column(c).to_pylist() for c in PLACE))
+            for key, place, passage in zip(shards, places, batch.column("passage")):
+                if (key, place) == last:  # a repeated row is not earlier than itself
+                    masks.append(0)
+                    continue
+                last = key, place
                 row = passage.as_buffer().to_pybytes().split(b" ")
                 if key != anchor:
                     anchor, automaton, waiting = key, SuffixAutomaton(), row
@@ -151,77 +199,88 @@ def _stream_past_automata(length: int):
                 automaton.add(waiting)
                 waiting = row
                 known = automaton.matching(row)[length - 1:]
-                masks.append(sum(1 << j for j, n in enumerate(known) if n >= length))
+                masks.append(sum(1 << i for i, n in enumerate(known) if n >= length) << place[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("m"), pa.array(masks, pa.int64())],
-                names=["doc", "m", "mask"],
+                [*(batch.column(c) for c in ("doc", "print", "m")), pa.array(masks, pa.int64())],
+                names=["doc", "print", "m", "mask"],
             )
 
     return run
 
 
-def _count_equal_windows(passages: DataFrame, length: int) -> DataFrame:
-    """The masks of passages around very common anchors, from counts of equal windows."""
-    windows = passages.withColumn("parts", F.split("passage", " ")).selectExpr(
-        "doc", "m",
-        f"posexplode(transform(sequence(0, size(parts) - {length}), "
-        f"j -> md5(array_join(slice(parts, j + 1, {length}), ' ')))) AS (j, print)",
-    )
-    first = windows.groupBy("print").agg(
-        F.min(F.struct("doc", "m")).alias("first"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").drop("n")
-    return (
-        windows.join(first, "print")
-        .where(F.struct("doc", "m") != F.col("first"))
-        .groupBy("doc", "m")
-        .agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
-    )
-
-
 def repeated_marks(texts: DataFrame, length: int = 20) -> DataFrame:
-    """From (doc, text): rows (doc, m, mask) of anchors with repeated windows.
+    """From (doc, print, text): rows (doc, print, m, mask) of anchors with repeated windows.
 
     Bit j of the mask is the anchor's j-th window; -1 stands for all of them.
     """
     if not 1 <= length <= 60:
         raise ValueError("length must be between 1 and 60")
     known = texts.where("doc IS NOT NULL")
-    rows = known.mapInArrow(_anchor_rows(length), "fp long, nb long, doc long, m int")
-    # written apart from the join, so that the join can split the rows of a very common anchor
+    rows = known.mapInArrow(
+        _anchor_rows(length), "fp long, nb long, doc long, print long, m int")
+    # tables that are joined with the rows of very common anchors are written apart from the join,
+    # so that the join can split those rows
     counts = stored(rows.groupBy("fp").count().where("count > 1").select("fp"), "repeated")
     repeated = stored(rows.join(counts, "fp"), "anchors")
-    first = repeated.groupBy("fp", "nb").agg(F.min(F.struct("doc", "m")).alias("first"))
+    place = F.struct("doc", "print", "m")
+    first = repeated.groupBy("fp", "nb").agg(F.min(place).alias("first"))
     first = stored(first, "passages")
-    copies = (
+    marks = (
         repeated.join(first, ["fp", "nb"])
-        .where(F.struct("doc", "m") != F.col("first"))
-        .select("doc", "m", F.lit(WHOLE).cast("long").alias("mask"))
+        .where(place != F.col("first"))
+        .select("doc", "print", "m", F.lit(WHOLE).cast("long").alias("mask"))
     )
-    several = first.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = _several(first)
     asked = (
         first.join(several, "fp")
-        .groupBy(F.col("first.doc").alias("doc"))
+        .groupBy(F.col("first.doc").alias("doc"), F.col("first.print").alias("print"))
         .agg(F.collect_list("first.m").alias("ms"))
     )
     contexts = stored(
-        known.join(asked, "doc").mapInArrow(
-            _context_rows(length), "fp long, doc long, m int, passage string"
+        known.join(asked, ["doc", "print"]).mapInArrow(
+            _context_rows(length),
+            "fp long, doc long, print long, m int, j int, passage string",
         ).join(several, "fp"),
         "contexts",
     )
-    spark = texts.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    streamed = (
-        contexts.where(F.col("kinds") <= SHARD)
-        .repartition(shards, "fp")
-        .sortWithinPartitions("fp", "doc", "m")
-        .mapInArrow(_stream_past_automata(length), "doc long, m int, mask long")
+    levels = length - min(ANCHOR, length)
+    for level in range(1, levels + 1):
+        large = contexts.where(F.col("kinds") > SHARD)
+        if large.isEmpty():
+            break
+        marks = marks.unionByName(_streamed(contexts.where(F.col("kinds") <= SHARD), length))
+        copies, contexts = _split_shards(large, length, level)
+        marks = marks.unionByName(copies)
+    return marks.unionByName(_streamed(contexts, length))
+
+
+def _several(first: DataFrame) -> DataFrame:
+    """Shards with more than one passage, and how many they have."""
+    return stored(
+        first.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
+
+
+def _split_shards(large: DataFrame, length: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Marks of shorter passages that are copies, and the first ones of those that differ."""
+    kinds = "fp long, nb long, doc long, print long, m int, j int, n int, passage string"
+    rows = stored(large.mapInArrow(_dealt_again(length, level), kinds), "dealt")
+    place = F.struct(*PLACE)
+    first = stored(rows.groupBy("fp", "nb").agg(F.min(place).alias("first")), "passages")
+    placed = rows.join(first, ["fp", "nb"])
+    copies = placed.where(place != F.col("first")).selectExpr(
+        "doc", "print", "m", "shiftleft(shiftleft(1L, n) - 1, j) AS mask")
+    contexts = placed.where(place == F.col("first")).select("fp", *PLACE, "passage")
+    return copies, stored(contexts.join(_several(first), "fp"), "contexts")
+
+
+def _streamed(contexts: DataFrame, length: int) -> DataFrame:
+    shards = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        contexts.repartition(shards, "fp")
+        .sortWithinPartitions("fp", *PLACE)
+        .mapInArrow(_stream_past_automata(length), "doc long, print long, m int, mask long")
         .where("mask != 0")
     )
-    # contexts of one anchor lie together as they come from a join
-    common = contexts.where(F.col("kinds") > SHARD).repartition(shards, "doc", "m")
-    common = _count_equal_windows(common, length)
-    return copies.unionByName(streamed).unionByName(common)
 
 
 def _cut(length: int):
@@ -313,11 +372,11 @@ def remove_repeated_passages(
         F.struct(*others(docs, text_column)).alias("row"),
         F.col(text_column).cast("string").alias("text"),
         F.col(id_column).cast("long").alias("doc"),
-    )
-    marks = repeated_marks(rows.select("doc", "text"), length)
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("m", "mask")).alias("marks"))
+    ).withColumn("print", F.xxhash64("text"))
+    marks = repeated_marks(rows.select("doc", "print", "text"), length)
+    marks = marks.groupBy("doc", "print").agg(F.collect_list(F.struct("m", "mask")).alias("marks"))
     out = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
     out.add("n_words", "long").add("n_removed", "long")
     span = T.StructType().add("start", "integer").add("end", "integer")
     out.add("spans", T.ArrayType(span)).add("kept", "string")
-    return rows.join(marks, "doc", "left").mapInArrow(_cut(length), out)
+    return rows.join(marks, ["doc", "print"], "left").mapInArrow(_cut(length), out)
