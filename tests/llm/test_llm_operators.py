@@ -520,7 +520,7 @@ def test_viterbi_takes_the_best_path():
 def test_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(20_000).selectExpr("concat('k', id) AS key")
     for listed in (keys.where("key LIKE '%7'"), keys.where("key = 'k5'"), keys, keys.limit(0)):
-        cascade = bloom.build(spark, listed, keys.union(keys.limit(50)))
+        cascade = bloom.build(spark, bloom.plan(listed, keys.union(keys.limit(50))))
         inside = {r["key"] for r in listed.collect()}
         a, b = bloom.key_hashes(F.col("key"))
         rows = keys.select("key", a.alias("a"), b.alias("b")).toArrow()
@@ -529,6 +529,39 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert not cascade.levels
 
 
+def test_cascades_of_shards_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MOST_BITS", 4096)
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS key")
+    listed = keys.where("key LIKE '%7'")
+    plan = bloom.plan(listed, keys)
+    a, b = bloom.key_hashes(F.col("key"))
+    rows = keys.select("key", a.alias("a"), b.alias("b")).toArrow()
+    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+    shard, got = bloom.shard_of(a, plan.n_shards), np.zeros(len(a), bool)
+    assert plan.n_shards == 3
+    for number in range(plan.n_shards):
+        cascade = bloom.build(spark, plan, number)
+        assert max(level.n_bits for level in cascade.levels) < 1.2 * 4096
+        own = np.flatnonzero(shard == number)
+        got[own] = bloom.listed(cascade, a[own], b[own])
+    assert [k.endswith("7") for k in rows["key"].to_pylist()] == got.tolist()
+
+
+def test_urls_with_many_rules_in_shards(spark, monkeypatch):
+    """More lengths of rules than 256, and filters in shards, against the rules one by one."""
+    monkeypatch.setattr(bloom, "MOST_BITS", 512)
+    draw = random.Random(9)
+    rules = [(f"h{i % 40}.org", "/" + "x" * i, draw.choice(["allow", "block"])) for i in range(300)]
+    rules.append(("org", "/", "block"))
+    rows = [(i, f"http://w.h{draw.randrange(45)}.org/" + "x" * draw.randrange(320)) for i in range(400)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3),
+                       spark.createDataFrame(rules, "host string, path string, action string"))
+    for r in found.collect():
+        fits = [(len(h + p), h + p, a) for h, p, a in rules
+                if r["host"].endswith("." + h) and r["path"].startswith(p)]
+        assert (r["rule"], r["verdict"]) == max(fits)[1:]
+
+
 def test_urls(spark):
     rules = spark.createDataFrame(
         [("com", "/", "allow"), ("a.com", "/x", "block"), ("b.a.com", "/x", "allow"), (None, "/", "block"),

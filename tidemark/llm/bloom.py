@@ -79,11 +79,13 @@ def _passing(shared, number: int) -> Callable:
     return run
 
 
+def _bits(n_keys: int, error: float) -> int:
+    return max(64, int(np.ceil(-n_keys * np.log(error) / np.log(2) ** 2)))
+
+
 def _filter(keys: DataFrame, number: int, n_keys: int, error: float) -> Level:
-    n_bits = max(64, int(np.ceil(-n_keys * np.log(error) / np.log(2) ** 2)))
+    n_bits = _bits(n_keys, error)
     n_hashes = max(1, round(-np.log2(error)))
-    if n_bits > MOST_BITS:
-        raise ValueError(f"{n_keys} keys need {n_bits} bits, more than may be broadcast")
 
     def set_bits(batches):
         bits = np.zeros(-(-n_bits // 64), np.uint64)
@@ -102,26 +104,59 @@ def _filter(keys: DataFrame, number: int, n_keys: int, error: float) -> Level:
     return Level(bits, n_bits, n_hashes)
 
 
-def build(spark: SparkSession, listed_keys: DataFrame, universe: DataFrame) -> Cascade:
-    """From two tables with a text column ``key``; listed keys belong to the universe anyway."""
-    def hashed(keys):
-        a, b = key_hashes(F.col("key"))
-        return keys.where("key IS NOT NULL").select(a.alias("a"), b.alias("b"))
+def shard_of(a: np.ndarray, n_shards: int) -> np.ndarray:
+    return (mix(a.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
 
-    inside = stored(hashed(listed_keys).distinct(), "listed")
-    n_inside = inside.count()
-    levels: list[Level] = []
-    if not n_inside:
-        return Cascade(levels)
-    outside = hashed(universe)
+
+def _hashed(keys: DataFrame) -> DataFrame:
+    a, b = key_hashes(F.col("key"))
+    return keys.where("key IS NOT NULL").select(a.alias("a"), b.alias("b"))
+
+
+def _in_shard(n_shards: int, shard: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shard_of(batch.column("a").to_numpy(), n_shards) == shard))
+
+    return run
+
+
+class Plan(NamedTuple):
+    """The hashes of a list and its universe, and into how many shards its filters are cut."""
+
+    inside: DataFrame
+    outside: DataFrame
+    n_inside: int
+    error: float
+    n_shards: int
+
+
+def plan(listed_keys: DataFrame, universe: DataFrame) -> Plan:
+    """From two tables with a text column ``key``; listed keys belong to the universe anyway."""
+    inside = stored(_hashed(listed_keys).distinct(), "listed")
+    n_inside, outside = inside.count(), _hashed(universe)
     # repeated keys make the estimate too large, which only makes the first level stricter
-    error = min(0.5, n_inside / max(outside.count(), 1))
+    error = min(0.5, n_inside / max(outside.count(), 1)) if n_inside else 0.5
+    n_shards = -(-_bits(n_inside, error) // MOST_BITS)
+    if n_shards > 1:  # every shard reads it
+        outside = stored(outside, "universe")
+    return Plan(inside, outside, n_inside, error, n_shards)
+
+
+def build(spark: SparkSession, plan: Plan, shard: int = 0) -> Cascade:
+    """The cascade of one shard."""
+    inside, n_inside, outside = plan.inside, plan.n_inside, plan.outside
+    if plan.n_shards > 1:
+        own = _in_shard(plan.n_shards, shard)
+        inside, outside = (k.mapInArrow(own, "a long, b long") for k in (inside, outside))
+        n_inside = inside.count()
+    levels: list[Level] = []
     encoded, n_encoded, other = inside, n_inside, outside
     while n_encoded:
         number = len(levels)
         if number == MOST_LEVELS:
             raise RuntimeError("keys with equal hashes are listed and not listed")
-        levels.append(_filter(encoded, number, n_encoded, error if number == 0 else 0.5))
+        levels.append(_filter(encoded, number, n_encoded, plan.error if number == 0 else 0.5))
         shared = spark.sparkContext.broadcast(levels[-1])
         mistaken = other.mapInArrow(_passing(shared, number), "a long, b long")
         if number == 0:

@@ -9,21 +9,22 @@ of equally long ones the one that sorts first; urls without a rule are allowed,
 list.
 
 A null url, or one without ``://``, has an empty host and path. Repeated urls are judged alike. Other
-columns travel in a struct, whatever their names. Without rules everything is allowed. The rules'
-keys are counted and their cascade's size is checked; only the distinct lengths of their paths go to
-the driver.
+columns travel in a struct, whatever their names. Without rules everything is allowed. Rules whose
+filters would be larger than may be broadcast are dealt to shards: the urls pass the shards' cascades
+in turn, and each answers for its own keys. Only the distinct lengths of the rules' paths go to the
+driver; ``k`` lengths take at least ``k * k / 2`` characters of rules, so a gigabyte of them has at
+most 45,000.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.scratch import others
+from tidemark.llm.scratch import others, stored
 
-MOST_LENGTHS = 256
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,9 +36,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def candidate_keys(host: str, path: str, lengths: list[int]) -> Column:
     """Keys that a rule for the url could have, longest first."""
-    beginnings = F.array_compact(F.array(*(
-        F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths
-    )))
+    fitting = F.filter(F.lit(np.array(lengths, np.int32)), lambda n: n <= F.char_length(path))
+    beginnings = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
     parts = F.split(host, r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)),
@@ -51,29 +51,22 @@ def candidate_keys(host: str, path: str, lengths: list[int]) -> Column:
     )
 
 
-def _judge(shared):
+def _ask(shared, number: int, n_shards: int):
+    """Adds what one shard of the rules knows of its keys: 0 nothing, 1 a rule, 2 a rule that blocks."""
+
     def run(batches):
         rules, blocked = shared.value
         for batch in batches:
-            keys = batch.column("keys")
-            flat = keys.flatten()
-            a = batch.column("a").flatten().to_numpy()
-            b = batch.column("b").flatten().to_numpy()
-            known = np.flatnonzero(bloom.listed(rules, a, b))
-            ends = np.cumsum(keys.value_lengths().to_numpy())
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            place = np.searchsorted(known, starts)
-            hit = np.append(known, np.int64(len(flat)))[place]
-            found = hit < ends
-            at = hit[found]
-            block = np.zeros(len(keys), bool)
-            block[found] = bloom.listed(blocked, a[at], b[at])
-            chosen = pa.array(np.where(found, hit, 0), mask=~found)
-            names = [n for n in batch.schema.names if n not in ("keys", "a", "b")]
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(n) for n in names), flat.take(chosen),
-                pa.array(np.where(block, "block", "allow"), pa.string()),
-            ], names=[*names, "rule", "verdict"])
+            a, b = (batch.column(c).flatten().to_numpy() for c in ("a", "b"))
+            known = batch.column("known")
+            marks = known.flatten().to_numpy().copy()
+            own = np.flatnonzero(bloom.shard_of(a, n_shards) == number)
+            own = own[bloom.listed(rules, a[own], b[own])]
+            marks[own] = 1 + bloom.listed(blocked, a[own], b[own])
+            ends = np.concatenate([[0], np.cumsum(known.value_lengths().to_numpy())])
+            marked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marks, pa.int8()))
+            at = batch.schema.get_field_index("known")
+            yield batch.set_column(at, "known", marked)
 
     return run
 
@@ -88,23 +81,31 @@ def judge(urls: DataFrame, rules: DataFrame, url_column: str = "url") -> DataFra
     rules = rules.select(
         F.concat("host", "path").alias("key"), F.char_length("path").alias("length"), "action"
     ).dropna()
-    lengths = sorted(r[0] for r in rules.select("length").distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"rules have paths of more than {MOST_LENGTHS} lengths")
+    lengths = sorted(r[0] for r in rules.select("length").distinct().collect())
     host, path = host_and_path(F.col(url_column).cast("string"))
     rows = urls.select(F.struct(*others(urls)).alias("row"), host.alias("host"), path.alias("path"))
     keys = candidate_keys("host", "path", lengths) if lengths else F.expr("CAST(array() AS array<string>)")
     rows = rows.withColumn("keys", keys)
     universe = rows.select(F.explode("keys").alias("key"))
-    blocked = rules.where("action = 'block'").select("key")
-    shared = spark.sparkContext.broadcast((
-        bloom.build(spark, rules.select("key"), universe),
-        bloom.build(spark, blocked, rules.select("key")),
-    ))
+    listed = bloom.plan(rules.select("key"), universe)
+    # the blocked ones are as many at most, in a smaller universe: they fit the same shards
+    blocked = bloom.plan(rules.where("action = 'block'").select("key"), rules.select("key"))
+    blocked = blocked._replace(n_shards=listed.n_shards)
     rows = rows.withColumns({
         "a": F.transform("keys", lambda k: bloom.key_hashes(k)[0]),
         "b": F.transform("keys", lambda k: bloom.key_hashes(k)[1]),
+        "known": F.transform("keys", lambda k: F.lit(0).cast("byte")),
     })
-    out = T.StructType([rows.schema[c] for c in ("row", "host", "path")])
-    out.add("rule", T.StringType()).add("verdict", T.StringType())
-    return rows.mapInArrow(_judge(shared), out)
+    for number in range(listed.n_shards):
+        shared = spark.sparkContext.broadcast(
+            (bloom.build(spark, listed, number), bloom.build(spark, blocked, number)))
+        rows = rows.mapInArrow(_ask(shared, number, listed.n_shards), rows.schema)
+        if number < listed.n_shards - 1:  # the next cascade is built and sent when this one is done
+            rows = stored(rows, "asked")
+            shared.unpersist()
+    place = F.array_position(F.transform("known", lambda k: k > 0), True).cast("int")
+    found = F.when(place > 0, place)
+    return rows.select(
+        "row", "host", "path", F.get("keys", found - 1).alias("rule"),
+        F.when(F.get("known", found - 1) == 2, "block").otherwise("allow").alias("verdict"),
+    )
