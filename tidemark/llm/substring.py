@@ -14,9 +14,9 @@ earlier ones around their anchor need an automaton:
 3. The first ones of different passages around the same anchor go to that anchor's shard in
    order. Each is streamed past the automaton of those before it, then added.
 4. A shard of more than ``SHARD`` different passages (a common line in many contexts) would make one
-   task large. It is dealt again by the next smallest run of each window, which equal windows share
-   too, as often as needed: step 2 for the shorter passages, then step 3. When all runs of a window
-   have been used, a shard holds windows of the same runs only.
+   task large. It is dealt again by the next smallest runs of each window, which equal windows share
+   too, as often as needed and twice as many each time: step 2 for the shorter passages, then step 3.
+   When all runs of a window have been used, a shard holds windows of the same runs only.
 5. Documents are joined with their marks and cut.
 
 Rows: a null text has no words. A row without id is kept whole and is no earlier place of anything.
@@ -138,8 +138,8 @@ def _context_rows(length: int):
     return run
 
 
-def _dealt_again(length: int, level: int):
-    """Passages of a shard, cut where the run of the next rank by hash changes between windows.
+def _dealt_again(length: int, ranks: range):
+    """Passages of a shard, cut where the runs of these ranks by hash change between windows.
 
     Adds a hash of the shorter passage (``nb``) and its number of windows (``n``); ``j`` is the place
     of its first window among those of the anchor.
@@ -154,18 +154,20 @@ def _dealt_again(length: int, level: int):
                 windows = np.flatnonzero(words.fits(spots.first, length))
                 runs = np.lib.stride_tricks.sliding_window_view(
                     words.rolled(hashes, size), length - size + 1)
-                rank = np.partition(runs[windows], level, axis=1)[:, level]
                 own = words.owners(spots.first)[windows]
+                shard = piece.rows.column("fp").to_numpy()[own].view(np.uint64)
+                ordered = np.sort(runs[windows], axis=1)
+                for rank in ranks:
+                    shard = words.mix(words.mix(shard) + ordered[:, rank])
                 change = np.ones(len(windows), bool)
-                change[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
+                change[1:] = (shard[1:] != shard[:-1]) | (own[1:] != own[:-1])
                 begin = np.flatnonzero(change)
                 low, high = windows[begin], windows[np.append(begin[1:], len(windows)) - 1]
-                own, rank = own[begin], rank[begin]
-                earlier = piece.rows.column("fp").to_numpy()[own].view(np.uint64)
+                own, shard = own[begin], shard[begin]
                 data = piece.data.tobytes()
                 cuts = zip(spots.starts[low], spots.ends[high + length - 1])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(words.mix(words.mix(earlier) + rank).view(np.int64)),
+                    pa.array(shard.view(np.int64)),
                     pa.array(_passages(hashes, low, low, high, length).view(np.int64)),
                     *(piece.rows.column(c).take(pa.array(own)) for c in ("doc", "print", "m")),
                     pa.array((piece.rows.column("j").to_numpy()[own] + low - spots.first[own])
@@ -243,14 +245,17 @@ def repeated_marks(texts: DataFrame, length: int = 20) -> DataFrame:
         ).join(several, "fp"),
         "contexts",
     )
-    levels = length - min(ANCHOR, length)
-    for level in range(1, levels + 1):
+    runs, used, ready = length - min(ANCHOR, length) + 1, 1, []
+    while used < runs:
         large = contexts.where(F.col("kinds") > SHARD)
         if large.isEmpty():
             break
-        marks = marks.unionByName(_streamed(contexts.where(F.col("kinds") <= SHARD), length))
-        copies, contexts = _split_shards(large, length, level)
-        marks = marks.unionByName(copies)
+        ready.append(contexts.where(F.col("kinds") <= SHARD))
+        ranks = range(used, min(2 * used, runs))
+        copies, contexts = _split_shards(large, length, ranks)
+        marks, used = marks.unionByName(copies), ranks.stop
+    for small in ready:
+        contexts = contexts.unionByName(small)
     return marks.unionByName(_streamed(contexts, length))
 
 
@@ -260,10 +265,10 @@ def _several(first: DataFrame) -> DataFrame:
         first.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
 
 
-def _split_shards(large: DataFrame, length: int, level: int) -> tuple[DataFrame, DataFrame]:
+def _split_shards(large: DataFrame, length: int, ranks: range) -> tuple[DataFrame, DataFrame]:
     """Marks of shorter passages that are copies, and the first ones of those that differ."""
     kinds = "fp long, nb long, doc long, print long, m int, j int, n int, passage string"
-    rows = stored(large.mapInArrow(_dealt_again(length, level), kinds), "dealt")
+    rows = stored(large.mapInArrow(_dealt_again(length, ranks), kinds), "dealt")
     place = F.struct(*PLACE)
     first = stored(rows.groupBy("fp", "nb").agg(F.min(place).alias("first")), "passages")
     placed = rows.join(first, ["fp", "nb"])
