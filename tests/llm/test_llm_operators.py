@@ -445,6 +445,32 @@ def test_quality_ranks_texts(spark):
     assert {r["score"] for r in quality.score(docs, same).collect()} == {1.0}
 
 
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """The share of good rows and the cut are of all rows, whatever the buckets, the partitions and how
+    rare one kind is; rows that are held out teach nothing."""
+    monkeypatch.setattr(labelled, "SAMPLE_ROWS", 10)
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choice(["Stone", "river", "a|b", "!!"]) for _ in range(20 + i % 7))) for i in range(900)]
+    labels = [(i, int(t.count("|") < 4)) for i, t in rows]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r["id"] for r in spark.range(900).where(labelled.held_out("id")).collect()}
+
+    def model(docs, labels):
+        return quality.fit(labelled.with_labels(quality.measured(labelled.learnable(docs)), labels, "quality"))
+
+    docs = frame(spark, rows)
+    whole = model(docs, table)
+    kept = [y for i, y in labels if i not in out]
+    assert whole.share == np.mean(kept)
+    scores = [r["score"] for r in quality.score(docs.where(~labelled.held_out("doc_id")), whole).collect()]
+    assert abs(np.mean([s > 0.3 for s in scores]) - whole.share) < 0.01
+    monkeypatch.setattr(quality, "BUCKET", 100)
+    some = model(docs.repartition(7), table.repartition(3))
+    assert np.array_equal(some.weights.round(9), model(docs.repartition(2).union(docs), table).weights.round(9))
+    rare = model(docs, spark.createDataFrame([(i, int(i < 8)) for i, _ in rows], "doc_id long, quality int"))
+    assert rare.weights.any() and rare.share == np.mean([i < 8 for i, _ in rows if i not in out])
+
+
 # ---- languages
 
 LANGS = {"aa": "thing ring other that with", "bb": "keit ung lich schon und", "cc": "\u0434\u043e\u043c \u0440\u0435\u043a\u0430 \u0438"}

@@ -1,4 +1,4 @@
-"""A bounded sample of labelled rows for fitting, and text columns that are scored as they stream."""
+"""Labelled rows for fitting: a bounded sample, or all of them."""
 
 from __future__ import annotations
 
@@ -38,3 +38,24 @@ def sample(
     return found.groupBy("key").agg(F.max(F.struct("text", "label")).alias("r")).select(
         "key", "r.text", "r.label"
     )
+
+
+def learnable(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(key, mark, text) of all rows that are not held out and have both; ``mark`` is the text's hash."""
+    return docs.where(~held_out(id_column)).select(
+        F.col(id_column).cast("long").alias("key"), F.xxhash64(F.col(text_column).cast("string")).alias("mark"),
+        F.col(text_column).cast("string").alias("text"),
+    ).dropna()
+
+
+def with_labels(
+    rows: DataFrame, labels: DataFrame, label: str, id_column: str = "doc_id"
+) -> DataFrame:
+    """All the rows (key, mark, others) that have a label, one per key: that with the largest mark, and
+    the largest label if labels repeat an id."""
+    known = labels.select(
+        F.col(id_column).cast("long").alias("key"), F.col(label).cast("double").alias("label")
+    ).dropna().groupBy("key").agg(F.max("label").alias("label"))
+    others = [c for c in rows.columns if c not in ("key", "mark")]
+    once = rows.groupBy("key").agg(F.max_by(F.struct(*others), "mark").alias("r")).select("key", "r.*")
+    return once.join(known, "key")

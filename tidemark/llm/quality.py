@@ -2,11 +2,15 @@
 ``sigmoid(s1 - s2)``, where the score ``s`` is linear in measures of the text.
 
 The measures are shares of kinds of bytes and words (``measures``), standardised. Preference pairs
-are a better and a worse one of the labelled sample, drawn by a seeded generator; the loss is
-logistic on the differences of their measures and is minimised by Newton steps with a ridge. Scores
-are then cut at the quantile that leaves as large a share above as the sample has good rows, and
-mapped to 0..1 so that this cut lies at ``threshold``. The sample is bounded; scoring covers every
-row and text whole.
+are a better and a worse labelled row; the loss is logistic on the differences of their measures and
+is minimised by Newton steps with a ridge. Scores are then cut at the quantile that leaves as large a
+share above as there are good rows, and mapped to 0..1 so that this cut lies at ``threshold``.
+
+All labelled rows are learnt from. They are dealt by a hash of the key to buckets of about ``BUCKET``
+rows, and within a bucket every row is paired with several of the other kind, with all if there are few.
+Where one kind is rare its rows are dealt to several buckets, so that none lacks it. A Newton step is
+one pass over the buckets, from which the driver gets sums of a few hundred numbers; means, deviations
+and the cut, an exact quantile, are of all rows too. Hashes decide the pairs, not partitions.
 
 Rows: null and empty texts have all measures zero and score like any other. Without labelled rows of
 both kinds every score is the share of good rows (0 if there are none). Repeated rows score alike.
@@ -19,12 +23,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm import words
-from tidemark.llm.scratch import others
+from tidemark.llm.scratch import others, stored
+from tidemark.operators.quantiles import exact_quantiles
 
-PAIRS = 200_000
+PAIRS, LEAST_PAIRS = 200_000, 8
+BUCKET, LEAST_OF_KIND = 4096, 64
 THRESHOLD = 0.3
 RIDGE = 1e-3
 
@@ -85,6 +92,8 @@ def measures(piece: words.Piece) -> np.ndarray:
     order = np.lexsort((runs, own))
     earlier = np.zeros(len(hashes), bool)
     earlier[order[1:]] = (runs[order[1:]] == runs[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    # the last two words of a text begin no run of their own text's words
+    earlier &= words.fits(spots.first, 3)
     stop = np.zeros(len(hashes), bool)
     if len(hashes):
         stop = np.isin(piece.data[spots.ends - 1], list(b".?"))
@@ -98,45 +107,105 @@ def measures(piece: words.Piece) -> np.ndarray:
     return np.stack(columns, 1).reshape(n_texts, len(NAMES))
 
 
-def fit(
-    rows: DataFrame, threshold: float = THRESHOLD, pairs: int = PAIRS, steps: int = 25
-) -> Model:
-    """From a bounded sample (key, text, label 0 or 1). The driver gets its measures only, a few
-    numbers for each of at most the sample's rows."""
+def measured(rows: DataFrame) -> DataFrame:
+    """The rows with ``x``, the measures, in place of ``text``."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             for piece in words.pieces(batch):
+                found = measures(piece)
+                x = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(found) + 1) * len(NAMES), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.rows.column("key"), piece.rows.column("label"),
-                     pa.array(measures(piece).tolist(), pa.list_(pa.float64()))],
-                    names=["key", "label", "x"])
-
-    found = rows.select("key", "text", "label").mapInArrow(
-        run, "key long, label double, x array<double>").toArrow()
-    order = np.argsort(found["key"].to_numpy())
-    label = found["label"].to_numpy()[order] > 0.5
+                    [*(piece.rows.column(c) for c in names), x], names=[*names, "x"])
+
+    kept = rows.select(*names)
+    out = T.StructType([*kept.schema, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return rows.select(*names, "text").mapInArrow(run, out)
+
+
+def _bucket(group: pa.Table) -> pa.Table:
+    """A bucket's measures, the better rows first, each kind in the order of its keys' hashes."""
+    order = np.lexsort((group["key"].to_numpy(), group["place"].to_numpy()))
+    good = group["good"].to_numpy()[order]
+    x = group["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))[order]
+    return pa.table({
+        "bucket": group["bucket"][:1], "n_good": pa.array([int(good.sum())], pa.int64()),
+        "x": pa.array([np.concatenate([x[good], x[~good]]).tobytes()], pa.binary()),
+    })
+
+
+def _buckets(rows: DataFrame, n_good: int, n_bad: int) -> DataFrame:
+    """Rows (key, good, x), dealt to buckets: one row for each."""
+    n = -(-(n_good + n_bad) // BUCKET)
+    copies = {kind: min(n, -(-LEAST_OF_KIND * n // size)) for kind, size in ((True, n_good), (False, n_bad))}
+    dealt = rows.withColumn("place", F.xxhash64("key")).withColumn("bucket", F.explode(F.expr(
+        f"transform(sequence(0, if(good, {copies[True]}, {copies[False]}) - 1), "
+        f"i -> pmod(pmod(place, {n}) + i, {n}))")))
+    return dealt.groupBy("bucket").applyInArrow(_bucket, "bucket long, n_good long, x binary")
+
+
+def _newton(w: np.ndarray, mean: np.ndarray, scale: np.ndarray, turns: int):
+    """Per task: the sums of weights, slope and curvature over its buckets' pairs. The pairs of a bucket
+    weigh as much as it has rows of the more frequent kind."""
+    width = len(w)
+
+    def run(rows):
+        out = np.zeros((width + 1, width + 1))
+        for row in rows:
+            x = (np.frombuffer(bytes(row["x"])).reshape(-1, width) - mean) / scale
+            good, bad = x[: row["n_good"]], x[row["n_good"] :]
+            if not len(good) or not len(bad):
+                continue
+            more, fewer, sign = (good, bad, 1.0) if len(good) >= len(bad) else (bad, good, -1.0)
+            times = min(turns, len(fewer))
+            for turn in range(times):
+                d = sign * (more - fewer[(np.arange(len(more)) + turn) % len(fewer)])
+                p = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
+                out[:width, :width] += (d * (p * (1 - p))[:, None]).T @ d / times
+                out[width, :width] -= d.T @ p / times
+            out[width, width] += len(more)
+        yield out
+
+    return run
+
+
+def fit(
+    rows: DataFrame, threshold: float = THRESHOLD, pairs: int = PAIRS, steps: int = 25
+) -> Model:
+    """From rows (key, text, label 0 or 1), or (key, x, label) with measures: the model. Few rows are
+    paired more often, to make about so many pairs."""
+    rows = rows if "x" in rows.columns else measured(rows.select("key", "label", "text"))
+    rows = stored(rows.select("key", (F.col("label") > 0.5).alias("good"), "x"), "measures")
     width = len(NAMES)
-    share = float(label.mean()) if len(label) else 0.0
-    if not label.any() or label.all():
+    each = [F.col("x")[i] for i in range(width)]
+    first = rows.agg(
+        F.count(F.lit(1)), F.count_if("good"), F.array(*map(F.avg, each)),
+        F.array(*map(F.stddev_pop, each))).first()
+    n, n_good = first[0], first[1]
+    share = n_good / n if n else 0.0
+    if n_good in (0, n):
         none = np.zeros(width)
         return Model(none, none + 1, none, 0.0, threshold, share)
-    x = np.array(found["x"].to_pylist())[order]
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    x = (x - mean) / scale
-    draw = np.random.default_rng(0)
-    good, bad = np.flatnonzero(label), np.flatnonzero(~label)
-    d = x[draw.choice(good, pairs)] - x[draw.choice(bad, pairs)]
+    mean, scale = np.array(first[2]), np.maximum(np.array(first[3]), 1e-6)
+    held = _buckets(rows, n_good, n - n_good).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    turns = max(LEAST_PAIRS, -(-pairs // max(n_good, n - n_good)))
     w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
-        gradient = RIDGE * w - d.T @ p / pairs
-        curve = (d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(width)
+        sums = sum(held.mapPartitions(_newton(w, mean, scale, turns)).collect())
+        total = sums[width, width]
+        gradient = RIDGE * w + sums[width, :width] / total
+        curve = sums[:width, :width] / total + RIDGE * np.eye(width)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    cut = float(np.quantile(x @ w, 1 - share))
+    held.unpersist()
+    terms = [(x - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(v))
+             for x, m, s, v in zip(each, mean, scale, w)]
+    raw = rows.select(sum(terms[1:], terms[0]).alias("raw"))
+    [cut] = exact_quantiles(raw, ["raw"], [1 - share])[("raw",)]
     return Model(mean, scale, w, cut, threshold, share)
 
 

@@ -166,9 +166,10 @@ def op2_toxicity(spark, folder):
 
 @query("op3_quality")
 def op3_quality(spark, folder):
-    """Scores from a ranking learnt from labelled rows that are not held out."""
+    """Scores from a ranking learnt from all labelled rows that are not held out."""
     docs = table(spark, folder, "documents")
-    rows = labelled.sample(docs, table(spark, folder, "labels"), "quality")
+    measured = quality.measured(labelled.learnable(docs))
+    rows = labelled.with_labels(measured, table(spark, folder, "labels"), "quality")
     scored = quality.score(docs, quality.fit(rows)).select("row.doc_id", "score")
     return scored.select(
         "doc_id", labelled.held_out("doc_id").alias("held_out"), "score",
