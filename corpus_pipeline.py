@@ -20,6 +20,8 @@ from tidemark.llm.scratch import stored
 from tidemark.llm.substring import remove_repeated_passages
 
 TOXIC = 0.5
+# Chunks that a worker of the last stage knows; it shares the executor's memory with all stages before.
+REMEMBERED = 1 << 15
 
 
 def _unpacked(found: DataFrame, like: DataFrame, text, *more: str) -> DataFrame:
@@ -65,7 +67,7 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its ids and their number, and whether they decode to the text."""
     vocabulary = bpe.load_vocabulary(spark, default_vocabulary())
-    found = bpe.encode(docs, vocabulary, decoded=True)
+    found = bpe.encode(docs, vocabulary, decoded=True, remembered=REMEMBERED)
     return found.select(
         *("text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
         F.col("ids").alias(_free("ids", docs)),

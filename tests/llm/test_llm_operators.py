@@ -471,6 +471,15 @@ def test_quality_learns_from_every_row(spark, monkeypatch):
     assert rare.weights.any() and rare.share == np.mean([i < 8 for i, _ in rows if i not in out])
 
 
+def test_few_remembered_chunks_give_the_same_ids(spark):
+    vocabulary = bpe.load_vocabulary(spark, default_vocabulary())
+    texts = [" ".join(f"word{i}x{j} stone" for j in range(40)) for i in range(30)]
+    encoders = [bpe.Encoder(vocabulary), bpe.Encoder(vocabulary)]
+    encoders[1].remembered = 50
+    found = [[e.encode(t) for t in texts] for e in encoders]
+    assert found[0] == found[1] and len(encoders[1].known) + len(encoders[1].older) < 300 < len(encoders[0].known)
+
+
 # ---- languages
 
 LANGS = {"aa": "thing ring other that with", "bb": "keit ung lich schon und", "cc": "\u0434\u043e\u043c \u0440\u0435\u043a\u0430 \u0438"}

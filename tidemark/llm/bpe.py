@@ -111,6 +111,7 @@ class Encoder:
         names = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.apart = regex.compile("(" + "|".join(names) + ")").split if names else None
         self.numbers = list(range(self.wide))
+        self.remembered = REMEMBERED
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         every = np.repeat(np.array(self.byte_ids), 256), np.tile(np.array(self.byte_ids), 256)
@@ -118,7 +119,7 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Make sure that all the chunks are known, the rarer ones of earlier calls may go."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, {}
         for chunk in chunks:
@@ -285,16 +286,17 @@ class Encoder:
 _LAST: list = []
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process, so that later tasks know the chunks of earlier ones."""
     if not _LAST or _LAST[0] is not shared.value:
         _LAST[:] = [shared.value, Encoder(shared.value)]
+    _LAST[1].remembered = remembered
     return _LAST[1]
 
 
-def _encode(shared, decoded: bool):
+def _encode(shared, decoded: bool, remembered: int = REMEMBERED):
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, remembered)
         for batch in batches:
             for piece in words.pieces(batch):
                 ids, ends = encoder.encode_all(piece.rows.column("text").to_pylist())
@@ -310,10 +312,12 @@ def _encode(shared, decoded: bool):
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text", decoded: bool = False
+    docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text", decoded: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Per row: ``row`` (struct of all columns but the text), ``text``, ``ids`` (array of int), and if
-    asked for ``decoded``, the text that the ids stand for."""
+    asked for ``decoded``, the text that the ids stand for. A worker remembers the ids of about twice
+    ``remembered`` chunks."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(
         F.struct(*others(docs, text_column)).alias("row"),
@@ -322,7 +326,7 @@ def encode(
     out = T.StructType([*rows.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded:
         out.add("decoded", T.StringType())
-    return rows.mapInArrow(_encode(shared, decoded), out)
+    return rows.mapInArrow(_encode(shared, decoded, remembered), out)
 
 
 def _texts(ids: list[int], ends: list[int], tokens: list[bytes]) -> list[str]:
