@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as bound
+from bindings import tables
 from tidemark.operators import scoring
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,3 +47,25 @@ def test_matched_models_are_three_and_the_external(spark, few_trees):
     rows = bound.queries()["matched_comparison_models"](spark, FOLDER).collect()
     assert {r["model"] for r in rows} == {"logreg", "trees", "mlp", "outside"}
     assert len({r["total_rows"] for r in rows}) == 1
+
+
+@pytest.mark.parametrize("name, fit", [
+    ("fit_mlp", "fit_mlp"), ("fit_logistic", "fit_logistic"),
+    ("fit_logistic_balanced", "fit_logistic"), ("fit_boosted_trees", "fit_boosted_trees"),
+])
+def test_fits_split_their_table_once(spark, monkeypatch, name, fit):
+    whole, splits = tables.wide_split, []
+
+    def split(*args):
+        splits.append(whole(*args))
+        return splits[-1]
+
+    learner, few = scoring.fit_logistic, scoring.LogisticConfig(max_iter=2)
+
+    def quick(train, groups, roles, config=None):
+        return learner(train, groups, roles, few)
+
+    monkeypatch.setattr(tables, "wide_split", split)
+    monkeypatch.setattr(scoring, fit, quick)
+    assert bound.queries()[name](spark, FOLDER).count() == 4
+    assert len(splits) == 1
