@@ -80,3 +80,51 @@ def test_odd_labels_and_constant_columns(spark, rows):
     flat = rows.selectExpr("1.0D AS amount", "2.0D AS gap", "'A' AS grade", "'x' AS kind", "target")
     model = scoring.fit_boosted_trees(flat, GROUPS, ROLES, WHOLE)
     assert len({r["y_prob"] for r in model.score(flat).collect()}) == 1
+
+
+def _numbers(model):
+    text = model.estimator.toDebugString.split("\n", 1)[1]
+    return [float(w) for w in text.split() if w.lstrip("-").replace(".", "").isdigit()]
+
+
+def test_large_tables_give_the_trees_of_small_ones(rows, monkeypatch):
+    """Grouped columns, subtracted siblings, many parts and saved margins change no tree."""
+    drawn = scoring.BoostedTreesConfig(n_trees=5, max_depth=5, learning_rate=0.3)
+    for name, value in (("BLOCK", 100), ("FEWEST_ROWS", 500), ("MERGED", 250), ("CHECKPOINT", 2)):
+        monkeypatch.setattr(boosting, name, value)
+    small = [_numbers(scoring.fit_boosted_trees(rows, GROUPS, ROLES, config)) for config in (WHOLE, drawn)]
+    for most_bytes in (boosting.MOST_BYTES, 0):
+        monkeypatch.setattr(boosting, "LARGE", 1)
+        monkeypatch.setattr(boosting, "MOST_BYTES", most_bytes)
+        large = [_numbers(scoring.fit_boosted_trees(rows, GROUPS, ROLES, config)) for config in (WHOLE, drawn)]
+        assert [len(x) for x in small] == [len(x) for x in large]
+        assert all(np.allclose(a, b) for a, b in zip(small, large))
+
+
+def test_a_small_table_takes_one_task(spark, rows):
+    """All trees of a small table take the jobs of one."""
+    context, jobs = spark.sparkContext, []
+    for n, group in ((1, "one"), (9, "nine")):
+        context.setJobGroup(group, group)
+        scoring.fit_boosted_trees(rows, GROUPS, ROLES, scoring.BoostedTreesConfig(n_trees=n, max_depth=3))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(group)))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_packing_and_siblings():
+    bins = [32, 3, 25, 5000, 11, 6]
+    groups = boosting._packing(bins, 4096)
+    assert sorted(c for g in groups for c in g) == list(range(6))
+    assert all(len(g) == 1 or np.prod([bins[c] for c in g]) <= 4096 for g in groups)
+    assert boosting._packing(bins, 0) == [[c] for c in range(6)]
+    rng, splits = np.random.default_rng(1), {}
+    codes = [rng.integers(0, n, 500) for n in bins]
+    for group in groups:
+        splits[tuple(group)] = np.ravel_multi_index([codes[c] for c in group], [bins[c] for c in group])
+    shape = np.array([0, 3, -1, -1, -1]), np.array([12, 77, 0, 0, 0]), np.array([1, 3, 2, 3, 4])
+    found = dict(boosting._parted(
+        boosting._splits(shape, bins, 2, groups), [splits[tuple(g)] for g in groups], 500))
+    low = codes[0] <= 12
+    wanted = {2: ~low, 3: low & (codes[3] != 77), 4: low & (codes[3] == 77)}
+    assert all(np.array_equal(found[node], np.flatnonzero(wanted[node])) for node in wanted)
