@@ -69,3 +69,16 @@ def test_fits_split_their_table_once(spark, monkeypatch, name, fit):
     monkeypatch.setattr(scoring, fit, quick)
     assert bound.queries()[name](spark, FOLDER).count() == 4
     assert len(splits) == 1
+
+
+@pytest.mark.parametrize("name", ["score_long", "reliance_report"])
+def test_two_models_share_one_split(spark, monkeypatch, few_trees, name):
+    whole, splits = tables.wide_split, []
+
+    def split(*args):
+        splits.append(whole(*args))
+        return splits[-1]
+
+    monkeypatch.setattr(tables, "wide_split", split)
+    assert bound.queries()[name](spark, FOLDER).count() > 0
+    assert len(splits) == 1
